@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, warc
+from . import exact_dedup, near_dedup, packing, substring_dedup, warc
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -20,6 +20,10 @@ def vocabulary(name: str) -> str:
     return f"{TOKENIZERS}/{name}"
 
 
+def op1_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 def op2_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), with_ids=False).drop("ids")
@@ -29,11 +33,15 @@ def op6_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).drop("url", "block_bytes")
 
 
+def op7_weighted_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_cuckoo_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_curve_packing, op6_warc_dictionary, op10_cuckoo_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chained_passages, op2_curve_packing, op6_warc_dictionary, op7_weighted_near_dedup, op10_cuckoo_exact_dedup)}
 
 SQL = {
     "op6_warc_dictionary": """
