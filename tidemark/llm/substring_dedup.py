@@ -285,11 +285,11 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def passages(docs: DataFrame) -> DataFrame:
+def passages(docs: DataFrame, within: bool = False) -> DataFrame:
     """Repeated passages of docs (doc_id, text): doc_id, start_word, n_words, source_id, source_word, agree.
 
     A row says that PASSAGE_WORDS or more words of doc_id, from its start_word-th word on, repeat words of
-    documents with smaller ids, or earlier words of its own; source_id has the longest stretch of them, from
+    documents with smaller ids (with `within`, also earlier words of its own); source_id has the longest stretch of them, from
     source_word on, and agree is the least share of words that agree in any stretch. The first occurrence is
     not listed. Words are runs of letters and digits in lower case. Null and short texts have no passages,
     nor have rows without a doc_id; rows that share a doc_id are searched as one document. Other columns are
@@ -304,7 +304,7 @@ def passages(docs: DataFrame) -> DataFrame:
     )
     anchors = written(anchors.where("n > 1"), "anchors")
     matches = attach(found.select("seed", "doc_id", "pos"), anchors, "seed")
-    matches = matches.where("doc_id <> source_id OR pos >= source_pos + {}".format(K)).select("doc_id", "source_id", "pos", "source_pos")
+    matches = matches.where(f"doc_id <> source_id OR pos >= source_pos + {K}" if within else "doc_id <> source_id").select("doc_id", "source_id", "pos", "source_pos")
     order = ["doc_id", "source_id", "pos", "source_pos"]
     chained = written(matches.repartition("doc_id").sortWithinPartitions(*order).mapInArrow(_chain, CHAINS), "chains")
 
