@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, packing, substring_dedup, warc
+from . import exact_dedup, fingerprints, html_text, licenses, near_dedup, packing, sentencepiece_ids, substring_dedup, toxicity, warc
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -29,6 +30,18 @@ def op2_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), with_ids=False).drop("ids")
 
 
+def op3_improbable_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumns({"licenses": F.array_join("licenses", ","), "matches": F.to_json("matches")})
+
+
 def op6_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).drop("url", "block_bytes")
 
@@ -37,11 +50,34 @@ def op7_weighted_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sentencepiece_ids.encode_documents(docs, vocabulary("piece_bpe_32k.model"), with_ids=False).drop("ids")
+
+
+def op9_block_rules_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_cuckoo_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chained_passages, op2_curve_packing, op6_warc_dictionary, op7_weighted_near_dedup, op10_cuckoo_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chained_passages,
+        op2_curve_packing,
+        op3_improbable_fingerprints,
+        op4_fm_toxicity,
+        op5_license_scan,
+        op6_warc_dictionary,
+        op7_weighted_near_dedup,
+        op8_sentencepiece_ids,
+        op9_block_rules_text,
+        op10_cuckoo_exact_dedup,
+    )
+}
 
 SQL = {
     "op6_warc_dictionary": """
