@@ -24,12 +24,12 @@ from .base import CACHE_WORDS, written
 BUCKETS = 1 << 20
 #: Letters of the starts of words that are terms.
 STARTS = (4, 5, 6)
-#: Features, factors of each, labelled rows that a bucket must be in.
-FEATURES, FACTORS, LEAST_ROWS = 2048, 8, 5
+#: Features, factors of each, labelled rows that a bucket must be in, and its likelihood ratio (G squared) at least.
+FEATURES, FACTORS, LEAST_ROWS, LEAST_RATIO = 2048, 8, 4, 15.0
 #: Labelled rows that the machine is fitted on, at most: those with the smallest hashes of their ids. A bound of
 #: the fit alone; which buckets are features is counted over all labelled rows.
 FIT_ROWS = 40_000
-ITERATIONS, STEP, PENALTY = 120, 0.05, 1e-4
+ITERATIONS, STEP, PENALTY = 80, 0.1, 1e-3
 TOXIC_FROM = 0.7
 
 _WORD = re.compile(r"[^\W_]+")
@@ -90,23 +90,27 @@ class Machine:
 def fit(labelled: DataFrame, features: int = FEATURES, fit_rows: int = FIT_ROWS) -> Machine:
     """A machine from labelled rows (doc_id, text, toxic 0/1); null labels do not count.
 
-    Without both labels the machine gives the share of label 1 for every text (one half if there are no rows).
+    Without both labels, or without a bucket that tells them apart, the machine gives the share of label 1 for every text (one half if there are no rows).
     """
     spark = labelled.sparkSession
     rows = labelled.where("toxic IN (0, 1)").selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(toxic AS INT) AS toxic", "text")
     rows = written(rows.mapInArrow(_buckets, "doc_id long, toxic int, terms array<int>"), "labelled")
     n = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).first()
+    share = (n["k"] + 0.5) / (n["n"] + 1)
+    plain = Machine([], math.log(share / (1 - share)), np.zeros(0), np.zeros((0, FACTORS)))
     if n["k"] in (0, n["n"]):
-        share = 0.5 if not n["n"] else (n["k"] + 0.5) / (n["n"] + 1)
-        return Machine([], math.log(share / (1 - share)), np.zeros(0), np.zeros((0, FACTORS)))
+        return plain
     # log-likelihood ratio of presence against the label, from counts of all labelled rows
     total, toxic = float(n["n"]), float(n["k"])
     counts = rows.select("toxic", F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).cast("double").alias("m"), F.sum("toxic").cast("double").alias("t"))
     xlogx = lambda c: F.when(c > 0, c * F.log(c)).otherwise(0.0)
     m, t = F.col("m"), F.col("t")
     gain = xlogx(t) + xlogx(m - t) + xlogx(toxic - t) + xlogx(total - toxic - (m - t)) - xlogx(m) - xlogx(total - m)
-    best = counts.where(m >= LEAST_ROWS).withColumn("gain", gain).orderBy(F.desc("gain"), "bucket").limit(features)
+    none = toxic * math.log(toxic) + (total - toxic) * math.log(total - toxic) - total * math.log(total)
+    best = counts.where(m >= LEAST_ROWS).withColumn("gain", gain).where(F.col("gain") - none >= LEAST_RATIO / 2).orderBy(F.desc("gain"), "bucket").limit(features)
     buckets = [r["bucket"] for r in best.select("bucket").collect()]  # FEATURES numbers at most
+    if not buckets:
+        return plain
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     vectors = CountVectorizerModel.from_vocabulary([str(b) for b in buckets], inputCol="names", outputCol="features", minTF=1.0)
     vectors.setBinary(True)
@@ -155,3 +159,14 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     scored = score(docs, learn(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def keep_clean(docs: DataFrame, machine: Machine) -> DataFrame:
+    """The rows of docs that the machine does not call toxic, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(machine.places)
+        for b in batches:
+            yield b.filter(pa.array([machine.score(terms(t or "")) < TOXIC_FROM for t in b["text"].to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
