@@ -2,5 +2,23 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .models import MODELS, oracle, rounded, run
+from .operators import archive, backtest, monitor, triangle  # noqa: F401
+from .sources import archives  # noqa: F401
+
+
+def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(run(spark, name, sf_dir), MODELS[name].digits)
+
+    query.__name__ = name
+    return query
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {m.name: _query(m.name) for m in MODELS.values() if m.public}
+SQL: dict[str, str] = {name: oracle(name) for name in QUERIES}
