@@ -59,6 +59,21 @@ def word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word) >> 1
 
 
+class _Known(dict):
+    """Hash of a part's word as 8 bytes, no bytes where there is no word; worked out when first asked for."""
+
+    def __missing__(self, part: str) -> bytes:
+        kept = part.lower()
+        if not kept.isalnum():
+            kept = "".join(filter(str.isalnum, kept))
+        h = ((word_hash(kept) | 1)).to_bytes(8, "little") if kept else b""
+        if len(part) <= 40:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[part] = h
+        return h
+
+
 class Words:
     """Hashes of a text's words: runs of letters and digits, in lower case.
 
@@ -67,29 +82,14 @@ class Words:
     """
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-
-    def __missing(self, part: str) -> int:
-        kept = "".join(filter(str.isalnum, part.lower()))
-        h = (word_hash(kept) | 1) if kept else 0
-        if len(part) <= 40:
-            if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
-            self.known[part] = h
-        return h
-
-    def parts(self, text: str) -> tuple[np.ndarray, list[str]]:
-        """Hashes of all parts, 0 where a part has no word, and the parts."""
-        parts = text.split()
-        get = self.known.get
-        found = [get(p) for p in parts]
-        if None in found:
-            found = [self.__missing(p) if h is None else h for p, h in zip(parts, found)]
-        return np.array(found, dtype=np.int64).astype(np.uint64), parts
+        self.known = _Known()
 
     def __call__(self, text: str) -> np.ndarray:
-        h, _ = self.parts(text)
-        return h[h != 0]
+        return np.frombuffer(b"".join(map(self.known.__getitem__, text.split())), "<u8")
+
+    def places(self, text: str) -> list[int]:
+        """Which parts between white space are words."""
+        return [i for i, p in enumerate(text.split()) if self.known[p]]
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)

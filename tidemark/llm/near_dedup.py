@@ -23,8 +23,10 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 4
 #: Hash buckets whose document frequencies weigh the shingles; a fixed number, whatever the corpus.
 DF_BITS = 16
-#: Documents of a bucket that are compared with all others of it in one round.
-PIVOTS = 32
+#: Buckets of as many documents are compared in one round; of larger ones so many documents with all others.
+ROUND, PIVOTS = 2000, 32
+#: Weight that two sets must share, of the sum of their weights, to be SIMILARITY alike.
+SHARE = SIMILARITY / (1 + SIMILARITY) - 1e-9
 #: Steps of the tables of gamma variates.
 STEPS = 4096
 
@@ -46,7 +48,7 @@ class Sampler:
     def __init__(self) -> None:
         g = _gamma_steps()
         self.r, self.log_c = g.astype(np.float32), np.log(g).astype(np.float32)
-        self.u = ((np.arange(STEPS) + 0.5) / STEPS).astype(np.float32)
+        self.per_r = (1 / g).astype(np.float32)
         self.factors = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
     def samples(self, h: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -54,19 +56,30 @@ class Sampler:
         log_w = np.log(weights).astype(np.float32)
         k = len(self.factors)
         best, drawn = np.full(k, np.inf, np.float32), np.zeros(k, np.uint64)
-        for at in range(0, len(h), 2048):
-            part = h[at : at + 2048, None]
+        cols = np.arange(k)
+        for at in range(0, len(h), 1024):
+            part = h[at : at + 1024, None]
             with np.errstate(over="ignore"):
                 p = part * self.factors
             p ^= p >> np.uint64(29)
-            r = self.r[p & np.uint64(4095)]
-            beta = self.u[(p >> np.uint64(12)) & np.uint64(4095)]
-            t = np.floor(log_w[at : at + 2048, None] / r + beta)
+            # three numbers of 12 bits from each product: steps of r and of c, and beta
+            bits = p.view(np.int64)
+            step = bits & 4095
+            r = self.r.take(step)
+            t = self.per_r.take(step)
+            t *= log_w[at : at + 1024, None]
+            beta = ((bits >> 12) & 4095).astype(np.float32)
+            beta += 0.5
+            beta *= 1 / STEPS
+            t += beta
+            np.floor(t, out=t)
             # ln a = ln c - ln y - r, with ln y = r (t - beta)
-            a = self.log_c[p >> np.uint64(52)] - r * (t - beta + 1)
-            row = a.argmin(axis=0)
-            cols = np.arange(k)
-            least = a[row, cols]
+            beta -= t
+            beta -= 1
+            beta *= r
+            beta += self.log_c.take((p >> np.uint64(52)).view(np.int64))
+            row = beta.argmin(axis=0)
+            least = beta[row, cols]
             with np.errstate(over="ignore"):
                 found = mix(part[row, 0] + t[row, cols].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             drawn = np.where(least < best, found, drawn)
@@ -160,14 +173,35 @@ def _linked(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return joined.select("a", "b", "a_text", "b_text").mapInArrow(_verify(idf), "a long, b long, similarity double")
 
 
+def _own(idf: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                sets = [weighted(words(t or ""), idf) for t in part["text"].to_pylist()]
+                ids = np.repeat(part["doc_id"].to_numpy(zero_copy_only=False), [len(h) for h, _ in sets])
+                cols = [np.concatenate([h for h, _ in sets]).view(np.int64), ids, np.concatenate([w for _, w in sets]).astype(np.float64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["shingle", "doc_id", "w"])
+
+    return run
+
+
+def _bounds(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """doc_id, w, shared: a document's weight, and the part of it on shingles that others of texts have as well."""
+    rows = texts.mapInArrow(_own(idf), "shingle long, doc_id long, w double")
+    by = rows.groupBy("shingle").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("w").alias("least"))
+    alone = by.where("a = b").groupBy("a").agg(F.sum("least").alias("alone"))
+    whole = rows.groupBy("doc_id").agg(F.sum("w").alias("w"))
+    return whole.join(alone.hint("merge"), F.col("doc_id") == F.col("a"), "left").select("doc_id", "w", (F.col("w") - F.coalesce("alone", F.lit(0.0))).alias("shared"))
+
+
 def _pivots(buckets: DataFrame) -> DataFrame:
-    """key, pivot: for each bucket the PIVOTS documents that come first, those of its small components before others."""
-    size = buckets.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
-    ranked = buckets.join(size.hint("merge"), ["key", "root"]).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
-    order = [F.col("m"), F.col("doc_id")]
-    few = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("key", "salt").orderBy(*order))).where(F.col("rank") <= PIVOTS)
-    few = few.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("rank") <= PIVOTS)
-    return few.select("key", F.col("doc_id").alias("pivot"), F.col("root").alias("pivot_root"))
+    """Of each bucket of more than ROUND documents (n) the PIVOTS that come first, of all others all documents."""
+    salted = buckets.where(F.col("n") > ROUND).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(256)))
+    few = salted.withColumn("rank", F.row_number().over(Window.partitionBy("key", "salt").orderBy("shared", "doc_id"))).where(F.col("rank") <= PIVOTS)
+    few = few.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("shared", "doc_id"))).where(F.col("rank") <= PIVOTS)
+    return buckets.where(F.col("n") <= ROUND).unionByName(few.drop("salt", "rank"))
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -175,8 +209,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     the same words), verified links a, b, similarity between representatives, and node, root of their components.
 
     First each document of a bucket is compared with the bucket's smallest. Components that arise need no
-    further comparison inside; between components that still share a bucket all pairs are compared, PIVOTS
-    documents a round, until none is left, so no bucket's pairs are ever all written at once and none is lost.
+    further comparison inside. Where components still share a bucket, a bound decides which of their documents
+    can be alike at all: what a document has on shingles of its own alone, it shares with nobody, so copies that
+    were edited apart drop out without being compared. All pairs that the bound leaves are compared; in buckets
+    of more than ROUND documents PIVOTS of them a round, until none is left. So no link is lost.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     survey = written(texts.mapInArrow(_survey, "doc_id long, digest binary, bucket int, n long"), "survey")
@@ -202,23 +238,44 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     pairs = buckets.where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
     found = written(_linked(pairs, near, idf), "links")
     done = written(pairs, "pairs")
-    buckets = written(buckets.where("doc_id > first").select("key", "doc_id"), "buckets")  # the smallest has met all others
+    roots = components(found)
+    buckets = _open(buckets.where("doc_id > first").select("key", "doc_id"), roots)  # the smallest has met all others
+    if buckets is None:
+        return members, found, roots
+    wanted = buckets.select(F.col("doc_id").alias("_id")).distinct()
+    bounds = written(_bounds(near.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi"), idf), "bounds")
+    buckets = buckets.select("key", "doc_id").join(bounds.hint("merge"), "doc_id")
     while True:
-        roots = components(found)
-        placed = buckets.join(roots.hint("merge"), F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-        mixed = written(mixed.select("key", "n"), "mixed")
-        if mixed.isEmpty():
+        buckets = _open(buckets, roots, bounded=True)
+        if buckets is None:
             return members, found, roots
-        open_ = written(attach(written(placed, "placed"), mixed, "key").select("key", "doc_id", "root"), "open")
-        pivots = written(_pivots(open_), "pivots")
-        pairs = open_.join(pivots.hint("merge"), "key").where("root <> pivot_root")
-        pairs = pairs.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
+        pivots = written(_pivots(buckets), "pivots")
+        p = pivots.select("key", *(F.col(c).alias(f"p_{c}") for c in ("doc_id", "root", "w", "shared")))
+        alike = (F.col("root") != F.col("p_root")) & (F.least("shared", "p_shared") >= SHARE * (F.col("w") + F.col("p_w")))
+        once = (F.col("doc_id") > F.col("p_doc_id")) | (F.col("n") > ROUND)
+        pairs = buckets.join(p.hint("merge"), (buckets["key"] == p["key"]) & alike & once)
+        pairs = pairs.select(F.least("doc_id", "p_doc_id").alias("a"), F.greatest("doc_id", "p_doc_id").alias("b")).distinct()
         pairs = written(pairs.join(done.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         found = written(found.unionByName(_linked(pairs, near, idf)), "links")
-        done = written(done.unionByName(pairs), "pairs")
-        spent = pivots.select("key", F.col("pivot").alias("doc_id"))
-        buckets = written(open_.select("key", "doc_id").join(spent.hint("merge"), ["key", "doc_id"], "left_anti"), "buckets")
+        done = done.unionByName(pairs)
+        roots = components(found)
+        buckets = buckets.drop("root", "n").join(pivots.select("key", "doc_id").hint("merge"), ["key", "doc_id"], "left_anti")
+
+
+def _open(buckets: DataFrame, roots: DataFrame, bounded: bool = False) -> DataFrame | None:
+    """The buckets (key, doc_id, ...) in which several components meet, with root and n; None if there are none.
+
+    Of bounded ones (w, shared), documents that cannot be alike any that are there are left out first.
+    """
+    placed = buckets.join(roots.hint("merge"), F.col("doc_id") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "doc_id"))
+    placed = written(placed, "placed")
+    if bounded:
+        sizes = placed.groupBy("key").agg(F.min("w").alias("least"), F.count(F.lit(1)).alias("n"))
+        # partners of a document weigh at most what it shares, divided by SHARE, less its own weight
+        placed = written(attach(placed, written(sizes, "sizes"), "key").where(F.col("shared") / SHARE - F.col("w") >= F.col("least")).drop("least", "n"), "placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
+    mixed = written(mixed, "mixed")
+    return None if mixed.isEmpty() else written(attach(placed, mixed, "key"), "open")
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -331,8 +331,7 @@ def passages(docs: DataFrame, within: bool = False) -> DataFrame:
 
 def _cut(text: str, spans: list[tuple[int, int]], words: Words) -> str:
     """text without the words of spans (start, number), and without the white space before what follows."""
-    h, _ = words.parts(text)
-    at = np.flatnonzero(h)
+    at = words.places(text)
     parts = [m.span() for m in re.finditer(r"\S+", text)]
     kept, end = [], 0
     for start, n in sorted(spans):
