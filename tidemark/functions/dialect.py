@@ -12,7 +12,7 @@ SPARK: dict[str, Callable[..., str]] = {
     "pct": lambda x, p: f"percentile({x}, {p})",
     "hex48": lambda s: f"CAST(conv(substr(md5({s}), 1, 12), 16, 10) AS BIGINT)",
     "numbers": lambda a, b: f"(SELECT explode(sequence({a}, {b})) AS i)",
-    "name": lambda d: f"date_format({d}, 'EEEE')",
+    "semi": lambda _: "LEFT SEMI JOIN",
     "sequence": lambda a, b, step: f"explode(sequence({a}, {b}, INTERVAL {step} DAY))",
 }
 DUCKDB: dict[str, Callable[..., str]] = {
@@ -22,7 +22,7 @@ DUCKDB: dict[str, Callable[..., str]] = {
     "pct": lambda x, p: f"quantile_cont({x}, {p})",
     "hex48": lambda s: f"CAST('0x' || substr(md5({s}), 1, 12) AS BIGINT)",
     "numbers": lambda a, b: f"(SELECT CAST(unnest(range({a}, {b} + 1)) AS INTEGER) AS i)",
-    "name": lambda d: f"dayname({d})",
+    "semi": lambda _: "SEMI JOIN",
     "sequence": lambda a, b, step: f"CAST(unnest(generate_series({a}, {b}, INTERVAL {step} DAY)) AS DATE)",
 }
 _MACRO = re.compile(r"\{(\w+)\(([^{}]*)\)\}")

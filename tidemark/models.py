@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import dialect
+from .storage import stored
 
 TABLES = frozenset("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
 _INPUT = re.compile(r"\{(\w+)\}")
@@ -33,6 +34,14 @@ class Model:
 
 MODELS: dict[str, Model] = {}
 
+#: Models that many others read. They are written once a session and folder of tables, and read back: a plan that
+#: held each of them anew wherever it is read would be planned and run many times over.
+STORED = frozenset(
+    "triangle build_cases completed_training validity_a process_states process_history historical_scale process_shift long scored history "
+    "history_strata harm_strata history_strata_rows harm_strata_rows endpoint_offsets reliability_history episode_curves location_curves task_cells task_distance nearest_threshold donor_scores".split()
+)
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
 
 def model(name: str, sql: str, public: bool = True, digits: int | None = 6) -> None:
     if name in MODELS:
@@ -46,9 +55,16 @@ def run(spark: SparkSession, name: str, sf_dir: str | None = None, given: dict[s
 
     def get(n: str) -> DataFrame:
         if n not in made:
-            if n in MODELS:
+            known = (spark.sparkContext.applicationId, sf_dir or "", n)
+            if not given and known in _kept:
+                made[n] = _kept[known]
+            elif n in MODELS:
                 text = dialect.write(MODELS[n].sql, dialect.SPARK)
                 made[n] = spark.sql(text, **{i: get(i) for i in MODELS[n].inputs()})
+                if n in STORED:
+                    made[n] = stored(made[n], n)
+                    if not given:
+                        _kept[known] = made[n]
             elif n in TABLES and sf_dir:
                 made[n] = spark.read.parquet(f"{sf_dir}/{n}.parquet")
             else:

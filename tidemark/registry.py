@@ -8,7 +8,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from .models import MODELS, oracle, rounded, run
-from .operators import archive, backtest, monitor, triangle  # noqa: F401
+from .operators import archive, assess, backtest, calibrate, compare, forecast, monitor, triangle  # noqa: F401
+from .plans.doubles import DOUBLES
 from .sources import archives  # noqa: F401
 
 
@@ -21,4 +22,4 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {m.name: _query(m.name) for m in MODELS.values() if m.public}
-SQL: dict[str, str] = {name: oracle(name) for name in QUERIES}
+SQL: dict[str, str] = {name: oracle(name, DOUBLES.get(name, "").split()) for name in QUERIES}
