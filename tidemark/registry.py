@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from .models import MODELS, oracle, rounded, run
-from .operators import archive, assess, backtest, calibrate, compare, forecast, monitor, triangle  # noqa: F401
+from .operators import archive, assess, backtest, calibrate, compare, donors, forecast, monitor, pooling, triangle  # noqa: F401
 from .plans.doubles import DOUBLES
 from .sources import archives  # noqa: F401
 
