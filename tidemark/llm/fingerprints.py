@@ -263,7 +263,7 @@ def with_next(texts: DataFrame) -> DataFrame:
     ids = texts.select(F.col("doc_id").cast("double").alias("v"))
     n = partitions(spark)
     cuts = ids.where("v IS NOT NULL").approxQuantile("v", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    bounds = [-np.inf, *sorted(set(cuts)), np.inf]
+    bounds = [-np.inf, *(sorted(set(cuts)) or [0.0]), np.inf]  # it takes two ranges at least
     place = Bucketizer(splits=[float(x) for x in bounds], inputCol="v", outputCol="range", handleInvalid="keep")
     rows = texts.withColumn("v", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300)))  # rows without an id come first
     rows = place.transform(rows).withColumn("range", F.col("range").cast("int"))
