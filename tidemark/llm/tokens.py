@@ -2,42 +2,84 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import unicodedata
+from collections.abc import Iterable, Sequence
+
+import numpy as np
 
 from .base import CACHE_WORDS
 
+#: Words that the tokenizer is given at a time.
+TOGETHER = 2000
+#: Signs that may follow a word and are tokens of their own.
+SIGNS = ".,;:!?"
+
 
 class PartEncoder:
-    """ids of a text as those of its parts between blanks, joined; each as little-endian bytes.
+    """ids of a text as those of its parts between blanks, joined; each as little-endian 16-bit numbers.
 
-    It holds for tokenizers that drop white space and whose words never span it. Parts are encoded by the
-    tokenizers library, in batches, the first time that they are met.
+    It holds for tokenizers that put text into lower case, drop white space and part words from signs, so that
+    no token spans a blank or a word's end. All ids come from the tokenizers library: words of letters in one
+    call for many, told apart by the word that the library says each token is of, anything else by itself.
     """
 
-    def __init__(self, path: str, width: str = "<u2") -> None:
-        import numpy as np
-        from tokenizers import Tokenizer
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.np, self.width = np, width
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # for words already in lower case and apart, the same model without the passes that put them so
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {"": b""}
+        self.signs = {s: self._alone(s) for s in SIGNS}
+
+    def _alone(self, part: str) -> bytes:
+        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _learn(self, parts: Sequence[str]) -> dict[str, bytes]:
-        parts = list(dict.fromkeys(parts))
-        found = self.tokenizer.encode_batch(parts, add_special_tokens=False)
-        return {p: self.np.array(e.ids, self.width).tobytes() for p, e in zip(parts, found)}
+    @staticmethod
+    def _plain(word: str) -> bool:
+        return word.isalpha() and (word.isascii() or unicodedata.is_normalized("NFC", word))
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            e = self.plain.encode(" ".join(some), add_special_tokens=False)
+            ids, of = np.array(e.ids, "<u2"), np.array([-1 if w is None else w for w in e.word_ids])
+            starts = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
+            if len(starts) == len(some) + 1 and (of >= 0).all():
+                raw, cuts = ids.tobytes(), (starts * 2).tolist()
+                found.update((w, raw[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
+            else:
+                found.update((w, self._alone(w)) for w in some)
+        return found
+
+    def _learn(self, parts: Iterable[str]) -> dict[str, bytes]:
+        simple, found = {}, {}
+        for p in parts:
+            word = p.rstrip(SIGNS)
+            low = word.lower() if word.isascii() else "".join(map(str.lower, word))  # letter by letter, as the tokenizer does
+            if low and len(p) - len(word) <= 1 and self._plain(word) and self._plain(low):
+                simple[p] = (low, p[len(word) :])
+            else:
+                found[p] = self._alone(p)
+        known = self.known
+        ids = self._words(list({low for low, _ in simple.values() if low not in known}))
+        for p, (low, sign) in simple.items():
+            own = ids.get(low)
+            found[p] = (known[low] if own is None else own) + (self.signs[sign] if sign else b"")
+        for low, own in ids.items():
+            found.setdefault(low, own)
+        return found
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
         known = self.known
-        parts = [t.split(" ") for t in texts]
-        missing = {p for ps in parts for p in ps if p not in known}
-        if missing:
-            new = self._learn(missing)
-            known.update((p, b) for p, b in new.items() if len(p) <= 40)
-            if len(new) and any(len(p) > 40 for p in new):
-                known = {**{p: b for p, b in new.items() if len(p) > 40}}
-                get = lambda p, kept=self.known: kept[p] if p in kept else known[p]
-                return [b"".join(map(get, ps)) for ps in parts]
-        return [b"".join(map(known.__getitem__, ps)) for ps in parts]
+        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        new = self._learn({p for ps in parts for p in ps if p not in known})
+        long = {p: b for p, b in new.items() if len(p) > 40}
+        known.update((p, b) for p, b in new.items() if len(p) <= 40)
+        if not long:
+            return [b"".join(map(known.__getitem__, ps)) for ps in parts]
+        return [b"".join([known[p] if p in known else long[p] for p in ps]) for ps in parts]
