@@ -6,6 +6,7 @@ from pathlib import Path
 
 import pytest
 
+import tidemark.registry  # noqa: F401
 from tidemark.functions import dialect
 from tidemark.models import MODELS, oracle, run
 
@@ -80,7 +81,7 @@ def test_every_model_can_be_reached_and_every_input_exists():
     from tidemark.models import TABLES
     from tidemark.registry import QUERIES, SQL
 
-    assert set(QUERIES) == set(SQL)
+    assert set(SQL) <= set(QUERIES)
     for m in MODELS.values():
         assert all(i in MODELS or i in TABLES for i in m.inputs()), m.name
         assert oracle(m.name)
@@ -101,3 +102,25 @@ def test_query_against_duckdb(spark, name):
     theirs = sorted(key(r) for r in con.execute(f"SELECT {', '.join(columns)} FROM ({SQL[name]})").fetchall())
     assert len(mine) == len(theirs)
     assert mine == theirs
+
+
+def test_pools_are_complete_and_do_not_depend_on_order():
+    from tidemark.operators.pools import linkage
+
+    near = {(0, 1): 0.0, (1, 2): 0.0, (0, 2): 1.0, (3, 4): 0.5, (2, 3): 0.1}
+    assert linkage(list("abcde"), near) == linkage(list("abcde"), dict(reversed(near.items()))) == [0, 0, 1, 1, 2]
+
+
+def test_refusals(spark):
+    from tidemark.functions.schema import derive_transform, map_columns, normalize_lag_types
+
+    df = spark.createDataFrame([("a", 1.0, 2.5)], "place string, lag double, target_lag double")
+    assert map_columns(df, {"geo_value": "place"}, ("geo_value",)).columns[0] == "geo_value"
+    for names in ({}, {"geo_value": "nowhere"}, {"lag": "place", "geo_value": "place"}):
+        with pytest.raises(ValueError):
+            map_columns(df, names, ("geo_value",))
+    with pytest.raises(ValueError):
+        normalize_lag_types(df)
+    assert dict(normalize_lag_types(df.drop("target_lag")).dtypes)["lag"] == "int"
+    with pytest.raises(ValueError):
+        derive_transform(spark.createDataFrame([(-1.0,)], "log_value_7dav double"))

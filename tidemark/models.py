@@ -51,6 +51,8 @@ def model(name: str, sql: str, public: bool = True, digits: int | None = 6) -> N
 
 def run(spark: SparkSession, name: str, sf_dir: str | None = None, given: dict[str, DataFrame] | None = None) -> DataFrame:
     """The model's DataFrame. given: DataFrames that stand for models or tables of those names."""
+    from . import registry  # noqa: F401  all models are defined once it is imported
+
     made: dict[str, DataFrame] = dict(given or {})
 
     def get(n: str) -> DataFrame:
