@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import mix, partitions, written
-from .tokens import PartEncoder
+from .tokens import part_encoder
 
 LENGTH, END = 2048, 1
 #: Buckets of the hashed vectors, dimensions they are projected to, bits of each in the Hilbert key.
@@ -74,7 +74,7 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, key long, n long, ids binary (little-endian 16-bit) of every row; the closing id is not in ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, signs = PartEncoder(vocabulary), directions()
+        encoder, signs = part_encoder(vocabulary), directions()
         for b in batches:
             doc_ids, texts = b["doc_id"].to_pylist(), [t or "" for t in b["text"].to_pylist()]
             at = 0

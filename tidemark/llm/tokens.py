@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterable, Sequence
+from functools import lru_cache
 
 import numpy as np
 
-from .base import CACHE_WORDS
-
+#: Parts that a worker keeps, some 200 bytes each, before it starts afresh.
+CACHE_PARTS = 900_000
 #: Words that the tokenizer is given at a time.
 TOGETHER = 2000
 #: Signs that may follow a word and are tokens of their own.
 SIGNS = ".,;:!?"
 
 
+@lru_cache(maxsize=1)
+def part_encoder(path: str) -> PartEncoder:
+    """The worker's encoder: tasks that run in a worker one after another know what those before have met."""
+    return PartEncoder(path)
+
+
 class PartEncoder:
     """ids of a text as those of its parts between blanks, joined; each as little-endian 16-bit numbers.
 
@@ -73,7 +80,7 @@ class PartEncoder:
         return found
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_PARTS:
             self.known = {"": b""}
         known = self.known
         parts = [t.replace("\n", " ").split(" ") for t in texts]
