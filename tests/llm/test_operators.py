@@ -142,6 +142,16 @@ def test_passages_shared_by_many_are_found_once_and_fuzzy_ones_too(spark):
     assert len(left) == 40 and len(left[0]) == 190 and all(116 <= len(left[i]) <= 122 for i in range(1, 30)) and len(left[100]) == 150
 
 
+def test_two_passages_of_one_document_are_found_whatever_lies_between(spark):
+    one, two = words(60), words(60)
+    texts = [(1, [*one, *words(100), *two]), (2, [*one, *words(100), *two]), (3, [*one, *words(70), *two, *words(90)]), (4, [*words(30), *one, *two])]
+    got = {}
+    for r in substring_dedup.passages(table(spark, [(i, " ".join(t)) for i, t in texts])).collect():
+        got.setdefault(r["doc_id"], []).append((r["start_word"], r["n_words"]))
+    near = lambda spans, wanted: len(spans) == len(wanted) and all(abs(a - b) <= 3 for s, w in zip(sorted(spans), wanted) for a, b in zip(s, w))
+    assert set(got) == {2, 3, 4} and near(got[2], [(0, 60), (160, 60)]) and near(got[3], [(0, 60), (130, 60)]) and near(got[4], [(30, 120)])
+
+
 def test_chains_follow_order_and_break_at_long_gaps():
     x, y = [0, 6, 12, 200, 206], [50, 56, 62, 10, 16]
     assert sorted(substring_dedup.chains(x, y)) == [[0, 1, 2], [3, 4]]

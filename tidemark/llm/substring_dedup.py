@@ -5,7 +5,7 @@ K + WINDOW - 1 words shares a seed. Each seed that occurs more than once has an
 occurrence, in the document of the smallest id. Other occurrences are matched to the anchor, never to
 each other, so the matches are as many as the occurrences. Matches of a document and an anchor document
 are chained in order on both sides, with gap costs, through a Fenwick tree; chains are then aligned word
-by word, and aligned stretches that adjoin are one passage.
+by word and parted where they do not agree, and aligned stretches that adjoin are one passage.
 """
 
 from __future__ import annotations
@@ -125,22 +125,40 @@ def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return to + 1, int(same[to])
 
 
-def align(x: list[int], y: list[int], a: np.ndarray, a_from: int, b: np.ndarray, b_from: int) -> tuple[int, int, int, int, float]:
-    """Aligned stretch of a chain: start and end on both sides, and the share of words that agree.
+def align(x: list[int], y: list[int], a: np.ndarray, a_from: int, b: np.ndarray, b_from: int) -> list[tuple[int, int, int, int, float]]:
+    """Aligned stretches of a chain: start and end on both sides, and the share of words that agree, AGREE at least.
 
-    a holds the document's words from a_from on, b the anchor's from b_from on.
+    a holds the document's words from a_from on, b the anchor's from b_from on. A chain that agrees too little is
+    parted at its worst gap, and so are its parts; those under CHAIN_WORDS are left out.
     """
-    agree, (px, py) = 0, (x[0], y[0])
-    for i, j in zip(x, y):
-        if i > px or j > py:
-            agree += _gap(a[px - a_from : i - a_from], b[py - b_from : j - b_from])
-        start = max(i, px)
-        agree += i + K - start
-        px, py = i + K, max(j + K, py)
-    left, l_same = _extend(a[: x[0] - a_from][::-1], b[: y[0] - b_from][::-1])
-    right, r_same = _extend(a[px - a_from :], b[py - b_from :])
-    start, end, other, other_end = x[0] - left, px + right, y[0] - left, py + right
-    return start, end, other, other_end, (agree + l_same + r_same) / max(end - start, other_end - other)
+    n = len(x)
+    agree, off = [K] * n, np.zeros(n, np.int64)  # of each match, with the gap before it: words that agree and that do not
+    for i in range(1, n):
+        px, py = x[i - 1] + K, y[i - 1] + K
+        more = max(x[i] - px, y[i] - py)
+        same = _gap(a[px - a_from : max(x[i], px) - a_from], b[py - b_from : max(y[i], py) - b_from]) if more > 0 else 0
+        agree[i] = min(K, x[i] - x[i - 1]) + same
+        off[i] = max(more - same, abs(x[i] - x[i - 1] - y[i] + y[i - 1]))
+    sums = np.cumsum(agree)
+    found, parts = [], [(0, n)]
+    while parts:
+        lo, hi = parts.pop()
+        first, last = x[lo], x[hi - 1] + K
+        if last - first < CHAIN_WORDS:
+            continue
+        # the ends may grow as far as the parts beside them
+        a_lo, b_lo = (x[lo - 1] + K, y[lo - 1] + K) if lo else (a_from, b_from)
+        a_hi, b_hi = (x[hi], y[hi]) if hi < n else (a_from + len(a), b_from + len(b))
+        left, l_same = _extend(a[max(a_lo - a_from, 0) : first - a_from][::-1], b[max(b_lo - b_from, 0) : y[lo] - b_from][::-1])
+        right, r_same = _extend(a[last - a_from : max(a_hi, last) - a_from], b[y[hi - 1] + K - b_from : max(b_hi, y[hi - 1] + K) - b_from])
+        start, end, other, other_end = first - left, last + right, y[lo] - left, y[hi - 1] + K + right
+        share = (K + int(sums[hi - 1] - sums[lo]) + l_same + r_same) / max(end - start, other_end - other)
+        if share >= AGREE:
+            found.append((start, end, other, other_end, share))
+        elif hi - lo > 1:
+            at = lo + 1 + int(off[lo + 1 : hi].argmax())
+            parts += [(lo, at), (at, hi)]
+    return sorted(found)
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,9 +268,9 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             numbers = sorted(side)
             held.append((np.concatenate([np.frombuffer(side[k], "<u4") for k in numbers]), numbers[0] * BLOCK))
         (a, a_from), (b, b_from) = held
-        start, end, other, other_end, agree = align(*path, a, a_from, b, b_from)
-        if agree >= AGREE and (key[0] != key[1] or other_end <= start):
-            stretches.append((start, end, key[1], other, agree))
+        for start, end, other, other_end, agree in align(*path, a, a_from, b, b_from):
+            if key[0] != key[1] or other_end <= start:
+                stretches.append((start, end, key[1], other, agree))
 
     def finish():
         """The end of a document."""
