@@ -152,6 +152,17 @@ def test_two_passages_of_one_document_are_found_whatever_lies_between(spark):
     assert set(got) == {2, 3, 4} and near(got[2], [(0, 60), (160, 60)]) and near(got[3], [(0, 60), (130, 60)]) and near(got[4], [(30, 120)])
 
 
+def test_exact_repeats_are_found_though_their_seeds_occur_first_elsewhere(spark):
+    lines = [words(9) for _ in range(8)]
+    texts = [(i, [*words(70), *line, *words(70)]) for i, line in enumerate(lines)]
+    passage = sum(lines, [])
+    texts += [(100, [*words(40), *passage, *words(40)]), (101, [*words(80), *passage]), (102, [*passage[:50], *words(90)]), (103, [*passage[10:58], *words(90)])]
+    got = {r["doc_id"]: r for r in substring_dedup.passages(table(spark, [(i, " ".join(t)) for i, t in texts])).collect()}
+    assert set(got) == {101, 102}
+    assert (got[101]["start_word"], got[101]["n_words"], got[101]["source_id"], got[101]["source_word"]) == (80, 72, 100, 40)
+    assert (got[102]["start_word"], got[102]["n_words"], got[102]["source_id"], got[102]["source_word"]) == (0, 50, 100, 40)
+
+
 def test_chains_follow_order_and_break_at_long_gaps():
     x, y = [0, 6, 12, 200, 206], [50, 56, 62, 10, 16]
     assert sorted(substring_dedup.chains(x, y)) == [[0, 1, 2], [3, 4]]

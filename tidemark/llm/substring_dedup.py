@@ -6,11 +6,17 @@ occurrence, in the document of the smallest id. Other occurrences are matched to
 each other, so the matches are as many as the occurrences. Matches of a document and an anchor document
 are chained in order on both sides, with gap costs, through a Fenwick tree; chains are then aligned word
 by word and parted where they do not agree, and aligned stretches that adjoin are one passage.
+
+Anchors alone miss runs whose seeds occur first in various other documents. So, where PASSAGE_WORDS words of a
+document have only seeds that occur before and no passage covers them, each such run is looked up by its hash
+among all places of those seeds, and joined to its first occurrence. An exact repeat has the same seeds
+wherever it occurs, so none of PASSAGE_WORDS words is missed.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,13 +184,31 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (hashes, ids, places, firsts)], ["seed", "doc_id", "pos", "first"])
 
 
-CHAINS = "doc_id long, source_id long, chain int, xs array<int>, ys array<int>"
+CHAINS = "doc_id long, source_id long, chain int, xs array<int>, ys array<int>, seeds array<long>"
+
+
+def candidates(at: dict[int, int]) -> list[tuple[int, int, int]]:
+    """Start, end and seed of stretches in which runs of PASSAGE_WORDS words may repeat; at: repeated seeds by place.
+
+    Such a run has a seed among its first WINDOW words and one among its last WINDOW + K - 1, all of its own
+    seeds are repeated, and seeds in it are at most WINDOW apart. Each run is in the stretch of its first seed.
+    """
+    found, last = [], None
+    latest = PASSAGE_WORDS - K - WINDOW + 1  # the last seed of a run is so far from its start at least
+    places = sorted(at, reverse=True)
+    for after, p in zip([None, *places], places):
+        if after is None or after - p > WINDOW:
+            last = p
+        if last >= p + latest - WINDOW + 1:
+            found.append((max(p - WINDOW + 1, 0), min(p, last - latest) + PASSAGE_WORDS, at[p]))
+    return found
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of doc_id, source_id, pos: chains of each pair of documents."""
+    """Rows in order of doc_id, source_id, pos: chains of each pair of documents, and a row without a source for a document's candidates."""
     rows: list[tuple] = []
     pair, x, y = None, [], []
+    at: dict[int, int] = {}  # seeds of the document
 
     def close():
         if pair is None:
@@ -192,25 +216,35 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
         for path in chains(x, y):
             if x[path[-1]] + K - x[path[0]] >= CHAIN_WORDS:
-                rows.append((*pair, number, [x[i] for i in path], [y[i] for i in path]))
+                rows.append((*pair, number, [x[i] for i in path], [y[i] for i in path], None))
                 number += 1
 
+    def finish():
+        """The end of a document."""
+        if pair is not None and (found := candidates(at)):
+            rows.append((pair[0], None, -1, *map(list, zip(*found))))
+        at.clear()
+
     def out():
-        cols = list(zip(*rows)) or [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "source_id", "chain", "xs", "ys"])
+        cols = list(zip(*rows)) or [[]] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "source_id", "chain", "xs", "ys", "seeds"])
         rows.clear()
         return batch
 
     for b in batches:
-        for d, s, i, j in zip(*(b[c].to_pylist() for c in ("doc_id", "source_id", "pos", "source_pos"))):
+        for d, s, i, j, seed in zip(*(b[c].to_pylist() for c in ("doc_id", "source_id", "pos", "source_pos", "seed"))):
             if pair != (d, s):
                 close()
+                if pair is not None and pair[0] != d:
+                    finish()
                 pair, x, y = (d, s), [], []
             x.append(i)
             y.append(j)
+            at[i] = seed
         yield out()
     close()
+    finish()
     yield out()
 
 
@@ -229,6 +263,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(held, pa.binary())], ["doc_id", "block", "words"])
 
 
+STRETCHES = "doc_id long, start int, end int, source_id long, source_word int, agree double, seed long"
 PASSAGES = "doc_id long, start_word int, n_words int, source_id long, source_word int, agree double"
 
 
@@ -254,9 +289,10 @@ def merged(stretches: list[tuple[int, int, int, int, float]]) -> list[tuple[int,
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of doc_id, source_id, chain, side, block: passages, document by document."""
+    """Rows in order of doc_id, source_id, chain, side, block: aligned stretches, and seeds of candidates that no passage covers."""
     rows: list[tuple] = []
     stretches: list[tuple] = []  # of the document
+    wanted: list[tuple] = []  # its candidates
     key, path, sides = None, None, ({}, {})
 
     def close():
@@ -275,25 +311,33 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def finish():
         """The end of a document."""
         if key is not None:
-            rows.extend((key[0], *p) for p in merged(stretches))
+            rows.extend((key[0], *t, None) for t in stretches)
+            spans = [(p[0], p[0] + p[1]) for p in merged(stretches)]
+            for start, end, seed in wanted:
+                i = bisect_right(spans, start, key=lambda span: span[0])
+                if not i or spans[i - 1][1] < end:
+                    rows.append((key[0], None, None, None, None, None, seed))
             stretches.clear()
+            wanted.clear()
 
     def out():
-        cols = list(zip(*rows)) or [[]] * 6
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64())
-        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [c.split()[0] for c in PASSAGES.split(", ")])
+        cols = list(zip(*rows)) or [[]] * 7
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int64())
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [c.split()[0] for c in STRETCHES.split(", ")])
         rows.clear()
         return batch
 
     for batch in batches:
-        columns = (batch[c].to_pylist() for c in ("doc_id", "source_id", "chain", "side", "block", "words", "xs", "ys"))
-        for d, s, c, side, block, words, xs, ys in zip(*columns):
+        columns = (batch[c].to_pylist() for c in ("doc_id", "source_id", "chain", "side", "block", "words", "xs", "ys", "seeds"))
+        for d, s, c, side, block, words, xs, ys, seeds in zip(*columns):
             if key != (d, s, c):
                 close()
                 if key is not None and key[0] != d:
                     finish()
                 key, path, sides = (d, s, c), None, ({}, {})
-            if xs is not None:
+            if seeds is not None:
+                wanted.extend(zip(xs, ys, seeds))
+            elif xs is not None:
                 path = (xs, ys)
             else:
                 sides[side][block] = words
@@ -303,6 +347,54 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes and starts of all runs of PASSAGE_WORDS words that start up to WINDOW - 1 words before given places."""
+    words = Words()
+    for b in batches:
+        hashes, ids, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for doc_id, text, places in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["places"].to_pylist()):
+            w = words(text or "")
+            if len(w) >= PASSAGE_WORDS:
+                at = np.unique(np.subtract.outer(np.array(places), np.arange(WINDOW)))
+                at = at[(at >= 0) & (at <= len(w) - PASSAGE_WORDS)]
+                hashes.append(shingles(w, PASSAGE_WORDS)[at].view(np.int64))
+                ids.append(np.full(len(at), doc_id, np.int64))
+                starts.append(at.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (hashes, ids, starts)], ["window", "doc_id", "start"])
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of doc_id, start: passages, document by document."""
+    rows: list[tuple] = []
+    doc, stretches, exact = None, [], {}
+
+    def finish():
+        rows.extend((doc, *p) for p in merged(stretches))
+        stretches.clear()
+        exact.clear()
+
+    for batch in batches:
+        for d, start, end, source, other, agree in zip(*(batch[c].to_pylist() for c in ("doc_id", "start", "end", "source_id", "source_word", "agree"))):
+            if d != doc:
+                finish()
+                doc = d
+            # runs that overlap on both sides are one stretch
+            i = exact.get((source, other - start)) if agree == 1 else None
+            if i is not None and start <= stretches[i][1]:
+                stretches[i] = (stretches[i][0], max(end, stretches[i][1]), *stretches[i][2:])
+            else:
+                if agree == 1:
+                    exact[source, other - start] = len(stretches)
+                stretches.append((start, end, source, other, agree))
+        cols = list(zip(*rows)) or [[]] * 6
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names := [c.split()[0] for c in PASSAGES.split(", ")])
+        rows.clear()
+    finish()
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+
 def passages(docs: DataFrame, within: bool = False) -> DataFrame:
     """Repeated passages of docs (doc_id, text): doc_id, start_word, n_words, source_id, source_word, agree.
 
@@ -321,8 +413,8 @@ def passages(docs: DataFrame, within: bool = False) -> DataFrame:
         F.min_by("pos", F.when(F.col("first"), F.col("doc_id"))).alias("source_pos"),
     )
     anchors = written(anchors.where("n > 1"), "anchors")
-    matches = attach(found.select("seed", "doc_id", "pos"), anchors, "seed")
-    matches = matches.where(f"doc_id <> source_id OR pos >= source_pos + {K}" if within else "doc_id <> source_id").select("doc_id", "source_id", "pos", "source_pos")
+    repeated = written(attach(found.select("seed", "doc_id", "pos"), anchors, "seed").drop("n"), "repeated")
+    matches = repeated.where(f"doc_id <> source_id OR pos >= source_pos + {K}" if within else "doc_id <> source_id").select("doc_id", "source_id", "pos", "source_pos", "seed")
     order = ["doc_id", "source_id", "pos", "source_pos"]
     chained = written(matches.repartition("doc_id").sortWithinPartitions(*order).mapInArrow(_chain, CHAINS), "chains")
 
@@ -330,7 +422,7 @@ def passages(docs: DataFrame, within: bool = False) -> DataFrame:
     reach = lambda c: F.sequence(
         F.floor(F.greatest(first(c) - REACH, F.lit(0)) / BLOCK).cast("int"), F.floor((last(c) + K + REACH) / BLOCK).cast("int")
     )
-    whole = lambda side, who, c: chained.select(
+    whole = lambda side, who, c: chained.where("source_id IS NOT NULL").select(
         "doc_id", "source_id", "chain", F.lit(side).alias("side"), F.col(who).alias("owner"), F.explode(reach(c)).alias("block")
     )
     wanted = written(whole(0, "doc_id", "xs").unionByName(whole(1, "source_id", "ys")), "wanted")
@@ -341,10 +433,23 @@ def passages(docs: DataFrame, within: bool = False) -> DataFrame:
     words = written(words.select(F.col("doc_id").alias("owner"), "block", "words"), "words")
     filled = wanted.join(words.hint("merge"), ["owner", "block"]).select("doc_id", "source_id", "chain", "side", "block", "words")
     none = F.lit(None).cast("array<int>")
-    filled = filled.withColumns({"xs": none, "ys": none})
-    paths = chained.select("doc_id", "source_id", "chain", F.lit(0).alias("side"), F.lit(-1).alias("block"), F.lit(b"").alias("words"), "xs", "ys")
+    filled = filled.withColumns({"xs": none, "ys": none, "seeds": F.lit(None).cast("array<long>")})
+    paths = chained.select("doc_id", "source_id", "chain", F.lit(0).alias("side"), F.lit(-1).alias("block"), F.lit(b"").alias("words"), "xs", "ys", "seeds")
     ready = filled.unionByName(paths).repartition("doc_id").sortWithinPartitions("doc_id", "source_id", "chain", "side", "block")
-    return ready.mapInArrow(_align, PASSAGES)
+    aligned = written(ready.mapInArrow(_align, STRETCHES), "stretches")
+
+    # runs that no passage covers, by their hashes
+    asked = aligned.where("seed IS NOT NULL").select("seed").distinct().join(anchors.select("seed", "n").hint("merge"), "seed")
+    asked = written(asked, "asked")
+    places = attach(repeated.select("seed", "doc_id", "pos"), asked, "seed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("places"))
+    runs = texts.join(places.hint("shuffle_hash"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "places")
+    runs = written(runs.mapInArrow(_windows, "window long, doc_id long, start int"), "runs")
+    firsts = runs.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
+    firsts = written(firsts.where("n > 1").select("window", "n", F.col("first.doc_id").alias("source_id"), F.col("first.start").alias("source_word")), "firsts")
+    again = attach(runs, firsts, "window").where(f"doc_id <> source_id OR start >= source_word + {PASSAGE_WORDS}" if within else "doc_id <> source_id")
+    again = again.select("doc_id", "start", (F.col("start") + PASSAGE_WORDS).alias("end"), "source_id", "source_word", F.lit(1.0).alias("agree"))
+    both = aligned.where("seed IS NULL").drop("seed").unionByName(again)
+    return both.repartition("doc_id").sortWithinPartitions("doc_id", "start", "end", "source_id", "source_word").mapInArrow(_merge, PASSAGES)
 
 
 def _cut(text: str, spans: list[tuple[int, int]], words: Words) -> str:
