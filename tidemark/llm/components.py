@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import attach, written
+
+
+def _shuffled(code: Column) -> Column:
+    """A bijection of 64-bit numbers (xorshift), so that each round orders the nodes anew."""
+    code = code.bitwiseXOR(F.shiftleft(code, 13))
+    code = code.bitwiseXOR(F.shiftrightunsigned(code, 7))
+    return code.bitwiseXOR(F.shiftleft(code, 17))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root of every node that has an edge (a long, b long); root is the smallest node of its component.
 
-    Each round gives every node the smallest of itself and its neighbours and replaces the edges' ends by
-    these, so a star is one round and a path halves. Minima are combined before the shuffle, so a node with
-    many neighbours costs a task no more than its own rows.
+    Nodes bear codes. Each round gives every node the smallest code among itself and its neighbours and replaces
+    the edges' ends by these. All codes are shuffled before each round: were they in the order of the ids, a path
+    whose ids ascend would lose one node a round; in random order any path about halves. Minima are combined
+    before the shuffle, so a node with many neighbours costs a task no more than its own rows.
     """
-    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
-    labels = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), "labels")
+    first = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
+    edges = written(first.select(_shuffled(F.col("a")).alias("a"), _shuffled(F.col("b")).alias("b")).distinct(), "edges")
+    labels = written(first.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("code", _shuffled(F.col("node"))), "labels")
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m")), "least")
-        labels = written(
-            labels.join(least.hint("merge"), F.col("root") == F.col("v"), "left").select("node", F.coalesce("m", "root").alias("root")),
-            "labels",
-        )
+        labels = written(labels.join(least.hint("merge"), F.col("code") == F.col("v"), "left").select("node", _shuffled(F.coalesce("m", "code")).alias("code")), "labels")
         left = edges.join(least.hint("merge"), F.col("a") == F.col("v")).select(F.col("m").alias("a"), "b")
-        moved = left.join(least.hint("merge"), F.col("b") == F.col("v")).select("a", F.col("m").alias("b"))
-        edges = written(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    return labels
+        moved = left.join(least.hint("merge"), F.col("b") == F.col("v")).select("a", F.col("m").alias("b")).where("a <> b")
+        edges = written(moved.select(_shuffled(F.least("a", "b")).alias("a"), _shuffled(F.greatest("a", "b")).alias("b")).distinct(), "edges")
+    roots = written(labels.groupBy("code").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")), "roots")
+    return written(attach(labels, roots, "code").select("node", "root"), "components")

@@ -23,8 +23,12 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 4
 #: Hash buckets whose document frequencies weigh the shingles; a fixed number, whatever the corpus.
 DF_BITS = 16
-#: Buckets of as many documents are compared in one round; of larger ones so many documents with all others.
-ROUND, PIVOTS = 2000, 32
+#: Each round compares so many times as many documents of a bucket with all others as the round before.
+PIVOTS = 16
+#: Rows of a bucket, or partners of a document, that a task gets.
+PER_TASK = 512
+#: Groups of shingles by which bounds are kept.
+GROUPS = 32
 #: Weight that two sets must share, of the sum of their weights, to be SIMILARITY alike.
 SHARE = SIMILARITY / (1 + SIMILARITY) - 1e-9
 #: Steps of the tables of gamma variates.
@@ -111,10 +115,10 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (doc_id, digest of its words) for each document, and at the end the task's document frequencies."""
+    """A row (doc_id, h, digest of its words) for each document, and at the end the task's document frequencies."""
     words, df = Words(), np.zeros(1 << DF_BITS, np.int64)
     none = lambda n, kind: pa.nulls(n, kind)
-    names = ["doc_id", "digest", "bucket", "n"]
+    names = ["doc_id", "h", "digest", "bucket", "n"]
     for b in batches:
         digests = []
         for text in b["text"].to_pylist():
@@ -124,24 +128,25 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h = np.unique(shingles(w, WORDS)) >> np.uint64(64 - DF_BITS)
                 df += np.bincount(h.astype(np.int64), minlength=1 << DF_BITS)
         n = len(digests)
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(digests, pa.binary()), none(n, pa.int32()), none(n, pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], pa.array(digests, pa.binary()), none(n, pa.int32()), none(n, pa.int64())], names)
     at = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([none(len(at), pa.int64()), none(len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(df[at])], names)
+    yield pa.RecordBatch.from_arrays([none(len(at), pa.int64()), none(len(at), pa.int64()), none(len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(df[at])], names)
 
 
 def _sign(idf: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sampler = Words(), Sampler()
         for b in batches:
-            keys, ids = [], []
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
+            keys, ids, hashes = [], [], []
+            for doc_id, h, text in zip(b["doc_id"].to_pylist(), b["h"].to_pylist(), b["text"].to_pylist()):
                 w = words(text or "")
                 if len(w):
                     ids.append(doc_id)
+                    hashes.append(h)
                     keys.append(sampler.bands(*weighted(w, idf)))
             values = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * BANDS, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["doc_id", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), lists], ["doc_id", "h", "keys"])
 
     return run
 
@@ -166,10 +171,16 @@ def _verify(idf: np.ndarray):
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """The pairs (a, b) whose documents are alike enough."""
+    """The pairs (a, b) whose documents are alike enough. pairs: a written table.
+
+    The text of an `a` with many partners is sent out once for each PER_TASK of them.
+    """
+    counts = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.ceil(F.col("n") / PER_TASK)), "counts")
+    salted = attach(pairs, counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
+    u = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")).join(counts.hint("merge"), "a")
+    u = u.select("a", "a_text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     t = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
-    u = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
-    joined = pairs.join(t.hint("merge"), "b").join(u.hint("merge"), "a")
+    joined = salted.join(t.hint("merge"), "b").join(u.hint("merge"), ["a", "salt"])
     return joined.select("a", "b", "a_text", "b_text").mapInArrow(_verify(idf), "a long, b long, similarity double")
 
 
@@ -188,34 +199,63 @@ def _own(idf: np.ndarray):
 
 
 def _bounds(texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, w, shared: a document's weight, and the part of it on shingles that others of texts have as well."""
-    rows = texts.mapInArrow(_own(idf), "shingle long, doc_id long, w double")
-    by = rows.groupBy("shingle").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("w").alias("least"))
-    alone = by.where("a = b").groupBy("a").agg(F.sum("least").alias("alone"))
-    whole = rows.groupBy("doc_id").agg(F.sum("w").alias("w"))
-    return whole.join(alone.hint("merge"), F.col("doc_id") == F.col("a"), "left").select("doc_id", "w", (F.col("w") - F.coalesce("alone", F.lit(0.0))).alias("shared"))
-
-
-def _pivots(buckets: DataFrame) -> DataFrame:
-    """Of each bucket of more than ROUND documents (n) the PIVOTS that come first, of all others all documents."""
-    salted = buckets.where(F.col("n") > ROUND).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(256)))
-    few = salted.withColumn("rank", F.row_number().over(Window.partitionBy("key", "salt").orderBy("shared", "doc_id"))).where(F.col("rank") <= PIVOTS)
-    few = few.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("shared", "doc_id"))).where(F.col("rank") <= PIVOTS)
-    return buckets.where(F.col("n") <= ROUND).unionByName(few.drop("salt", "rank"))
-
-
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, links, roots): doc_id and rep of every document that has words (rep: smallest id with
-    the same words), verified links a, b, similarity between representatives, and node, root of their components.
-
-    First each document of a bucket is compared with the bucket's smallest. Components that arise need no
-    further comparison inside. Where components still share a bucket, a bound decides which of their documents
-    can be alike at all: what a document has on shingles of its own alone, it shares with nobody, so copies that
-    were edited apart drop out without being compared. All pairs that the bound leaves are compared; in buckets
-    of more than ROUND documents PIVOTS of them a round, until none is left. So no link is lost.
+    """doc_id, w, shared, s0, s1, ...: a document's weight, the part of it on shingles that others of texts have as
+    well, and that part by GROUPS groups of shingles. Two documents share at most the sum of the smaller ones.
+    """
+    rows = written(texts.mapInArrow(_own(idf), "shingle long, doc_id long, w double"), "shingles")
+    by = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.min("w").alias("w"))
+    alone = by.where("doc_id = last").select("shingle", "doc_id", F.lit(0.0).alias("w"), (-F.col("w")).alias("s"))
+    both = rows.select("shingle", "doc_id", "w", F.col("w").alias("s")).unionByName(alone).withColumn("g", F.pmod("shingle", F.lit(GROUPS)))
+    sums = [F.sum(F.when(F.col("g") == i, F.col("s")).otherwise(0.0)).alias(f"s{i}") for i in range(GROUPS)]
+    return both.groupBy("doc_id").agg(F.sum("w").alias("w"), F.sum("s").alias("shared"), *sums)
+
+
+def _pivots(opened: DataFrame, number: int) -> DataFrame:
+    """`number` documents of each bucket, to be compared with all others in it.
+
+    Those outside the bucket's largest component come first, for with all of them as pivots a bucket is settled;
+    among them, and where no component is larger, those that share most of their weight: the least edited of a
+    group of copies, which is like most of them.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    survey = written(texts.mapInArrow(_survey, "doc_id long, digest binary, bucket int, n long"), "survey")
+    sizes = written(opened.groupBy("key", "root").agg(F.count(F.lit(1)).alias("own")), "sizes")
+    top = sizes.groupBy("key").agg(F.max_by("root", F.struct("own", "root")).alias("top"), F.max("own").alias("own"), F.sum("own").alias("n"))
+    top = written(top.select("key", "n", F.when(F.col("own") > 1, F.col("top")).alias("top")), "top")
+    ranked = attach(opened.drop("n"), top, "key").withColumn("late", F.coalesce(F.col("root") == F.col("top"), F.lit(False)))
+    ranked = ranked.withColumn("apart", F.round(1 - F.col("shared") / F.col("w"), 9)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / PER_TASK)))
+    order = ("late", "apart", "doc_id")
+    few = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("key", "salt").orderBy(*order))).where(F.col("rank") <= number)
+    few = few.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("rank") <= number)
+    return few.select("key", "doc_id", "root", "n")
+
+
+def _candidates(opened: DataFrame, pivots: DataFrame, bounds: DataFrame) -> DataFrame:
+    """a, b: pairs of a pivot and another document of its bucket, of different components, that their bounds let be alike."""
+    names = ["w", *(f"s{i}" for i in range(GROUPS))]
+    salts = F.ceil(F.col("n") / PER_TASK)
+    known = bounds.select("doc_id", *names)
+    rows = opened.select("key", "doc_id", "root", F.pmod(F.xxhash64("doc_id"), salts).alias("salt")).join(known.hint("merge"), "doc_id")
+    p = pivots.select("key", "doc_id", "root", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt")).join(known.hint("merge"), "doc_id")
+    p = p.select("key", "salt", *(F.col(c).alias(f"p_{c}") for c in ("doc_id", "root", *names)))
+    most = sum((F.least(f"s{i}", f"p_s{i}") for i in range(1, GROUPS)), F.least("s0", "p_s0"))
+    alike = (F.col("root") != F.col("p_root")) & (most >= SHARE * (F.col("w") + F.col("p_w")) - 1e-6)
+    pairs = rows.join(p.hint("merge"), (rows["key"] == p["key"]) & (rows["salt"] == p["salt"]) & alike)
+    return pairs.select(F.least("doc_id", "p_doc_id").alias("a"), F.greatest("doc_id", "p_doc_id").alias("b")).distinct()
+
+
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(members, reps, links, roots): doc_id, digest and rows of every document that has words; digest, rep (the
+    smallest id with the same words) and n; verified links a, b, similarity between representatives; and node, root
+    of their components.
+
+    First each document of a bucket is compared with the bucket's smallest. Components that arise need no further
+    comparison inside. Where components still share a bucket, pivots are compared with all others in it, one a
+    bucket, then PIVOTS times as many in each further round, until no bucket holds two components that may yet be
+    linked. So no link between components is lost, and the work is that of the documents left apart, not of all
+    pairs. Bounds decide first which documents can be alike at all: what a document has on shingles of its own
+    alone it shares with nobody, and by groups of shingles two documents share at most the lesser weight.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).where("doc_id IS NOT NULL")
+    survey = written(texts.mapInArrow(_survey, "doc_id long, h long, digest binary, bucket int, n long"), "survey")
     # A fixed number of counts, whatever the corpus: these alone come to the driver.
     counts = survey.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     total = survey.where("digest IS NOT NULL").count()
@@ -223,43 +263,43 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     df[counts["bucket"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=np.float64)
     idf = np.log1p((total + 1) / (df + 1))
 
-    named = survey.where("digest IS NOT NULL").select("doc_id", "digest")
-    reps = written(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "reps")
-    members = written(attach(named, reps, "digest").select("doc_id", "rep"), "members")
+    # of rows that repeat an id one text stands for all
+    named = survey.where("digest IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("h", "digest")).alias("one"), F.count(F.lit(1)).alias("rows"))
+    members = written(named.select("doc_id", "rows", "one.h", "one.digest"), "members")
+    reps = members.groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("one"), F.count(F.lit(1)).alias("n"))
+    reps = written(reps.select("digest", F.col("one.doc_id").alias("rep"), F.col("one.h").alias("rep_h"), "n"), "reps")
 
-    signed = written(texts.mapInArrow(_sign(idf), "doc_id long, keys array<long>"), "signed")
-    own = signed.join(reps.select("rep").hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi")
-    rows = written(own.select("doc_id", F.explode("keys").alias("key")).distinct(), "bands")
+    signed = written(texts.mapInArrow(_sign(idf), "doc_id long, h long, keys array<long>"), "signed")
+    own = signed.join(reps.select("rep", "rep_h").hint("merge"), (F.col("doc_id") == F.col("rep")) & (F.col("h") == F.col("rep_h")), "left_semi")
+    rows = written(own.select("doc_id", "h", F.explode("keys").alias("key")).distinct(), "bands")
     shared = written(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    buckets = written(attach(rows, shared, "key").select("key", "doc_id", "first"), "buckets")
-    wanted = buckets.select(F.col("doc_id").alias("_id")).distinct()
-    near = written(texts.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]), "near")
+    buckets = written(attach(rows, shared, "key").select("key", "doc_id", "h", "first"), "buckets")
+    wanted = buckets.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    near = texts.join(wanted.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")
+    near = written(near.dropDuplicates(["doc_id", "h"]).select("doc_id", "text"), "near")
 
-    pairs = buckets.where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pairs = written(buckets.where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     found = written(_linked(pairs, near, idf), "links")
-    done = written(pairs, "pairs")
+    done = pairs
     roots = components(found)
     buckets = _open(buckets.where("doc_id > first").select("key", "doc_id"), roots)  # the smallest has met all others
     if buckets is None:
-        return members, found, roots
+        return members, reps, found, roots
     wanted = buckets.select(F.col("doc_id").alias("_id")).distinct()
     bounds = written(_bounds(near.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi"), idf), "bounds")
-    buckets = buckets.select("key", "doc_id").join(bounds.hint("merge"), "doc_id")
+    buckets, number = buckets.select("key", "doc_id").join(bounds.select("doc_id", "w", "shared").hint("merge"), "doc_id"), 1
     while True:
         buckets = _open(buckets, roots, bounded=True)
         if buckets is None:
-            return members, found, roots
-        pivots = written(_pivots(buckets), "pivots")
-        p = pivots.select("key", *(F.col(c).alias(f"p_{c}") for c in ("doc_id", "root", "w", "shared")))
-        alike = (F.col("root") != F.col("p_root")) & (F.least("shared", "p_shared") >= SHARE * (F.col("w") + F.col("p_w")))
-        once = (F.col("doc_id") > F.col("p_doc_id")) | (F.col("n") > ROUND)
-        pairs = buckets.join(p.hint("merge"), (buckets["key"] == p["key"]) & alike & once)
-        pairs = pairs.select(F.least("doc_id", "p_doc_id").alias("a"), F.greatest("doc_id", "p_doc_id").alias("b")).distinct()
-        pairs = written(pairs.join(done.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        found = written(found.unionByName(_linked(pairs, near, idf)), "links")
-        done = done.unionByName(pairs)
-        roots = components(found)
+            return members, reps, found, roots
+        pivots = written(_pivots(buckets, number), "pivots")
+        pairs = written(_candidates(buckets, pivots, bounds).join(done.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            found = written(found.unionByName(_linked(pairs, near, idf)), "links")
+            done = done.unionByName(pairs)
+            roots = components(found)
         buckets = buckets.drop("root", "n").join(pivots.select("key", "doc_id").hint("merge"), ["key", "doc_id"], "left_anti")
+        number *= PIVOTS
 
 
 def _open(buckets: DataFrame, roots: DataFrame, bounded: bool = False) -> DataFrame | None:
@@ -272,7 +312,7 @@ def _open(buckets: DataFrame, roots: DataFrame, bounded: bool = False) -> DataFr
     if bounded:
         sizes = placed.groupBy("key").agg(F.min("w").alias("least"), F.count(F.lit(1)).alias("n"))
         # partners of a document weigh at most what it shares, divided by SHARE, less its own weight
-        placed = written(attach(placed, written(sizes, "sizes"), "key").where(F.col("shared") / SHARE - F.col("w") >= F.col("least")).drop("least", "n"), "placed")
+        placed = written(attach(placed, written(sizes, "sizes"), "key").where(F.col("shared") / SHARE - F.col("w") >= F.col("least") - 1e-6).drop("least", "n"), "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
     mixed = written(mixed, "mixed")
     return None if mixed.isEmpty() else written(attach(placed, mixed, "key"), "open")
@@ -284,18 +324,19 @@ def dedup(docs: DataFrame) -> DataFrame:
     Classes are the connected components of documents linked by a weighted Jaccard similarity of 0.8 or
     more; class_id is the smallest doc_id in the class and that document is kept. Documents with the same
     words are one member each of the same class; links counts the verified links of a document's
-    representative. Texts of fewer than five words are one shingle. A text without words (null, empty,
-    signs only) or without a doc_id is a class of its own. Rows that repeat a doc_id are marked alike.
-    Other columns are ignored; an empty table gives no rows.
+    representative, enough to hold its class together. Texts of fewer than five words are one shingle. A text
+    without words (null, empty, signs only) or without a doc_id is a class of its own. Rows that repeat a doc_id
+    are one document: the text whose hash is smallest stands for all, and they are marked alike. Other columns
+    are ignored; an empty table gives no rows.
     """
-    members, found, roots = links(docs)
-    placed = members.join(roots.hint("merge"), F.col("rep") == F.col("node"), "left").select("doc_id", "rep", F.coalesce("root", "rep").alias("class_id"))
-    placed = written(placed.distinct(), "placed")
-    sizes = written(placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    ends = found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    known = attach(placed, sizes, "class_id")
-    known = known.join(ends.hint("merge"), "rep", "left").select(F.col("doc_id").alias("_id"), "class_id", F.col("n").alias("class_size"), "links")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(known.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
+    members, reps, found, roots = links(docs)
+    ends = found.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("links"))
+    placed = reps.join(roots.hint("merge"), F.col("rep") == F.col("node"), "left").join(ends.hint("merge"), F.col("rep") == F.col("v"), "left")
+    placed = written(placed.select("digest", "n", F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")), "placed")
+    sizes = written(placed.groupBy("class_id").agg(F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("texts")), "classes")
+    placed = written(attach(placed, sizes, "class_id", "texts").select("digest", "n", "class_id", "class_size", "links"), "placed")
+    known = written(attach(members.select("doc_id", "rows", "digest"), placed, "digest").drop("digest", "n"), "known")
+    out = attach(docs.select(F.col("doc_id").cast("long").alias("doc_id")), known, "doc_id", "rows", "left")
     return out.select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
