@@ -19,13 +19,14 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root of every node that has an edge (a long, b long); root is the smallest node of its component.
 
     Nodes bear codes. Each round gives every node the smallest code among itself and its neighbours and replaces
-    the edges' ends by these. All codes are shuffled before each round: were they in the order of the ids, a path
-    whose ids ascend would lose one node a round; in random order any path about halves. Minima are combined
-    before the shuffle, so a node with many neighbours costs a task no more than its own rows.
+    the edges' ends by these. At first the codes are the ids, so that stars around the smallest are one round; then
+    all are shuffled before each round: were they in the order of the ids, a path whose ids ascend would lose one
+    node a round; in random order any path about halves. Minima are combined before the exchange, so a node with
+    many neighbours costs a task no more than its own rows.
     """
     first = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
-    edges = written(first.select(_shuffled(F.col("a")).alias("a"), _shuffled(F.col("b")).alias("b")).distinct(), "edges")
-    labels = written(first.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("code", _shuffled(F.col("node"))), "labels")
+    edges = written(first.distinct(), "edges")
+    labels = written(first.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("code", F.col("node")), "labels")
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m")), "least")
