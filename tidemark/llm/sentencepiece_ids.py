@@ -9,20 +9,19 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import CACHE_WORDS
-
 #: Fixed values of the format: kinds of models and of pieces.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARK = "▁"
-#: Characters encoded at a time.
-CHUNK = 1_000_000
+#: Characters encoded at a time, parts that are joined, parts that a worker keeps before it starts afresh.
+CHUNK, TOGETHER, CACHE_PARTS = 1_000_000, 200, 700_000
 
 
 def parse(path: str):
@@ -78,41 +77,81 @@ def build(path: str):
     return t
 
 
+@lru_cache(maxsize=1)
+def codec(path: str) -> Codec:
+    """The worker's codec: tasks that run in a worker one after another know what those before have met."""
+    return Codec(path)
+
+
 class Codec:
     """Encodes and decodes by the rebuilt tokenizer; keeps the ids of parts between single blanks.
 
     Parts can be encoded apart only if no piece holds a marker behind other characters, the normaliser
-    changes nothing but blanks, and the text has no runs of blanks; else a text is encoded whole.
+    changes nothing but blanks, and the text has no runs of blanks; else a text is encoded whole. Parts met for
+    the first time are joined by blanks, many to a text, and told apart again by the pieces that open with a marker.
     """
 
     def __init__(self, path: str) -> None:
         m = parse(path)
-        self.tokenizer, self.known = build(path), {}
+        self.tokenizer = build(path)
         spec = m.normalizer_spec
         self.apart = spec.add_dummy_prefix and spec.escape_whitespaces and not spec.precompiled_charsmap and not any(MARK in p.piece.lstrip(MARK) or p.type == USER_DEFINED for p in m.pieces)
+        self.opens = np.array([p.piece.startswith(MARK) for p in m.pieces])
+        self._forget()
 
-    def _simple(self, text: str) -> bool:
-        return self.apart and text and text[0] != " " and text[-1] != " " and "  " not in text and MARK not in text
+    def _forget(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # parts that decoding does not give back
 
-    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
+    def _simple(self, text: str) -> bool:
+        return bool(self.apart and text and text[0] != " " and text[-1] != " " and "  " not in text and MARK not in text)
+
+    def _learn(self, parts: list[str], texts: list[str]) -> tuple[dict[str, bytes], list[np.ndarray]]:
+        """The ids of parts, and of whole texts, in one batch."""
+        groups = [parts[at : at + TOGETHER] for at in range(0, len(parts), TOGETHER)]
+        encoded = self.tokenizer.encode_batch_fast([*map(" ".join, groups), *texts], add_special_tokens=False)
+        found: dict[str, bytes] = {}
+        joined = [np.array(e.ids, "<u4") for e in encoded]
+        for group, ids in zip(groups, joined):
+            cuts = np.append(np.flatnonzero(self.opens[ids]), len(ids))
+            if len(cuts) != len(group) + 1 or cuts[0]:  # not to be told apart
+                own = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+            else:
+                raw, ends = ids.tobytes(), (cuts * 4).tolist()
+                own = [raw[i:j] for i, j in zip(ends, ends[1:])]
+            found.update(zip(group, own))
+            if self.decode([ids])[0] != " ".join(group):
+                self.odd.update(p for p, back in zip(group, self.decode([np.frombuffer(x, "<u4") for x in own])) if back != p)
+        return found, joined[len(groups) :]
+
+    def encode(self, texts: Sequence[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """The ids of each text, and whether decoding them gives it back.
+
+        A marker opens each part's ids and bytes of one character are never parted by it, so a text comes back
+        if its parts do.
+        """
+        if len(self.known) > CACHE_PARTS:
+            self._forget()
+        known = self.known
         parts = [t.split(" ") if self._simple(t) else None for t in texts]
-        new = list({p for ps in parts if ps for p in ps if p not in self.known})
         whole = [i for i, ps in enumerate(parts) if ps is None]
-        found = self.tokenizer.encode_batch_fast([*new, *(texts[i] for i in whole)], add_special_tokens=False)
-        long = {}
-        for p, e in zip(new, found):
-            (self.known if len(p) <= 40 else long)[p] = np.array(e.ids, "<u4").tobytes()
-        rest = dict(zip(whole, found[len(new) :]))
-        get = self.known.get
-        out = []
-        for i, ps in enumerate(parts):
+        new, rest = self._learn([p for p in set().union(*filter(None, parts)) if p not in known], [texts[i] for i in whole])
+        long = {p: b for p, b in new.items() if len(p) > 40}
+        known.update((p, b) for p, b in new.items() if len(p) <= 40)
+        ids: list[np.ndarray] = []
+        others = iter(rest)
+        for ps in parts:
             if ps is None:
-                out.append(np.array(rest[i].ids, "<u4"))
+                ids.append(next(others))
+            elif long:
+                ids.append(np.frombuffer(b"".join([known[p] if p in known else long[p] for p in ps]), "<u4"))
             else:
-                out.append(np.frombuffer(b"".join([get(p) or long[p] for p in ps]), "<u4"))
-        return out
+                ids.append(np.frombuffer(b"".join(map(known.__getitem__, ps)), "<u4"))
+        back = [not self.odd or self.odd.isdisjoint(ps) if ps else None for ps in parts]
+        for i, text in zip(whole, self.decode([ids[i] for i in whole])):
+            back[i] = text == texts[i]
+        self.odd.difference_update(long)
+        return ids, back
 
     def decode(self, ids: Sequence[np.ndarray]) -> list[str]:
         return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
@@ -133,7 +172,7 @@ def encode_documents(docs: DataFrame, model: str, with_ids: bool = True) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
-        codec, judge = Codec(model), sentencepiece.SentencePieceProcessor(model_file=model)
+        own, judge = codec(model), sentencepiece.SentencePieceProcessor(model_file=model)
         for b in batches:
             doc_ids, texts = b["doc_id"].to_pylist(), [t or "" for t in b["text"].to_pylist()]
             at = 0
@@ -143,9 +182,8 @@ def encode_documents(docs: DataFrame, model: str, with_ids: bool = True) -> Data
                     size += len(texts[to])
                     to += 1
                 part = texts[at:to]
-                ids = codec.encode(part)
-                same = [x.tolist() == y for x, y in zip(ids, judge.encode(part, num_threads=1))]
-                back = [x == y for x, y in zip(codec.decode(ids), part)]
+                ids, back = own.encode(part)
+                same = [np.array_equal(x, np.array(y, "<u4")) for x, y in zip(ids, judge.encode(part, num_threads=1))]
                 cols = [pa.array(doc_ids[at:to], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array(same), pa.array(back), pa.array([x.tolist() if with_ids else None for x in ids], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in OUT.split(", ")])
                 at = to
