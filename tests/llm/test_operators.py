@@ -235,6 +235,53 @@ def test_archives_come_back(spark):
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+AWKWARD = ["", " ", "\n", "Don't stop, it's 3.14!", "the-and of/the", "Ünïcödé ÉCOLE straße İstanbul", "e\u0301a\u0301 n\u0303", "日本語 テキスト 😀", "a\tb\r\nc\u00a0d\u2003e", "!!! ... ?!", "word. word, word; word: word! word?",
+           "word.. (word) 'word'", "x" * 5000, "MiXeD CaSe WORDS and ﬁgure ﬂow", "\x00 \x7f \u200b", "1 22 333 a1 b2c", "ǅ Ω ß ſ K", "और हिन्दी", "a" * 41 + " " + "B" * 60 + "."]
+
+
+def test_parts_give_the_ids_of_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.tokens import PartEncoder
+
+    path = vocabulary("word_bpe_49k.json")
+    letters = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzäéñ"), int(n))) for n in rng.integers(1, 14, 3000)]
+    texts = [*AWKWARD, *(" ".join(w.title() if rng.random() < 0.2 else w + str(rng.choice(["", ".", ",", "?!"])) for w in rng.choice(letters, 300)) for _ in range(40))]
+    own = [np.frombuffer(x, "<u2").tolist() for x in PartEncoder(path).encode(texts)]
+    assert own == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_decoded_parts_tell_of_whole_texts():
+    own = sentencepiece_ids.codec(vocabulary("piece_bpe_32k.model"))
+    for _ in range(2):  # the second time from what is known
+        ids, back = own.encode(AWKWARD)
+        assert back == [x == y for x, y in zip(own.decode(ids), AWKWARD)]
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+def test_unigram_models_are_rebuilt(spark, tmp_path, fallback):
+    """A model written by hand: pieces with scores, which the public model lacks."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    letters = ["".join(rng.choice(list("abcdefgh"), int(n))) for n in rng.integers(1, 7, 200)]
+    lines = [" ".join(rng.choice(letters, 12)) for _ in range(40)]
+    made = sentencepiece_model_pb2.ModelProto()
+    parts = {*"abcdefgh", "▁", *(f"▁{w[:k]}" for w in letters[:60] for k in range(1, len(w) + 1)), *(w[k:] for w in letters[:60] for k in range(len(w)))}
+    kinds = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{i:02X}>", 0.0, 6) for i in range(256) if fallback)]
+    for piece, score, kind in [*kinds, *((w, -2.0 - float(rng.random() * 9), 1) for w in sorted(parts))]:
+        made.pieces.add(piece=piece, score=score, type=kind)
+    made.trainer_spec.model_type, made.trainer_spec.byte_fallback = 1, fallback
+    made.normalizer_spec.name = "identity"
+    model = str(tmp_path / "m.model")
+    (tmp_path / "m.model").write_bytes(made.SerializeToString())
+    judge = sentencepiece.SentencePieceProcessor(model_file=model)
+    texts = list(enumerate([*lines, "", "  two  blanks ", "zebra ünd ½ ﬁ", "日本 a"]))
+    got = {r["doc_id"]: r for r in sentencepiece_ids.encode_documents(table(spark, texts), model).collect()}
+    for i, t in texts:
+        assert got[i]["ids"] == judge.encode(t) and got[i]["parity"], t
+
+
 def test_pieces_are_those_of_the_library(spark):
     import sentencepiece
 

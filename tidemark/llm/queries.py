@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, fingerprints, html_text, licenses, near_dedup, packing, sentencepiece_ids, substring_dedup, toxicity, warc
 
-#: Folder of the public tokenizers' files.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def vocabulary(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    return str(public_tokenizers.path(name))
 
 
 def op1_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,19 +34,17 @@ class PartEncoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of more than 16 bits")
         # for words already in lower case and apart, the same model without the passes that put them so
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {"": b""}
-        self.signs = {s: self._alone(s) for s in SIGNS}
+        self.signs = {s: self._alone(s) for s in ["", *SIGNS]}
 
     def _alone(self, part: str) -> bytes:
         return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u2").tobytes()
 
-    @staticmethod
-    def _plain(word: str) -> bool:
-        return word.isalpha() and (word.isascii() or unicodedata.is_normalized("NFC", word))
-
     def _words(self, words: list[str]) -> dict[str, bytes]:
         found: dict[str, bytes] = {}
         for at in range(0, len(words), TOGETHER):
@@ -62,21 +60,29 @@ class PartEncoder:
         return found
 
     def _learn(self, parts: Iterable[str]) -> dict[str, bytes]:
-        simple, found = {}, {}
+        whole, lows, signs, others = [], [], [], []
         for p in parts:
             word = p.rstrip(SIGNS)
-            low = word.lower() if word.isascii() else "".join(map(str.lower, word))  # letter by letter, as the tokenizer does
-            if low and len(p) - len(word) <= 1 and self._plain(word) and self._plain(low):
-                simple[p] = (low, p[len(word) :])
+            if word.isalpha() and len(p) - len(word) <= 1:
+                if word.isascii():
+                    low = word.lower()
+                else:
+                    low = "".join(map(str.lower, word))  # letter by letter, as the tokenizer does
+                    if not (low.isalpha() and unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low)):
+                        others.append(p)
+                        continue
+                whole.append(p)
+                lows.append(low)
+                signs.append(self.signs[p[len(word) :]])
             else:
-                found[p] = self._alone(p)
+                others.append(p)
         known = self.known
-        ids = self._words(list({low for low, _ in simple.values() if low not in known}))
-        for p, (low, sign) in simple.items():
-            own = ids.get(low)
-            found[p] = (known[low] if own is None else own) + (self.signs[sign] if sign else b"")
-        for low, own in ids.items():
-            found.setdefault(low, own)
+        found = self._words([low for low in set(lows) if low not in known])
+        get = lambda low: found[low] if low in found else known[low]
+        own = [get(low) + sign for low, sign in zip(lows, signs)]
+        found.update(zip(whole, own))
+        for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            found[p] = np.array(e.ids, "<u2").tobytes()
         return found
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
@@ -84,7 +90,7 @@ class PartEncoder:
             self.known = {"": b""}
         known = self.known
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = self._learn({p for ps in parts for p in ps if p not in known})
+        new = self._learn([p for p in set().union(*parts) if p not in known])
         long = {p: b for p, b in new.items() if len(p) > 40}
         known.update((p, b) for p, b in new.items() if len(p) <= 40)
         if not long:
