@@ -163,6 +163,52 @@ def test_exact_repeats_are_found_though_their_seeds_occur_first_elsewhere(spark)
     assert (got[102]["start_word"], got[102]["n_words"], got[102]["source_id"], got[102]["source_word"]) == (0, 50, 100, 40)
 
 
+@pytest.mark.parametrize("edits", [0, 1, 2, 3])
+def test_passages_are_found_though_many_quote_parts_of_them_before(spark, edits):
+    passage = words(80)
+    quote = lambda i: (i, [*words(30), *passage[i % 75 : i % 75 + 6], *words(30)])
+    copy = list(passage)
+    for k in range(edits):
+        copy[15 + 20 * k] = f"edit{k}"
+    texts = [*map(quote, range(75)), (100, [*words(40), *passage, *words(40)]), *map(quote, range(150, 225, 3)), (300, [*words(40), *copy, *words(40)])]
+    got = substring_dedup.passages(table(spark, [(i, " ".join(t)) for i, t in texts])).collect()
+    assert [r["doc_id"] for r in got] == [300] and abs(got[0]["start_word"] - 40) <= 2 and abs(got[0]["n_words"] - 80) <= 4
+
+
+def test_every_run_of_fifty_words_that_repeats_is_covered(spark):
+    """Brute force: all runs of PASSAGE_WORDS words of all texts."""
+    pool = [words(int(n)) for n in rng.integers(5, 90, 12)]
+    texts = []
+    for i in range(60):
+        parts = [pool[int(k)][: int(rng.integers(4, 90))] if rng.random() < 0.5 else words(int(rng.integers(3, 40))) for k in rng.integers(0, len(pool), 6)]
+        texts.append((i, sum(parts, [])))
+    size, seen, repeated = substring_dedup.PASSAGE_WORDS, {}, set()
+    for i, t in texts:
+        for at in range(len(t) - size + 1):
+            run = tuple(t[at : at + size])
+            if seen.setdefault(run, i) != i:
+                repeated.update((i, at + k) for k in range(size))
+    found = set()
+    for r in substring_dedup.passages(table(spark, [(i, " ".join(t)) for i, t in texts])).collect():
+        found.update((r["doc_id"], r["start_word"] + k) for k in range(r["n_words"]))
+    assert len(repeated) > 500 and repeated <= found
+
+
+def test_hashes_of_runs_do_not_depend_on_their_place():
+    w = rng.integers(0, 2**63, 300).astype(np.uint64)
+    w[200:260] = w[10:70]
+    h = substring_dedup.run_hashes(w, np.arange(251), 50)
+    assert (h[200:211] == h[10:21]).all() and len(np.unique(h)) == 251 - 11
+
+
+def test_seeds_of_long_texts_are_those_of_their_parts(monkeypatch):
+    w = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    h, at = substring_dedup.seeds(w)
+    monkeypatch.setattr(substring_dedup, "STEP", 700)
+    again, places = substring_dedup.seeds(w)
+    assert (at == places).all() and (h == again).all()
+
+
 def test_chains_follow_order_and_break_at_long_gaps():
     x, y = [0, 6, 12, 200, 206], [50, 56, 62, 10, 16]
     assert sorted(substring_dedup.chains(x, y)) == [[0, 1, 2], [3, 4]]

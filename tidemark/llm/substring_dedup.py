@@ -7,10 +7,12 @@ each other, so the matches are as many as the occurrences. Matches of a document
 are chained in order on both sides, with gap costs, through a Fenwick tree; chains are then aligned word
 by word and parted where they do not agree, and aligned stretches that adjoin are one passage.
 
-Anchors alone miss runs whose seeds occur first in various other documents. So, where PASSAGE_WORDS words of a
-document have only seeds that occur before and no passage covers them, each such run is looked up by its hash
-among all places of those seeds, and joined to its first occurrence. An exact repeat has the same seeds
-wherever it occurs, so none of PASSAGE_WORDS words is missed.
+Anchors alone miss passages whose seeds occur first in various other documents, as short quotations. Two steps
+find them where no passage covers a stretch of seeds that occur before. Seeds that stand close are paired there,
+and each pair is matched to its own first occurrence and chained as single seeds are: a quotation too short to be a
+passage seldom holds two. And where PASSAGE_WORDS words have only seeds that occur before, each such run is looked
+up by its hash among all places of those seeds, and joined to its first occurrence. An exact repeat has the same
+seeds wherever it occurs, so none of PASSAGE_WORDS words is missed.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ CHAIN_WORDS, PASSAGE_WORDS, AGREE, JOIN_WORDS = 12, 50, 0.8, 8
 REACH, DROP = 24, 4
 #: Words of a block, the unit in which alignments fetch the words of documents.
 BLOCK = 64
+#: Words between neighbouring seeds of an open stretch at most, words that it spans at least, seeds that each is paired with.
+APART, OPEN_WORDS, NEXT = 36, 24, 3
+#: Places of a text whose windows are searched for seeds at a time.
+STEP = 1 << 20
 
 
 def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,20 +48,34 @@ def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(words) < K:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h = shingles(words, K)
-    low = np.uint64(24)
-    pos = np.arange(len(h), dtype=np.uint64)
-    key = (mix(h) >> low << low) | pos
-    w = min(WINDOW, len(h))
-    span = 1
-    while span * 2 <= w:
-        key = np.minimum(key[:-span], key[span:])
-        span *= 2
-    if span < w:
-        key = np.minimum(key[: len(key) - (w - span)], key[w - span :])
-    at = np.unique(key & np.uint64((1 << 24) - 1)).astype(np.int64)
+    w, found = min(WINDOW, len(h)), []
+    for lo in range(0, len(h) - w + 1, STEP):
+        part = h[lo : lo + STEP + w - 1]
+        key = (mix(part) >> np.uint64(24) << np.uint64(24)) | np.arange(len(part), dtype=np.uint64)
+        span = 1
+        while span * 2 <= w:
+            key = np.minimum(key[:-span], key[span:])
+            span *= 2
+        if span < w:
+            key = np.minimum(key[: len(key) - (w - span)], key[w - span :])
+        found.append(np.unique(key & np.uint64((1 << 24) - 1)).astype(np.int64) + lo)
+    at = np.unique(np.concatenate(found))
     return h[at], at
 
 
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def run_hashes(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the `size` words from each place on, whatever stands around them: sums of words times powers, set back to the same power."""
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(len(words), _BASE, np.uint64))
+        sums = np.append(np.uint64(0), np.cumsum(words * powers))
+        back = np.cumprod(np.full(len(words), _INVERSE, np.uint64))
+        return mix((sums[at + size] - sums[at]) * back[at])
+
+
 def chains(x: list[int], y: list[int], same: bool = False) -> list[list[int]]:
     """Chains of matches (indexes, in order), best first; each match is in one chain at most.
 
@@ -204,8 +224,26 @@ def candidates(at: dict[int, int]) -> list[tuple[int, int, int]]:
     return found
 
 
+def open_pairs(at: dict[int, int]) -> list[tuple[int, int, int]]:
+    """Each seed with the NEXT ones after it, in stretches where they stand close: place of both, and a hash of the pair; at: repeated seeds by place.
+
+    More than one after it, for what is edited in one text may be a repeated seed in the other.
+    """
+    places, found, start = sorted(at), [], 0
+    for i in range(1, len(places) + 1):
+        if i == len(places) or places[i] - places[i - 1] > APART:
+            own = places[start:i]
+            if own[-1] + K - own[0] >= OPEN_WORDS:
+                found += [(own[j], own[k], hash((at[own[j]], at[own[k]]))) for j in range(len(own)) for k in range(j + 1, min(j + 1 + NEXT, len(own)))]
+            start = i
+    return found
+
+
+CANDIDATES, PAIRS = -1, -2
+
+
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of doc_id, source_id, pos: chains of each pair of documents, and a row without a source for a document's candidates."""
+    """Rows in order of doc_id, source_id, pos: chains of each pair of documents, and rows without a source for a document's candidates and pairs."""
     rows: list[tuple] = []
     pair, x, y = None, [], []
     at: dict[int, int] = {}  # seeds of the document
@@ -221,8 +259,9 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def finish():
         """The end of a document."""
-        if pair is not None and (found := candidates(at)):
-            rows.append((pair[0], None, -1, *map(list, zip(*found))))
+        for kind, found in ((CANDIDATES, candidates(at)), (PAIRS, open_pairs(at))):
+            if pair is not None and found:
+                rows.append((pair[0], None, kind, *map(list, zip(*found))))
         at.clear()
 
     def out():
@@ -241,7 +280,8 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pair, x, y = (d, s), [], []
             x.append(i)
             y.append(j)
-            at[i] = seed
+            if seed is not None:  # pairs are not asked for again
+                at[i] = seed
         yield out()
     close()
     finish()
@@ -263,7 +303,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(held, pa.binary())], ["doc_id", "block", "words"])
 
 
-STRETCHES = "doc_id long, start int, end int, source_id long, source_word int, agree double, seed long"
+STRETCHES = "doc_id long, start int, end int, source_id long, source_word int, agree double, seed long, pair long"
 PASSAGES = "doc_id long, start_word int, n_words int, source_id long, source_word int, agree double"
 
 
@@ -289,10 +329,10 @@ def merged(stretches: list[tuple[int, int, int, int, float]]) -> list[tuple[int,
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of doc_id, source_id, chain, side, block: aligned stretches, and seeds of candidates that no passage covers."""
+    """Rows in order of doc_id, source_id, chain, side, block: aligned stretches, and seeds of candidates and pairs that no passage covers."""
     rows: list[tuple] = []
     stretches: list[tuple] = []  # of the document
-    wanted: list[tuple] = []  # its candidates
+    wanted: list[tuple] = []  # its candidates and pairs
     key, path, sides = None, None, ({}, {})
 
     def close():
@@ -311,18 +351,18 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def finish():
         """The end of a document."""
         if key is not None:
-            rows.extend((key[0], *t, None) for t in stretches)
+            rows.extend((key[0], *t, None, None) for t in stretches)
             spans = [(p[0], p[0] + p[1]) for p in merged(stretches)]
-            for start, end, seed in wanted:
+            for kind, start, end, seed in wanted:
                 i = bisect_right(spans, start, key=lambda span: span[0])
                 if not i or spans[i - 1][1] < end:
-                    rows.append((key[0], None, None, None, None, None, seed))
+                    rows.append((key[0], start, None, None, None, None, None, seed) if kind == PAIRS else (key[0], None, None, None, None, None, seed, None))
             stretches.clear()
             wanted.clear()
 
     def out():
-        cols = list(zip(*rows)) or [[]] * 7
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int64())
+        cols = list(zip(*rows)) or [[]] * 8
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
         batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [c.split()[0] for c in STRETCHES.split(", ")])
         rows.clear()
         return batch
@@ -336,7 +376,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     finish()
                 key, path, sides = (d, s, c), None, ({}, {})
             if seeds is not None:
-                wanted.extend(zip(xs, ys, seeds))
+                wanted.extend((c, *t) for t in zip(xs, ys, seeds))
             elif xs is not None:
                 path = (xs, ys)
             else:
@@ -357,7 +397,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(w) >= PASSAGE_WORDS:
                 at = np.unique(np.subtract.outer(np.array(places), np.arange(WINDOW)))
                 at = at[(at >= 0) & (at <= len(w) - PASSAGE_WORDS)]
-                hashes.append(shingles(w, PASSAGE_WORDS)[at].view(np.int64))
+                hashes.append(run_hashes(w, at, PASSAGE_WORDS).view(np.int64))
                 ids.append(np.full(len(at), doc_id, np.int64))
                 starts.append(at.astype(np.int32))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (hashes, ids, starts)], ["window", "doc_id", "start"])
@@ -395,26 +435,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
-def passages(docs: DataFrame, within: bool = False) -> DataFrame:
-    """Repeated passages of docs (doc_id, text): doc_id, start_word, n_words, source_id, source_word, agree.
-
-    A row says that PASSAGE_WORDS or more words of doc_id, from its start_word-th word on, repeat words of
-    documents with smaller ids (with `within`, also earlier words of its own); source_id has the longest stretch of them, from
-    source_word on, and agree is the least share of words that agree in any stretch. The first occurrence is
-    not listed. Words are runs of letters and digits in lower case. Null and short texts have no passages,
-    nor have rows without a doc_id; rows that share a doc_id are searched as one document. Other columns are
-    ignored; an empty table gives no rows.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    found = written(texts.mapInArrow(_seeds, "seed long, doc_id long, pos int, first boolean"), "seeds")
-    anchors = found.groupBy("seed").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("doc_id").alias("source_id"),
-        F.min_by("pos", F.when(F.col("first"), F.col("doc_id"))).alias("source_pos"),
-    )
-    anchors = written(anchors.where("n > 1"), "anchors")
-    repeated = written(attach(found.select("seed", "doc_id", "pos"), anchors, "seed").drop("n"), "repeated")
-    matches = repeated.where(f"doc_id <> source_id OR pos >= source_pos + {K}" if within else "doc_id <> source_id").select("doc_id", "source_id", "pos", "source_pos", "seed")
+def _aligned(texts: DataFrame, matches: DataFrame) -> DataFrame:
+    """Stretches that the chains of matches (doc_id, source_id, pos, source_pos, seed) align, and what no passage of them covers."""
     order = ["doc_id", "source_id", "pos", "source_pos"]
     chained = written(matches.repartition("doc_id").sortWithinPartitions(*order).mapInArrow(_chain, CHAINS), "chains")
 
@@ -436,7 +458,37 @@ def passages(docs: DataFrame, within: bool = False) -> DataFrame:
     filled = filled.withColumns({"xs": none, "ys": none, "seeds": F.lit(None).cast("array<long>")})
     paths = chained.select("doc_id", "source_id", "chain", F.lit(0).alias("side"), F.lit(-1).alias("block"), F.lit(b"").alias("words"), "xs", "ys", "seeds")
     ready = filled.unionByName(paths).repartition("doc_id").sortWithinPartitions("doc_id", "source_id", "chain", "side", "block")
-    aligned = written(ready.mapInArrow(_align, STRETCHES), "stretches")
+    return written(ready.mapInArrow(_align, STRETCHES), "stretches")
+
+
+def passages(docs: DataFrame, within: bool = False) -> DataFrame:
+    """Repeated passages of docs (doc_id, text): doc_id, start_word, n_words, source_id, source_word, agree.
+
+    A row says that PASSAGE_WORDS or more words of doc_id, from its start_word-th word on, repeat words of
+    documents with smaller ids (with `within`, also earlier words of its own); source_id has the longest stretch of them, from
+    source_word on, and agree is the least share of words that agree in any stretch. The first occurrence is
+    not listed. Words are runs of letters and digits in lower case. Null and short texts have no passages,
+    nor have rows without a doc_id; rows that share a doc_id are searched as one document. Other columns are
+    ignored; an empty table gives no rows.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    found = written(texts.mapInArrow(_seeds, "seed long, doc_id long, pos int, first boolean"), "seeds")
+    anchors = found.groupBy("seed").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("doc_id").alias("source_id"),
+        F.min_by("pos", F.when(F.col("first"), F.col("doc_id"))).alias("source_pos"),
+    )
+    anchors = written(anchors.where("n > 1"), "anchors")
+    repeated = written(attach(found.select("seed", "doc_id", "pos"), anchors, "seed").drop("n"), "repeated")
+    matches = repeated.where(f"doc_id <> source_id OR pos >= source_pos + {K}" if within else "doc_id <> source_id").select("doc_id", "source_id", "pos", "source_pos", "seed")
+    aligned = _aligned(texts, matches)
+
+    # pairs of seeds that no passage covers, matched to the first of their kind
+    pairs = aligned.where("pair IS NOT NULL").select("pair", "doc_id", F.col("start").alias("pos"))
+    firsts = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    firsts = written(firsts.where("n > 1").select("pair", "n", F.col("first.doc_id").alias("source_id"), F.col("first.pos").alias("source_pos")), "pair-firsts")
+    matches = attach(pairs, firsts, "pair").where("doc_id <> source_id").select("doc_id", "source_id", "pos", "source_pos", F.lit(None).cast("long").alias("seed"))
+    further = _aligned(texts, matches)
 
     # runs that no passage covers, by their hashes
     asked = aligned.where("seed IS NOT NULL").select("seed").distinct().join(anchors.select("seed", "n").hint("merge"), "seed")
@@ -448,7 +500,7 @@ def passages(docs: DataFrame, within: bool = False) -> DataFrame:
     firsts = written(firsts.where("n > 1").select("window", "n", F.col("first.doc_id").alias("source_id"), F.col("first.start").alias("source_word")), "firsts")
     again = attach(runs, firsts, "window").where(f"doc_id <> source_id OR start >= source_word + {PASSAGE_WORDS}" if within else "doc_id <> source_id")
     again = again.select("doc_id", "start", (F.col("start") + PASSAGE_WORDS).alias("end"), "source_id", "source_word", F.lit(1.0).alias("agree"))
-    both = aligned.where("seed IS NULL").drop("seed").unionByName(again)
+    both = aligned.where("source_id IS NOT NULL").unionByName(further).drop("seed", "pair").unionByName(again)
     return both.repartition("doc_id").sortWithinPartitions("doc_id", "start", "end", "source_id", "source_word").mapInArrow(_merge, PASSAGES)
 
 
