@@ -23,8 +23,12 @@ def _own_scratch() -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is named, as in tests."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_scratch()
+    """The shared folder that the cluster names. Without one a local folder serves a local master only, for
+    executors elsewhere could not read it."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or _own_scratch()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -34,6 +38,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import attach, written
+from .base import attach, fresh, written
 
 #: Rows after which a task's own index is emptied into the shuffle.
 LOCAL_ROWS = 200_000
@@ -162,6 +162,10 @@ def live_digests(digests: DataFrame, retired: DataFrame | None = None) -> DataFr
     return dealt.mapInArrow(_final, SCHEMA).select("digest", "keep_id", "n")
 
 
+def _digests(docs: DataFrame) -> DataFrame:
+    return written(docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")), "digests")
+
+
 def dedup(docs: DataFrame, retired: DataFrame | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -170,7 +174,7 @@ def dedup(docs: DataFrame, retired: DataFrame | None = None) -> DataFrame:
     alike. Other columns are ignored; an empty table gives an empty result. A text whose digest is in
     `retired` has been withdrawn from the index: none of its rows is kept, keep_id is null.
     """
-    digests = written(docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")), "digests")
+    digests = _digests(docs)
     index = written(live_digests(digests, retired), "live")
     out = attach(digests, index, "digest", how="inner" if retired is None else "left")
     return out.select(
@@ -183,6 +187,23 @@ def dedup(docs: DataFrame, retired: DataFrame | None = None) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, decided: DataFrame, keep: str = "kept") -> DataFrame:
-    """The rows of docs whose doc_id is marked in `decided`, with docs' own columns."""
-    ids = decided.where(keep).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of docs whose doc_id is marked in `decided`, with docs' own columns, whatever their names.
+
+    All rows of a doc_id go or stay together; null ids are matched with null ids; empty tables give no rows.
+    """
+    mine = fresh(docs, "_kept_id")
+    ids = decided.where(keep).select(F.col("doc_id").alias(mine)).distinct()
+    return docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(F.col(mine)), "left_semi")
+
+
+def unique_rows(docs: DataFrame) -> DataFrame:
+    """docs with one row for each text: of equal texts that of the largest doc_id, and of rows that repeat both one.
+
+    Null texts count as empty; a null doc_id stays only where its text has no other. Other columns are carried,
+    whatever their names; an empty table gives no rows.
+    """
+    mine = fresh(docs, "_row")
+    name = lambda digest, doc_id: F.concat_ws(":", digest, F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
+    index = live_digests(_digests(docs)).select(name(F.lower(F.hex("digest")), "keep_id").alias(mine))
+    rows = docs.withColumn(mine, name(F.sha2(F.coalesce("text", F.lit("")), 256), "doc_id"))
+    return rows.join(written(index, "live").hint("merge"), mine, "left_semi").dropDuplicates([mine]).drop(mine).select(docs.columns)

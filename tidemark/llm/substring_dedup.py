@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, attach, mix, shingles, written
+from .base import Words, attach, fresh, mix, shingles, written
 
 K, WINDOW = 6, 12
 #: Cost of a chain for each word between two seeds on either side; a seed is worth K.
@@ -520,19 +520,28 @@ def _cut(text: str, spans: list[tuple[int, int]], words: Words) -> str:
     return "".join(kept)
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Words()
-    for b in batches:
-        texts = [_cut(t or "", [(s["start_word"], s["n_words"]) for s in spans], words) if spans else t for t, spans in zip(b["text"].to_pylist(), b["spans"].to_pylist())]
-        n = b.schema.get_field_index("text")
-        yield b.set_column(n, b.schema.field(n), pa.array(texts, b.schema.field(n).type)).drop_columns(["spans"])
+def _remove(column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for b in batches:
+            texts = [_cut(t or "", [(s["start_word"], s["n_words"]) for s in spans], words) if spans else t for t, spans in zip(b["text"].to_pylist(), b[column].to_pylist())]
+            n = b.schema.get_field_index("text")
+            yield b.set_column(n, b.schema.field(n), pa.array(texts, b.schema.field(n).type)).drop_columns([column])
+
+    return run
 
 
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with the passages cut out of text, all rows kept; n_chars, if there is one, is counted anew where text changed."""
-    spans = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start_word", "n_words")).alias("spans"))
-    joined = docs.join(spans.hint("shuffle_hash"), docs["doc_id"] == F.col("_id"), "left").drop("_id")
-    touched = joined.where("spans IS NOT NULL").mapInArrow(_remove, docs.schema)
+    """docs with the passages cut out of text, all rows kept; n_chars, if there is one, is counted anew where text changed.
+
+    Rows that share a doc_id were searched as one document, and each loses all of its passages that lie within
+    it. Rows without a doc_id, null and empty texts stay as they are; other columns are carried, whatever their
+    names; an empty table gives no rows.
+    """
+    mine, column = fresh(docs, "_passage_doc"), fresh(docs, "_passage_spans")
+    spans = found.groupBy(F.col("doc_id").alias(mine)).agg(F.collect_set(F.struct("start_word", "n_words")).alias(column))
+    joined = docs.join(spans.hint("shuffle_hash"), docs["doc_id"] == F.col(mine), "left").drop(mine)
+    touched = joined.where(F.col(column).isNotNull()).mapInArrow(_remove(column), docs.schema)
     if "n_chars" in docs.columns:
         touched = touched.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.where("spans IS NULL").drop("spans").unionByName(touched)
+    return joined.where(F.col(column).isNull()).drop(column).unionByName(touched)

@@ -26,8 +26,8 @@ BUCKETS = 1 << 20
 STARTS = (4, 5, 6)
 #: Features, factors of each, labelled rows that a bucket must be in, and its likelihood ratio (G squared) at least.
 FEATURES, FACTORS, LEAST_ROWS, LEAST_RATIO = 2048, 8, 4, 15.0
-#: Labelled rows that the machine is fitted on, at most: those with the smallest hashes of their ids. A bound of
-#: the fit alone; which buckets are features is counted over all labelled rows.
+#: Labelled rows that the machine is fitted on, about: where there are more, those whose ids have small hashes. A
+#: bound of the fit alone; which buckets are features is counted over all labelled rows.
 FIT_ROWS = 40_000
 ITERATIONS, STEP, PENALTY = 80, 0.1, 1e-3
 TOXIC_FROM = 0.7
@@ -44,7 +44,7 @@ class Terms:
     def _of(self, part: str) -> tuple[int, ...]:
         found = set()
         for word in _WORD.findall(part.casefold()):
-            for term in (f"={word[:64]}", *(f"{n}{word[:n]}" for n in STARTS if len(word) >= n)):
+            for term in (f"={word}", *(f"{n}{word[:n]}" for n in STARTS if len(word) >= n)):
                 b = xxhash.xxh64_intdigest(term) % BUCKETS
                 if self.wanted is None:
                     found.add(b)
@@ -87,7 +87,7 @@ class Machine:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def fit(labelled: DataFrame, features: int = FEATURES, fit_rows: int = FIT_ROWS) -> Machine:
+def fit(labelled: DataFrame, features: int = FEATURES, fit_rows: int = FIT_ROWS, least_ratio: float = LEAST_RATIO, iterations: int = ITERATIONS, step: float = STEP, penalty: float = PENALTY) -> Machine:
     """A machine from labelled rows (doc_id, text, toxic 0/1); null labels do not count.
 
     Without both labels, or without a bucket that tells them apart, the machine gives the share of label 1 for every text (one half if there are no rows).
@@ -107,18 +107,18 @@ def fit(labelled: DataFrame, features: int = FEATURES, fit_rows: int = FIT_ROWS)
     m, t = F.col("m"), F.col("t")
     gain = xlogx(t) + xlogx(m - t) + xlogx(toxic - t) + xlogx(total - toxic - (m - t)) - xlogx(m) - xlogx(total - m)
     none = toxic * math.log(toxic) + (total - toxic) * math.log(total - toxic) - total * math.log(total)
-    best = counts.where(m >= LEAST_ROWS).withColumn("gain", gain).where(F.col("gain") - none >= LEAST_RATIO / 2).orderBy(F.desc("gain"), "bucket").limit(features)
+    best = counts.where(m >= LEAST_ROWS).withColumn("gain", gain).where(F.col("gain") - none >= least_ratio / 2).orderBy(F.desc("gain"), "bucket").limit(features)
     buckets = [r["bucket"] for r in best.select("bucket").collect()]  # FEATURES numbers at most
     if not buckets:
         return plain
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(fit_rows / max(fit_rows, total) * (1 << 20)))
     vectors = CountVectorizerModel.from_vocabulary([str(b) for b in buckets], inputCol="names", outputCol="features", minTF=1.0)
     vectors.setBinary(True)
     named = vectors.transform(sample.select("toxic", F.col("terms").cast("array<string>").alias("names")))
     ready = written(named.select(F.col("toxic").cast("double").alias("label"), "features"), "vectors")
     ready = ready.repartition(spark.sparkContext.defaultParallelism).cache()
     try:
-        fm = FMClassifier(factorSize=FACTORS, maxIter=ITERATIONS, stepSize=STEP, regParam=PENALTY, solver="adamW", initStd=0.05, seed=11).fit(ready)
+        fm = FMClassifier(factorSize=FACTORS, maxIter=iterations, stepSize=step, regParam=penalty, solver="adamW", initStd=0.05, seed=11).fit(ready)
     finally:
         ready.unpersist()
     return Machine(buckets, float(fm.intercept), fm.linear.toArray(), fm.factors.toArray())
@@ -162,7 +162,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, machine: Machine) -> DataFrame:
-    """The rows of docs that the machine does not call toxic, with all their columns."""
+    """The rows of docs that the machine does not call toxic, with all their columns, whatever their names.
+
+    Each row is judged for itself, whatever its id; null and empty texts score what the machine's bias alone
+    gives; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(machine.places)
