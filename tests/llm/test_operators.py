@@ -347,6 +347,53 @@ def test_main_text_of_awkward_pages(spark):
     assert sorted(got, key=str) == sorted([(1, "A & B\n\nOne two three.\n\nFour <five>", 34), (2, "", 0), (3, "", 0), (3, "", 0), (None, "a\n\nb", 4)], key=str)
 
 
+STORY = [
+    "It was the best of days for the people of the town, and they came out in the morning to see what had been done to the old bridge over the river.",
+    "There was nothing left of it but two stones, which lay in the water as if they had been there for a hundred years, and no one could say who had put them there.",
+    "An old man, who had been on the bridge when it went down, said that he had heard a sound like that of a bell, and that he would not go there again for all the gold in the world.",
+    "Short one.",
+    "So they went home, and in the evening there was a meeting in the hall, at which it was said that the bridge would be made new by the end of the year.",
+]
+PROSE = "".join(f"<p>{p}</p>" for p in STORY)
+WANTED = "\n\n".join(STORY)
+MENU = "<div><a href=a>Home</a> <a href=b>News</a> <a href=c>About us</a></div><ul><li><a href=d>Sport</a><li><a href=e>Weather today</a></ul>"
+FOOT = "<div>All rights kept. <a href=t>Terms</a></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"{MENU}<div>{PROSE}</div>{FOOT}",  # no article: density decides
+        f'{MENU}<div class="overflow-hidden"><article>{PROSE}</article></div>{FOOT}',
+        f'<!-- {"x" * 5000} --><html lang=en>{MENU}<main><article>{PROSE}</article><aside><p>{STORY[0]}</p></aside></main>{FOOT}',
+        f'{MENU}<div>{PROSE}</div><article><h3>Card</h3><p>A teaser of another story.</p></article><article><p>One more card here.</p></article>{FOOT}',
+        f'{MENU}<article>{PROSE}</article><article class="comment"><p>{STORY[1]}</p></article><div id=comments><p>{STORY[2]}</p></div>{FOOT}',
+        f'{MENU}<article><div class="article-header"></div><section class="search results">{PROSE}</section><ul><li><a href=x>Related story that is about another bridge</a></ul></article>{FOOT}',
+        f'{MENU}<article>{PROSE}</article><div hidden><p>{STORY[0]}</p></div><div style="display: none"><p>{STORY[0]}</p></div><form><p>{STORY[2]}</p></form>{FOOT}',
+        f'{MENU}<div><p>We use cookies.</p></div><div>{PROSE}</div><div class="cookie-notice"><p>{STORY[3]} {STORY[0]}</p></div>{FOOT}',
+    ],
+)
+def test_main_text_whatever_the_markup(page):
+    assert html_text.main_text(page) == WANTED
+
+
+def test_stop_words_decide_where_no_element_does():
+    listing = "<div>" + "".join(f"<p>{' '.join(f'item{i}x{k} 12mm' for k in range(20))}</p>" for i in range(4)) + "</div>"
+    assert html_text.main_text(f"{MENU}{listing}<div>{PROSE}</div>{FOOT}") == WANTED
+    german = "<p>" + "Und es war der Tag, an dem sie alle auf die Straße gingen, um zu sehen, was aus dem alten Haus geworden war, von dem man so viel gehört hatte, und in dem noch immer ein Licht war. " * 2 + "</p>"
+    assert html_text.main_text(f"<html lang=en>{MENU}{german}{FOOT}").startswith("Und es war der Tag")
+
+
+def test_odd_pages(spark):
+    long = "<article>" + PROSE * 3000 + "</article>"
+    rows = [(1, "u", long, "t", 5), (1, "u", long, "t", 5), (2, None, "<<<>>> a < b & c &amp; &#x41;", "t", 5), (None, "u", "<p", "t", 5), (3, "u", "</div></article><td>", "t", 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = [(r["page_id"], r["n_chars"]) for r in html_text.extract(pages).collect()]
+    assert sorted(got, key=str)[0] == (1, len("\n\n".join([WANTED] * 3000))) and len(got) == 5
+    assert html_text.extract(pages.where("page_id > 100")).collect() == []
+    assert len(warc.archive_pages(pages).collect()) == 5
+
+
 def test_toxicity_of_odd_tables(spark, odd):
     labels = spark.createDataFrame([(1, 0), (4, 1), (5, None), (7, 0), (7, 1)], "doc_id long, toxic int")
     got = toxicity.classify(odd, labels).collect()

@@ -1,9 +1,11 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. First every block is judged by itself: by its share of link
-text, its length and its density of stop words. Blocks too short or too mixed to tell then take the label of
-the nearest decided neighbours in their region. Regions that markup names as menus, notices, comments and the
-like are left out before; inside an article or main element only link lists count as boilerplate.
+text, its length and its density of stop words, in the language that most of the page's stop words are of. Blocks
+too short or too mixed to tell then take the label of the nearest decided neighbours in their region: an article
+or main element, or all that lies outside of these. Being in such an element is no more than a lean: it settles
+what neighbours leave open. Of the regions those count that hold most of the good text. What markup names as menu,
+notice, comment and the like is left out before.
 """
 
 from __future__ import annotations
@@ -22,49 +24,54 @@ STOP_WORDS = {
     "fr": "à au aux avec ce ces cette comme dans de des du elle elles en est et été être eux il ils je la le les leur leurs lui ma mais même mes moi mon ne nos notre nous on ou où par pas pour plus qu que qui sa sans se ses si son sont sur ta te tu un une vos votre vous y",
     "es": "a al algo como con cuando de del desde donde el ella ellas ellos en entre era es esa ese eso esta este esto fue ha hay la las le les lo los más me mi muy no nos o para pero por porque que quien se ser si sin sobre son su sus también te tiene todo tu un una uno y ya yo",
 }
-#: Words of a class, id or role that name what is not the article.
+#: Words of a class, id or role that name what is not the article; those that may also name parts of one.
 ASIDE_WORDS = frozenset(
-    "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs byline-share comment comments consent cookie cookies disqus dropdown footer gdpr header menu modal nav navbar navigation newsletter notice notification outbrain pager pagination popup promo promoted promotion recommended related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar widget".split()
+    "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus dropdown footer gdpr header menu modal nav navbar navigation newsletter notice notification outbrain pager pagination popup promo promoted promotion recommended related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar widget".split()
 )
+LOOSE_WORDS = frozenset("banner header menu notice recommended reply replies search skip teaser toolbar widget".split())
 #: Elements without text of the page, elements that are never the article, elements that open a block, elements without content.
 SKIPPED = "script|style|noscript|template|textarea|svg|math|iframe|object|select|canvas|audio|video|title"
 ASIDES = frozenset("nav footer aside form button dialog menu".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLES = frozenset(("article", "main"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 #: Characters under which a block is short and over which it is long; densities of stop words; share of link text.
-SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.2, 0.3, 0.3
-#: The same inside an article: only a block that is mostly links is left out.
-ARTICLE_LINKS = 0.6
+SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 140, 0.2, 0.3, 0.3
+#: The same inside an article, where figures and quotations link more; share of the best region's good text that another needs to be kept.
+ARTICLE_LINKS, REGION = 0.6, 0.5
 
 _TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<({SKIPPED})\b(?:"[^"]*"|'[^']*'|[^>"'])*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
     re.S | re.I,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_LANG = re.compile(r"""<html\b[^>]*\blang\s*=\s*["']?([a-z]{2})""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _EVERY = frozenset(w for words in STOP_WORDS.values() for w in words.split())
 _STOPS = {lang: frozenset(words.split()) for lang, words in STOP_WORDS.items()}
 
 
 class Block:
-    __slots__ = ("text", "region", "label", "links")
+    __slots__ = ("text", "region", "links", "heading", "words", "label")
 
-    def __init__(self, text: str, region: int, links: int) -> None:
-        self.text, self.region, self.links, self.label = text, region, links, ""
+    def __init__(self, text: str, region: int, links: int, heading: bool) -> None:
+        self.text, self.region, self.links, self.heading, self.label = text, region, links, heading, ""
+        self.words = [w.strip(".,;:!?()\"'") for w in text.lower().split()]
 
 
 def _aside(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in ASIDES or tag == "header" and not in_article:
         return True
-    if tag in ARTICLES or tag in ("html", "body") or not attributes:
+    if tag in ("html", "body", "main") or not attributes:
         return False
-    if _HIDDEN.search(attributes):
-        return True
-    named = " ".join("".join(m) for m in _NAMES.findall(attributes)).lower()
-    return any(w in ASIDE_WORDS for w in re.split(r"[^a-z]+", named)) if named else False
+    named: list[str] = []
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values).lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return True
+        if name in ("class", "id", "role"):
+            named += re.split(r"[^a-z]+", value)
+    return any(w in ASIDE_WORDS and not (in_article and w in LOOSE_WORDS) for w in named)
 
 
 def blocks(page: str) -> list[Block]:
@@ -73,14 +80,14 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, bool, int]] = []  # tag, aside, region
     text: list[str] = []
     links = regions = anchors = 0
-    aside, region = False, 0
+    aside, region, heading = False, 0, False
 
     def close():
         nonlocal links
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                found.append(Block(whole, region, links))
+                found.append(Block(whole, region, links, heading))
             text.clear()
         links = 0
 
@@ -102,6 +109,7 @@ def blocks(page: str) -> list[Block]:
         ends, attributes = bool(m[2] or m[5]), m[4] or m[7] or ""
         if tag in BLOCKS:
             close()
+            heading = tag in HEADINGS and not ends
         elif tag in ("br", "wbr"):
             say(" " if tag == "br" else "")
         if tag in VOID:
@@ -117,7 +125,7 @@ def blocks(page: str) -> list[Block]:
             if k >= 0 and (tag in BLOCKS or not any(s[0] in BLOCKS for s in stack[k:])):
                 del stack[k:]
         else:
-            if tag == "p" or re.fullmatch(r"h[1-6]", tag):  # a paragraph ends where the next begins
+            if tag == "p" or tag in HEADINGS:  # a paragraph ends where the next begins
                 while stack and (stack[-1][0] == "p" or stack[-1][0] not in BLOCKS and any(s[0] == "p" for s in stack)):
                     stack.pop()
             if tag in ARTICLES and not region:
@@ -133,29 +141,34 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
+def language(found: list[Block]) -> frozenset[str]:
+    """Stop words of the language that most stop words of the page are of; all of them if none is."""
+    hits = [w for b in found for w in b.words if w in _EVERY]
+    counts = {lang: sum(w in stops for w in hits) for lang, stops in _STOPS.items()}
+    most = max(counts.values())
+    return next(_STOPS[lang] for lang, n in counts.items() if n == most) if most else _EVERY
+
+
 def judge(b: Block, stops: frozenset[str]) -> str:
     """First pass: good, bad, or short or near when the block alone does not tell."""
-    share = b.links / max(1, len(b.text))
-    if share > (ARTICLE_LINKS if b.region else LINKS):
+    if b.links > len(b.text) * (ARTICLE_LINKS if b.region else LINKS):
         return "bad"
     if len(b.text) < SHORT:
         return "bad" if b.links and not b.region else "short"
-    if b.region:
-        return "good"
-    words = b.text.lower().split()
-    density = sum(w.strip(".,;:!?()\"'") in stops for w in words) / len(words)
+    density = sum(w in stops for w in b.words) / len(b.words)
     if density >= STOP_HIGH:
         return "good" if len(b.text) >= LONG else "near"
-    return "near" if density >= STOP_LOW else "bad"
+    if density >= STOP_LOW:
+        return "near"
+    return "short" if b.region else "bad"
 
 
 def label(found: list[Block], stops: frozenset[str]) -> None:
-    """Both passes. A block that is between a good and a bad neighbour is good if it is near good, or in an article."""
-    for b in found:
-        b.label = judge(b, stops)
-    first = [b.label for b in found]
+    """Both passes. What is undecided between a good and a bad neighbour, or has none, is good if it is near good, in an
+    article, or a heading right before what is good."""
+    first = [judge(b, stops) for b in found]
     n = len(found)
-    before, after, last = [""] * n, [""] * n, None
+    before, after = [""] * n, [""] * n
     for order, out in ((range(n), before), (range(n - 1, -1, -1), after)):
         last = None
         for i in order:
@@ -164,23 +177,34 @@ def label(found: list[Block], stops: frozenset[str]) -> None:
                 last = (found[i].region, first[i])
     for i, b in enumerate(found):
         if first[i] in ("good", "bad"):
+            b.label = first[i]
             continue
         around = {before[i], after[i]} - {""}
-        if around == {"good"}:
-            b.label = "good"
-        elif around == {"bad"} or not around and not b.region:
-            b.label = "bad"
+        if around == {"good"} or around == {"bad"}:
+            b.label = around.pop()
         else:
-            b.label = "good" if b.region or first[i] == "near" else "bad"
+            open_ = b.region or first[i] == "near" or b.heading and after[i] == "good"
+            b.label = "good" if open_ else "bad"
+
+
+def regions(found: list[Block]) -> set[int]:
+    """The regions whose good text is the page's: the one with most of it, and articles with REGION as much."""
+    good: dict[int, int] = {}
+    for b in found:
+        if b.label == "good":
+            good[b.region] = good.get(b.region, 0) + len(b.text)
+    articles = max((n for r, n in good.items() if r), default=0)
+    outside = good.get(0, 0)
+    if outside > articles / REGION or not articles:  # articles are no more than cards beside the story
+        return {0} | {r for r, n in good.items() if n >= outside * REGION}
+    return {r for r, n in good.items() if r and n >= articles * REGION}
 
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    if any(b.region for b in found):
-        found = [b for b in found if b.region]
-    lang = _LANG.search((page or "")[:2000])
-    label(found, _STOPS.get(lang[1].lower() if lang else "", _EVERY))
-    return "\n\n".join(b.text for b in found if b.label == "good")
+    label(found, language(found))
+    kept = regions(found)
+    return "\n\n".join(b.text for b in found if b.label == "good" and b.region in kept)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +219,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars (code points).
 
     Character references are decoded, white space inside a block is one space, blocks are joined in page order
-    by an empty line. Null, empty and text-free pages give an empty text. Page ids are carried as they are, null
-    or repeated; other columns are ignored; an empty table gives no rows.
+    by an empty line. Null, empty and text-free pages give an empty text; pages of any length are read whole. Page
+    ids are carried as they are, null or repeated; other columns are ignored; an empty table gives no rows.
     """
     rows = pages.selectExpr("CAST(page_id AS BIGINT) AS page_id", "CAST(url AS STRING) AS url", "CAST(html AS STRING) AS html")
     return rows.mapInArrow(_run, "page_id long, url string, text string, n_chars long")
