@@ -270,6 +270,56 @@ def test_licenses_are_found_by_exact_containment(spark):
     assert got == {1: ["Apache-2.0"], 2: ["MIT"], 3: [], 4: ["All rights reserved"]}
 
 
+def test_no_license_is_missed_that_a_scan_of_all_windows_finds(spark):
+    scanner = licenses.Scanner()
+    texts = []
+    for i in range(120):
+        parts = [words(int(rng.integers(0, 120)))]
+        for k in rng.integers(0, len(licenses.TEMPLATES), int(rng.integers(0, 3))):
+            phrase = licenses.TEMPLATES[int(k)][1].split()
+            for _ in range(int(rng.integers(0, 2))):
+                phrase[int(rng.integers(0, len(phrase)))] = "edited"
+            parts += [phrase, words(int(rng.integers(1, 60)))]
+        texts.append((i, " ".join(sum(parts, []))))
+    got = {r["doc_id"]: set(r["licenses"]) for r in licenses.scan(table(spark, texts)).collect()}
+    brute = 0
+    for i, t in texts:
+        for name, k, _, own in scanner.templates:
+            stream = shingles(scanner.words(t), k) if len(t.split()) >= k else np.zeros(0, np.uint64)
+            best = max((len(np.intersect1d(stream[at : at + len(own)], own)) / len(own) for at in range(len(stream))), default=0)
+            covered = {x for x, *_ in scanner.scan([t])[0]}
+            if best >= licenses.CONTAINED:
+                brute += 1
+                assert got[i] and (name in got[i] or covered == got[i]), (i, name)
+    assert brute > 60
+
+
+def test_fingerprints_are_alike_as_sets_of_features_are(spark):
+    """Brute force: features of both texts by the definition, window by window, without filters."""
+    texts = [(i, " ".join(words(int(n)))) for i, n in enumerate(rng.integers(60, 300, 12))]
+    raw = {i: np.frombuffer(t.encode(), np.uint8) for i, t in texts}
+    w = fingerprints.WINDOW
+
+    def entropy(x):
+        c = np.bincount(x)
+        c = c[c > 0]
+        total = int(np.round(c * np.log2(c) * 1024).sum())
+        return int(min(max((np.log2(w) - total / (1024 * w)) * fingerprints.CLASSES / np.log2(w), 0), fingerprints.CLASSES))
+
+    classes = {i: [entropy(d[k : k + w]) for k in range(len(d) - w + 1)] for i, d in raw.items()}
+    counts = np.bincount(np.concatenate(list(classes.values())), minlength=fingerprints.CLASSES + 1)
+    rank = fingerprints.precedence(counts)
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(table(spark, texts)).collect()}
+    for i, d in raw.items():
+        ranks, wins = rank[classes[i]], {}
+        for at in range(len(ranks) - fingerprints.NEIGHBOURS + 1):
+            best = min(range(at, at + fingerprints.NEIGHBOURS), key=lambda k: (ranks[k], k))
+            wins[best] = wins.get(best, 0) + 1
+        own = sorted(k for k, n in wins.items() if n >= fingerprints.WINS)
+        hashes = fingerprints._hashes(d, np.array(own), w)
+        assert got[i]["fingerprint"] == fingerprints.encode(fingerprints.filters(hashes)), i
+
+
 def test_archives_come_back(spark):
     page = "<p>" + "x" * 200 + "</p>"
     rows = [(1, "http://a b", page), (2, None, page), (3, "u", "short"), (4, "u", "short"), (5, "u", None), (None, "u", page), (6, "ü", "é" * 80 + "\r\n\r\n" + "z" * 100)] + [(10 + i, "u", f"<html>{i} " + " ".join(words(80))) for i in range(60)]

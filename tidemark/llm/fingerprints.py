@@ -287,5 +287,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rank = rarity(texts)
-    dealt = with_next(texts).repartition(F.col("range")).sortWithinPartitions("range", "guest", F.asc_nulls_first("doc_id"), F.sha2("text", 256))
+    n = partitions(docs.sparkSession)
+    dealt = with_next(texts).repartitionById(n, F.pmod(F.col("range"), F.lit(n))).sortWithinPartitions("range", "guest", F.asc_nulls_first("doc_id"), F.sha2("text", 256))
     return dealt.select("range", "guest", "doc_id", "text").mapInArrow(_run(rank), OUT)
