@@ -13,6 +13,7 @@ SPARK: dict[str, Callable[..., str]] = {
     "hex48": lambda s: f"CAST(conv(substr(md5({s}), 1, 12), 16, 10) AS BIGINT)",
     "numbers": lambda a, b: f"(SELECT explode(sequence({a}, {b})) AS i)",
     "semi": lambda _: "LEFT SEMI JOIN",
+    "last": lambda x: f"last_value({x}, true)",
     "sequence": lambda a, b, step: f"explode(sequence({a}, {b}, INTERVAL {step} DAY))",
 }
 DUCKDB: dict[str, Callable[..., str]] = {
@@ -23,6 +24,7 @@ DUCKDB: dict[str, Callable[..., str]] = {
     "hex48": lambda s: f"CAST('0x' || substr(md5({s}), 1, 12) AS BIGINT)",
     "numbers": lambda a, b: f"(SELECT CAST(unnest(range({a}, {b} + 1)) AS INTEGER) AS i)",
     "semi": lambda _: "SEMI JOIN",
+    "last": lambda x: f"last_value({x} IGNORE NULLS)",
     "sequence": lambda a, b, step: f"CAST(unnest(generate_series({a}, {b}, INTERVAL {step} DAY)) AS DATE)",
 }
 _MACRO = re.compile(r"\{(\w+)\(([^{}]*)\)\}")

@@ -38,7 +38,7 @@ MODELS: dict[str, Model] = {}
 #: held each of them anew wherever it is read would be planned and run many times over.
 STORED = frozenset(
     "triangle build_cases completed_training validity_a process_states process_history historical_scale process_shift long scored history "
-    "history_strata harm_strata history_strata_rows harm_strata_rows endpoint_offsets reliability_history episode_curves location_curves task_cells task_profiles task_prototypes task_components task_distance nearest_threshold donor_scores process_profiles donors".split()
+    "history_strata harm_strata history_strata_rows harm_strata_rows endpoint_offsets reliability_history episode_curves location_curves task_cells task_profiles task_prototypes task_components task_distance nearest_threshold donor_scores process_profiles donors archive_normalize validity genuine_events process_daily matched reliability_raw revision_profile route_weights".split()
 )
 _kept: dict[tuple[str, str, str], DataFrame] = {}
 

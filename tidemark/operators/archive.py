@@ -105,12 +105,12 @@ model("final_values", """
 # Errors of the as-of value against the last, for reference dates at least 20 days before the last report
 # (archives shorter than two months; the usual distance is 60 days).
 model("completion_errors", """
-    SELECT c.candidate, v.geo_value, v.reference_date, abs(v.value - f.final_value) / abs(f.final_value) AS error
+    SELECT c.candidate, v.geo_value, v.reference_date, abs(v.value - f.final_value) / greatest(abs(f.final_value), 1e-12) AS error
     FROM {validity} v
     JOIN {candidate_lags} c ON v.lag <= c.candidate AND (v.next_lag IS NULL OR c.candidate < v.next_lag)
     JOIN {final_values} f ON f.geo_value = v.geo_value AND f.reference_date = v.reference_date
     CROSS JOIN (SELECT max(report_date) AS last_report FROM {archive_normalize}) m
-    WHERE f.final_value <> 0 AND {days(last_report; v.reference_date)} >= 20
+    WHERE {days(last_report; v.reference_date)} >= 20
 """, public=False)
 model("completion_curve", """
     WITH t AS (
@@ -136,15 +136,31 @@ model("preparation_settings", """
            CASE WHEN resolution = 'daily' THEN 'log_value_target_7dav' ELSE 'log_value_target' END AS target_column
     FROM {archive_report}
 """)
+# what each location by itself would suggest, against the lag that the whole archive was set to
 model("lag_choices", """
-    SELECT * FROM (VALUES (14, 21, TRUE), (28, 21, TRUE), (14, 21, FALSE), (28, 21, FALSE), (CAST(NULL AS INT), 21, TRUE), (14, CAST(NULL AS INT), TRUE)) AS t(user_lag, suggested_lag, confirmed)
+    WITH e AS (
+      SELECT geo_value, candidate, avg(CASE WHEN error <= 1e-1 * (1 + 1e-6) + 1e-8 THEN 1e0 ELSE 0e0 END) AS rate FROM {completion_errors} GROUP BY geo_value, candidate),
+    g AS (SELECT geo_value, coalesce(min(CASE WHEN rate >= 9e-1 THEN candidate END), max(candidate)) AS suggested_lag FROM e GROUP BY geo_value),
+    u AS (SELECT max(target_lag) AS user_lag FROM {preparation_settings})
+    SELECT g.geo_value, CAST(u.user_lag AS INT) AS user_lag, g.suggested_lag, c.confirmed FROM g CROSS JOIN u CROSS JOIN (VALUES (TRUE), (FALSE)) AS c(confirmed)
+    UNION ALL SELECT geo_value, CAST(NULL AS INT), suggested_lag, TRUE FROM g
 """, public=False)
 model("resolve_target_lag", """
-    SELECT user_lag, suggested_lag, confirmed, greatest(user_lag, suggested_lag) AS larger_wins,
+    SELECT geo_value, user_lag, suggested_lag, confirmed, coalesce(greatest(user_lag, suggested_lag), suggested_lag, user_lag) AS larger_wins,
            CASE WHEN user_lag IS NULL THEN suggested_lag WHEN suggested_lag IS NULL OR user_lag >= suggested_lag OR confirmed THEN user_lag END AS user_wins,
            coalesce(user_lag < suggested_lag AND NOT confirmed, FALSE) AS needs_confirmation
     FROM {lag_choices}
 """)
+# what a user specified (here: settings for a weekly archive) against what the archive shows, key by key
+model("profile_disagreement", """
+    WITH d AS (SELECT max(lag_terms) AS lag_terms, max(grouping_rule) AS grouping_rule, CAST(max(active_days) AS STRING) AS active_days FROM {revision_profile}),
+    w AS (
+      SELECT CASE WHEN sum(CASE WHEN mon_issue = 1 THEN 1 ELSE 0 END) > 0 THEN 'mon' ELSE '' END AS present FROM {triangle}),
+    k AS (
+      SELECT 'lag_terms' AS setting, '7,14' AS specified, lag_terms AS derived FROM d UNION ALL SELECT 'grouping_rule', 'monday and weekends', grouping_rule FROM d
+      UNION ALL SELECT 'active_days', '7', active_days FROM d UNION ALL SELECT 'weekday_columns', 'mon', present FROM w)
+    SELECT setting, specified, derived, specified AS effective, NOT specified = derived AS disagrees FROM k
+""")
 model("revision_profile", """
     WITH w AS (SELECT {weekday(report_date)} AS weekday, count(*) AS n FROM {genuine_events} WHERE genuine GROUP BY {weekday(report_date)}),
     s AS (SELECT weekday, CAST(n AS DOUBLE) / sum(n) OVER () AS share FROM w),
@@ -174,11 +190,11 @@ model("missingness", """
 model("target_lag_asof", """
     WITH c AS (SELECT i * 7 AS candidate FROM {numbers(1; 8)} n),
     e AS (
-      SELECT c.candidate, abs(v.value - f.final_value) / abs(f.final_value) AS error
+      SELECT c.candidate, abs(v.value - f.final_value) / greatest(abs(f.final_value), 1e-12) AS error
       FROM {validity} v JOIN c ON v.lag <= c.candidate AND (v.next_lag IS NULL OR c.candidate < v.next_lag)
       JOIN {final_values} f ON f.geo_value = v.geo_value AND f.reference_date = v.reference_date
       CROSS JOIN (SELECT max(report_date) AS last_report FROM {archive_normalize}) m
-      WHERE f.final_value <> 0 AND {days(last_report; v.reference_date)} >= c.candidate),
+      WHERE {days(last_report; v.reference_date)} >= c.candidate),
     r AS (
       SELECT candidate, CAST(count(*) AS BIGINT) AS episodes, avg(CASE WHEN error <= 1e-1 * (1 + 1e-6) + 1e-8 THEN 1e0 ELSE 0e0 END) AS rate, {pct(error; 5e-1)} AS median_error
       FROM e GROUP BY candidate)

@@ -18,14 +18,20 @@ model("evaluation_scopes", f"""
 model("scoped", """
     SELECT 'overall' AS scope, r.* FROM {reliability_rows} r UNION ALL SELECT 'early' AS scope, r.* FROM {reliability_rows} r WHERE lag <= 14
 """, public=False)
-# doubles to nine digits, so that ties are ties whatever the order of sums
-model("reliability_rows", f"""
-    SELECT {keys('r', 'method')}, r.level, r.reliability_level, round(r.q_error, 9) AS q_error, round(r.f_harm, 9) AS f_harm, r.f_harm_wilson_high - r.f_harm_wilson_low AS wilson_width, round(r.m_harm, 9) AS m_harm,
-           round(r.realized_ae, 9) AS realized_ae, round(r.realized_regret, 9) AS realized_regret, CASE WHEN r.realized_harm THEN 1e0 ELSE 0e0 END AS harm, r.qerr_covered, r.mharm_covered,
-           l.wis_working, round(l.q0_975_working - l.q0_025_working, 9) AS width, p.process_shift_score AS score, p.process_state, p.process_shift_driver
+model("reliability_raw", f"""
+    SELECT {keys('r', 'method')}, r.level, r.reliability_level, r.q_error, r.f_harm, r.f_harm_wilson_high - r.f_harm_wilson_low AS wilson_width, r.m_harm,
+           r.realized_ae, r.realized_regret, CASE WHEN r.realized_harm THEN 1e0 ELSE 0e0 END AS harm, r.qerr_covered, r.mharm_covered,
+           l.wis_working, l.q0_975_working - l.q0_025_working AS width, p.process_shift_score AS score, p.process_state, p.process_shift_driver
     FROM {{reliability_history}} r JOIN {{long}} l ON l.method = r.method AND {same('l', 'r')}
     LEFT JOIN {{process_shift}} p ON p.cutoff = r.cutoff AND p.geo_value = r.geo_value
 """, public=False)
+# doubles to nine digits, so that ties are ties whatever the order of sums
+_ROUNDED = ("q_error", "f_harm", "m_harm", "realized_ae", "realized_regret", "width")
+model("reliability_rows", f"""
+    SELECT {keys('r', 'method', 'level', 'reliability_level')}, {', '.join(f'round(r.{c}, 9) AS {c}' for c in _ROUNDED)}, r.wilson_width, r.harm, r.qerr_covered, r.mharm_covered,
+           r.wis_working, r.score, r.process_state, r.process_shift_driver
+    FROM {{reliability_raw}} r
+""", public=False)
 model("reliability_coverage", f"""
     WITH s AS (SELECT * FROM {{scoped}} UNION ALL SELECT concat('lag=', CAST(lag AS STRING)) AS scope, r.* FROM {{reliability_rows}} r)
     SELECT scope, method, CAST(count(*) AS BIGINT) AS n, {yes('qerr_covered')} AS coverage, {yes('qerr_covered')} - 9e-1 AS gap, avg(q_error) AS mean_q_error, avg(realized_ae) AS mean_ae, avg(harm) AS harm_frequency,
@@ -43,7 +49,7 @@ model("qerr_bins", f"""
 """, public=False)
 model("qerr_discrimination", f"""
     WITH r AS (SELECT scope, method, {ranks('q_error', 'scope, method')} AS a, {ranks('realized_ae', 'scope, method')} AS b FROM {{qerr_bins}}),
-    c AS (SELECT scope, method, covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) AS spearman FROM r GROUP BY scope, method HAVING count(DISTINCT a) > 1 AND count(DISTINCT b) > 1)
+    c AS (SELECT scope, method, covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) AS spearman FROM r GROUP BY scope, method HAVING count(*) >= 10 AND count(DISTINCT a) > 1 AND count(DISTINCT b) > 1)
     SELECT q.scope, q.method, q.bin, CAST(count(*) AS BIGINT) AS n, avg(q.q_error) AS mean_q_error, avg(q.realized_ae) AS mean_ae, avg(q.realized_regret) AS mean_regret, avg(q.harm) AS harm_frequency, max(c.spearman) AS spearman
     FROM {{qerr_bins}} q LEFT JOIN c ON c.scope = q.scope AND c.method = q.method GROUP BY q.scope, q.method, q.bin
 """)
@@ -96,8 +102,8 @@ for _name, _x, _out in (("difficulty_vs_process", "q_error", "avg(q_error) AS me
         WITH s AS (SELECT * FROM {{reliability_rows}} WHERE {_x} IS NOT NULL AND score IS NOT NULL), a AS ({binned(_x, 'method', 's', _QUARTERS)}), d AS (SELECT method, fold, geo_value, reference_date, report_date, q_error, f_harm, score, realized_ae, harm, bin AS risk_bin FROM a), b AS ({binned('score', 'method', 'd', _QUARTERS)})
         SELECT method, risk_bin, bin AS shift_bin, CAST(count(*) AS BIGINT) AS n, {_out} FROM b GROUP BY method, risk_bin, bin
     """)
-model("process_context_join", f"SELECT {keys('r', 'method')}, r.q_error, r.realized_ae, r.score, r.process_state FROM {{reliability_rows}} r")
-model("alignment_rows", f"SELECT {keys('r', 'method')}, r.q_error, r.f_harm, r.m_harm, r.score, r.realized_ae, r.realized_regret, r.harm FROM {{reliability_rows}} r WHERE r.q_error IS NOT NULL")
+model("process_context_join", f"SELECT {keys('r', 'method')}, r.q_error, r.realized_ae, r.score, r.process_state FROM {{reliability_raw}} r")
+model("alignment_rows", f"SELECT {keys('r', 'method')}, r.q_error, r.f_harm, r.m_harm, r.score, r.realized_ae, r.realized_regret, r.harm FROM {{reliability_raw}} r WHERE r.q_error IS NOT NULL")
 model("alert_confusion", """
     WITH t AS (
       SELECT scope, method, CAST(count(*) FILTER (WHERE alert AND bad) AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE alert AND NOT bad) AS BIGINT) AS fp, CAST(count(*) FILTER (WHERE NOT alert AND bad) AS BIGINT) AS fn, CAST(count(*) FILTER (WHERE NOT alert AND NOT bad) AS BIGINT) AS tn
@@ -110,8 +116,8 @@ model("joint_alert_grid", """
 model("dual_alert_contrasts", """
     WITH c AS (SELECT method, reliability_level, reference_date, CAST(row_number() OVER (PARTITION BY method, reliability_level ORDER BY reference_date) AS BIGINT) AS place, CAST(count(*) OVER (PARTITION BY method, reliability_level) AS BIGINT) AS clusters, sum(CAST(realized_ae AS DECIMAL(28, 9))) AS s, count(*) AS n
       FROM {reliability_rows} WHERE reliability_level <> 'unavailable' GROUP BY method, reliability_level, reference_date),
-    d AS (SELECT k.method, k.reliability_level, r.i AS rep, 1 + {hex48(concat(k.reliability_level, ':', CAST(r.i AS STRING), ':', CAST(s.i AS STRING)))} % k.clusters AS place
-      FROM (SELECT DISTINCT method, reliability_level, clusters FROM c) k CROSS JOIN {numbers(1; 100)} r JOIN {numbers(1; 2000)} s ON s.i <= k.clusters),
+    d AS (SELECT k.method, k.reliability_level, r.i AS rep, 1 + {hex48(concat(k.reliability_level, ':', CAST(r.i AS STRING), ':', CAST(s.place AS STRING)))} % k.clusters AS place
+      FROM (SELECT DISTINCT method, reliability_level, clusters FROM c) k CROSS JOIN {numbers(1; 500)} r JOIN c s ON s.method = k.method AND s.reliability_level = k.reliability_level),
     b AS (SELECT d.method, d.reliability_level, d.rep, CAST(sum(c.s) AS DOUBLE) / sum(c.n) AS ae FROM d JOIN c ON c.method = d.method AND c.reliability_level = d.reliability_level AND c.place = d.place GROUP BY d.method, d.reliability_level, d.rep),
     x AS (SELECT h.method, h.reliability_level AS higher, l.reliability_level AS lower, h.ae - l.ae AS difference FROM b h JOIN b l ON h.method = l.method AND h.rep = l.rep AND (h.reliability_level = 'high' AND l.reliability_level = 'caution' OR h.reliability_level = 'caution' AND l.reliability_level = 'supported'))
     SELECT method, higher, lower, avg(difference) AS mean_difference, {pct(difference; 25e-3)} AS low, {pct(difference; 975e-3)} AS high FROM x GROUP BY method, higher, lower
@@ -139,7 +145,11 @@ model("accuracy_by_revision_size", f"""
     SELECT method, bin, CAST(count(*) AS BIGINT) AS n, avg(size) AS mean_size, avg(absolute_error) AS mean_ae FROM ({binned('size', 'method', 's')}) q GROUP BY method, bin
 """)
 model("process_audit", """
-    SELECT process_state, CAST(count(*) AS BIGINT) AS n, avg(realized_ae) AS mean_ae, avg(score) AS mean_score FROM {reliability_rows} WHERE method = 'median_remaining' GROUP BY process_state
+    SELECT method, process_state, CAST(count(*) AS BIGINT) AS n, avg(realized_ae) AS mean_ae, avg(score) AS mean_score FROM {reliability_rows} GROUP BY method, process_state
 """)
 model("risk_group_validation", "SELECT method, reliability_level, CAST(count(*) AS BIGINT) AS n, avg(realized_ae) AS mean_ae, avg(harm) AS harm_frequency FROM {reliability_rows} GROUP BY method, reliability_level")
-model("sink_tables", "SELECT method, fold, CAST(count(*) AS BIGINT) AS n, avg(absolute_error_working) AS mean_ae FROM {long} GROUP BY method, fold")
+model("sink_tables", """
+    SELECT p.method, p.fold, CAST(p.n AS BIGINT) AS n, p.mean_ae, CAST(r.records AS BIGINT) AS records
+    FROM (SELECT method, fold, count(*) AS n, avg(absolute_error_working) AS mean_ae FROM {long} GROUP BY method, fold) p
+    LEFT JOIN (SELECT method, fold, count(*) AS records FROM {reliability_history} GROUP BY method, fold) r ON r.method = p.method AND r.fold = p.fold
+""")

@@ -3,26 +3,34 @@
 from ..models import model
 from .forecast import same
 
+# every method against the flat line: by its point forecasts, and by its distributions where it has any
 model("comparison_pairs", """
-    SELECT * FROM (VALUES (1, 'median_remaining', 'carry_forward', 'point'), (2, 'median_remaining', 'carry_forward', 'distribution')) AS t(place, method, baseline, kind)
+    WITH m AS (
+      SELECT method, sum(CASE WHEN model_available THEN 1 ELSE 0 END) AS points, sum(CASE WHEN has_distribution THEN 1 ELSE 0 END) AS distributions
+      FROM {long} WHERE method <> 'carry_forward' GROUP BY method),
+    p AS (SELECT method, 1 AS k, 'point' AS kind FROM m WHERE points > 0 UNION ALL SELECT method, 2, 'distribution' FROM m WHERE distributions > 0)
+    SELECT CAST(row_number() OVER (ORDER BY k, method) AS INT) AS place, method, 'carry_forward' AS baseline, kind FROM p
 """)
 model("paired", f"""
     SELECT a.fold, a.cutoff, a.geo_value, a.reference_date, a.report_date, a.lag, a.method, b.method AS baseline, a.absolute_error, b.absolute_error AS base_error,
            round(a.absolute_error_working - b.absolute_error_working, 9) AS difference, round(a.wis_working - b.wis_working, 9) AS wis_difference
-    FROM {{long}} a JOIN {{long}} b ON a.method = 'median_remaining' AND b.method = 'carry_forward' AND {same('a', 'b')}
+    FROM {{long}} a JOIN {{long}} b ON a.method <> 'carry_forward' AND b.method = 'carry_forward' AND {same('a', 'b')}
     WHERE a.model_available AND b.model_available
 """, public=False)
 model("cluster_bootstrap", """
-    WITH c AS (SELECT reference_date, CAST(row_number() OVER (ORDER BY reference_date) AS BIGINT) AS place, sum(CAST(difference AS DECIMAL(28, 9))) AS s, count(*) AS n FROM {paired} GROUP BY reference_date),
-    m AS (SELECT count(*) AS clusters FROM c),
-    slots AS (SELECT i AS slot FROM {numbers(1; 2000)} x),
+    WITH c AS (
+      SELECT method, baseline, reference_date, CAST(row_number() OVER (PARTITION BY method, baseline ORDER BY reference_date) AS BIGINT) AS place,
+             CAST(count(*) OVER (PARTITION BY method, baseline) AS BIGINT) AS clusters, sum(CAST(difference AS DECIMAL(28, 9))) AS s, count(*) AS n
+      FROM {paired} GROUP BY method, baseline, reference_date),
     draws AS (
-      SELECT r.i AS rep, 1 + {hex48(concat('17:', CAST(r.i AS STRING), ':', CAST(s.slot AS STRING)))} % m.clusters AS place
-      FROM {numbers(1; 500)} r CROSS JOIN m JOIN slots s ON s.slot <= m.clusters),
-    b AS (SELECT d.rep, CAST(sum(c.s) AS DOUBLE) / sum(c.n) AS mean FROM draws d JOIN c ON c.place = d.place GROUP BY d.rep)
-    SELECT 'median_remaining' AS method, 'carry_forward' AS baseline, CAST(count(*) AS BIGINT) AS reps, {pct(mean; 25e-3)} AS low, {pct(mean; 975e-3)} AS high,
+      SELECT c.method, c.baseline, r.i AS rep, 1 + {hex48(concat('17:', CAST(r.i AS STRING), ':', CAST(c.place AS STRING)))} % c.clusters AS place
+      FROM c CROSS JOIN {numbers(1; 500)} r),
+    b AS (
+      SELECT d.method, d.baseline, d.rep, CAST(sum(c.s) AS DOUBLE) / sum(c.n) AS mean
+      FROM draws d JOIN c ON c.method = d.method AND c.baseline = d.baseline AND c.place = d.place GROUP BY d.method, d.baseline, d.rep)
+    SELECT method, baseline, CAST(count(*) AS BIGINT) AS reps, {pct(mean; 25e-3)} AS low, {pct(mean; 975e-3)} AS high,
            avg(CASE WHEN mean < 0 THEN 1e0 ELSE 0e0 END) AS better_probability
-    FROM b
+    FROM b GROUP BY method, baseline
 """)
 model("flat_line_comparison", """
     SELECT method, baseline, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE absolute_error < base_error) AS BIGINT) AS better, CAST(count(*) FILTER (WHERE absolute_error > base_error) AS BIGINT) AS worse,

@@ -83,16 +83,15 @@ model("external_predictions_check", """
       UNION ALL SELECT 'method is missing', count(*) FROM (VALUES ('external'), ('another')) AS w(method) WHERE method NOT IN (SELECT method FROM {external_file})) u
     WHERE n > 0
 """)
+# one set of rows for each origin, lag group and location; the global sets have a mark for each location instead
 model("train_sets_local", """
-    SELECT t.fold, g.lag_group, t.geo_value, CAST(count(*) AS BIGINT) AS n, avg(t.remaining) AS mean_remaining
-    FROM {completed_training} t JOIN {lag_groups} g ON t.lag BETWEEN g.lo - 1 AND g.hi + 1
-    WHERE t.strict GROUP BY t.fold, g.lag_group, t.geo_value
+    SELECT t.fold, g.lag_group, t.geo_value, t.reference_date, t.report_date, t.lag, t.latest, t.target, t.remaining, t.lag BETWEEN g.lo AND g.hi AS tested
+    FROM {completed_training} t JOIN {lag_groups} g ON t.lag BETWEEN g.lo - 1 AND g.hi + 1 WHERE t.strict
 """)
 model("train_sets_global", """
-    SELECT t.fold, g.lag_group, t.geo_value, t.reference_date, t.lag, t.remaining, CASE WHEN t.geo_value = 'AMERICA' THEN 1 ELSE 0 END AS is_america,
-           CASE WHEN t.geo_value = 'ASIA' THEN 1 ELSE 0 END AS is_asia, CASE WHEN t.geo_value = 'EUROPE' THEN 1 ELSE 0 END AS is_europe,
-           CASE WHEN t.geo_value = 'MIDDLE EAST' THEN 1 ELSE 0 END AS is_middle_east
-    FROM {completed_training} t JOIN {lag_groups} g ON t.lag BETWEEN g.lo - 1 AND g.hi + 1 WHERE t.strict
+    WITH l AS (SELECT geo_value, CAST(row_number() OVER (ORDER BY geo_value) AS INT) AS place, CAST(count(*) OVER () AS INT) AS n FROM (SELECT DISTINCT geo_value FROM {completed_training} WHERE strict) d)
+    SELECT t.fold, g.lag_group, t.geo_value, t.reference_date, t.lag, t.remaining, concat(repeat('0', l.place - 1), '1', repeat('0', l.n - l.place)) AS indicators
+    FROM {completed_training} t JOIN {lag_groups} g ON t.lag BETWEEN g.lo - 1 AND g.hi + 1 JOIN l ON l.geo_value = t.geo_value WHERE t.strict
 """)
 model("complete_test_rows", """
     SELECT * FROM {attach_context} WHERE log_delta_value_7dav_lag7 IS NOT NULL AND inv_log_lag IS NOT NULL AND mon_issue IS NOT NULL

@@ -33,19 +33,33 @@ model("similarity_routes", """
 """)
 model("route_weights", f"""
     WITH t AS (SELECT fold, geo_value, reference_date, lag, {BANDS} AS band FROM {{completed_training}} WHERE strict),
-    w AS (SELECT t.*, 'ASIA' AS target, coalesce(r.weight, CASE WHEN t.geo_value = 'ASIA' THEN 1e0 ELSE 0e0 END) AS weight FROM t LEFT JOIN {{similarity_routes}} r ON r.fold = t.fold AND r.band = t.band AND r.target = 'ASIA' AND r.source = t.geo_value)
-    SELECT fold, target, geo_value, reference_date, lag, weight / avg(CASE WHEN weight > 0 THEN weight END) OVER (PARTITION BY fold) AS weight FROM w
+    g AS (SELECT DISTINCT fold, geo_value AS target FROM t),
+    w AS (
+      SELECT t.*, g.target, coalesce(r.weight, CASE WHEN t.geo_value = g.target THEN 1e0 ELSE 0e0 END) AS weight
+      FROM t JOIN g ON g.fold = t.fold LEFT JOIN {{similarity_routes}} r ON r.fold = t.fold AND r.band = t.band AND r.target = g.target AND r.source = t.geo_value),
+    m AS (SELECT fold, target, avg(CASE WHEN weight > 0 THEN weight END) AS mean FROM w GROUP BY fold, target)
+    SELECT w.fold, w.target, w.geo_value, w.reference_date, w.lag, w.weight / m.mean AS weight FROM w JOIN m ON m.fold = w.fold AND m.target = w.target
 """)
+# as many draws for each target as it has rows: draws and the rows' places on the line of weights are put in one
+# order, and each draw falls to the row that begins last before it, so that no draw meets more than its row
 model("weighted_resample", """
-    WITH c AS (
-      SELECT fold, geo_value, reference_date, lag, sum(CAST(weight AS DECIMAL(20, 9))) OVER (PARTITION BY fold ORDER BY geo_value, reference_date, lag ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-             CAST(weight AS DECIMAL(20, 9)) AS weight, sum(CAST(weight AS DECIMAL(20, 9))) OVER (PARTITION BY fold) AS total FROM {route_weights}),
-    d AS (SELECT f.fold, n.i AS draw, {hex48(concat('resample:', CAST(f.fold AS STRING), ':', CAST(n.i AS STRING)))} / 281474976710656e0 AS u FROM (SELECT DISTINCT fold FROM c) f CROSS JOIN {numbers(1; 200)} n)
-    SELECT d.fold, CAST(d.draw AS INT) AS draw, c.geo_value, c.reference_date, c.lag FROM d JOIN c ON c.fold = d.fold
-      AND d.u * CAST(c.total AS DOUBLE) < CAST(c.upto AS DOUBLE) AND d.u * CAST(c.total AS DOUBLE) >= CAST(c.upto AS DOUBLE) - CAST(c.weight AS DOUBLE)
+    WITH r AS (
+      SELECT fold, target, geo_value, reference_date, lag, CAST(round(weight * 1e6) AS BIGINT) AS weight, row_number() OVER w AS place,
+             CAST(sum(CAST(round(weight * 1e6) AS BIGINT)) OVER w AS BIGINT) AS upto
+      FROM {route_weights} WINDOW w AS (PARTITION BY fold, target ORDER BY geo_value, reference_date, lag ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    t AS (SELECT fold, target, CAST(max(upto) AS BIGINT) AS total FROM r GROUP BY fold, target),
+    u AS (
+      SELECT fold, target, upto - weight AS spot, CAST(NULL AS BIGINT) AS draw, geo_value, reference_date, lag FROM r WHERE weight > 0
+      UNION ALL
+      SELECT r.fold, r.target, {hex48(concat('resample:', CAST(r.fold AS STRING), ':', r.target, ':', CAST(r.place AS STRING)))} % t.total, CAST(r.place AS BIGINT), NULL, NULL, NULL
+      FROM r JOIN t ON t.fold = r.fold AND t.target = r.target WHERE t.total > 0),
+    s AS (
+      SELECT fold, target, draw, {last(geo_value)} OVER w AS geo_value, {last(reference_date)} OVER w AS reference_date, {last(lag)} OVER w AS lag
+      FROM u WINDOW w AS (PARTITION BY fold, target ORDER BY spot, CASE WHEN draw IS NULL THEN 0 ELSE 1 END, draw ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT fold, target, draw, geo_value, reference_date, lag FROM s WHERE draw IS NOT NULL
 """)
 model("train_sets_similarity", """
-    SELECT s.fold, s.draw, s.geo_value, s.reference_date, s.lag, g.lag_group FROM {weighted_resample} s JOIN {lag_groups} g ON s.lag BETWEEN g.lo - 1 AND g.hi + 1
+    SELECT s.fold, s.target, s.draw, s.geo_value, s.reference_date, s.lag, g.lag_group FROM {weighted_resample} s JOIN {lag_groups} g ON s.lag BETWEEN g.lo - 1 AND g.hi + 1
 """)
 # A task is a (location, lag) of an origin: its median remaining revision, what is usual from there on, and its course.
 model("task_profiles", """

@@ -107,7 +107,7 @@ DOUBLES: dict[str, str] = {
     "to_raw_scale": "working from_log1p from_log from_identity",
     "trailing_mean_7": "value_7dav",
     "train_sets_global": "remaining",
-    "train_sets_local": "mean_remaining",
+    "train_sets_local": "latest target remaining",
     "triangle": "log_value_7dav log_value_target_7dav log_delta_value_7dav_lag7 inv_log_lag",
     "upper_order_statistic": "q_error",
     "weekly_normalize": "value",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .models import MODELS, oracle, rounded, run
 from .operators import archive, assess, backtest, calibrate, compare, donors, forecast, monitor, pooling, pools, triangle  # noqa: F401
 from .plans.doubles import DOUBLES
-from .sources import archives  # noqa: F401
+from .sources import archives, files  # noqa: F401
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -22,5 +22,5 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {m.name: _query(m.name) for m in MODELS.values() if m.public}
-QUERIES |= pools.QUERIES
+QUERIES |= pools.QUERIES | files.QUERIES
 SQL: dict[str, str] = {name: oracle(name, DOUBLES.get(name, "").split()) for name in QUERIES if name in MODELS}

@@ -54,7 +54,7 @@ model("scan_archive", """
     SELECT geo_value, reference_date, report_date, value FROM {archive_a}
 """)
 model("scan_triangles", """
-    SELECT geo_value, reference_date, report_date, lag, value FROM {archive_b} WHERE geo_value IN ('purchase', 'view')
+    SELECT geo_value, reference_date, report_date, lag, value FROM {archive_b}
 """)
 model("scan_mapped_archive", """
     SELECT place AS geo_value, TRY_CAST(event AS DATE) AS reference_date, TRY_CAST(issue AS DATE) AS report_date,

@@ -15,8 +15,11 @@ def _own() -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where none is named, as in tests."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own()
+    """spark.checkpoint.dir. Without one a local folder serves a local master only: executors elsewhere could not read it."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or _own()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
