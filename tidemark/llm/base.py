@@ -35,7 +35,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, which cuts its lineage."""
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing will read again: what was made of them must be written itself."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -50,7 +60,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, size: str = "n", how: str = "inner") -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str = "n", how: str = "inner") -> DataFrame:
     """Join rows with groups (one row a key, `size` rows each) on key, however uneven the groups.
 
     Both should be written tables: each is read twice. The groups that hold more than one row in

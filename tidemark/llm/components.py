@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import attach, written
+from .base import attach, discard, written
 
 
 def _shuffled(code: Column) -> Column:
@@ -15,24 +15,45 @@ def _shuffled(code: Column) -> Column:
     return code.bitwiseXOR(F.shiftleft(code, 17))
 
 
+#: Edges that are one task's work: two numbers each.
+FEW = 20_000
+
+
+def _codes(edges: DataFrame, level: int, few: bool, used: list[DataFrame]) -> DataFrame:
+    """node, level, code: nodes have the same level and code if edges (a < b, written) connect them."""
+    one = lambda df: df.coalesce(1) if few else df
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = written(one(both).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m")), "least")
+    left = one(edges).join(one(least).hint("merge"), F.col("a") == F.col("v")).select(F.col("m").alias("a"), "b")
+    moved = left.join(one(least).hint("merge"), F.col("b") == F.col("v")).select(_shuffled(F.col("a")).alias("a"), _shuffled(F.col("m")).alias("b"))
+    moved = written(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    used += [least, moved]
+    own, n = one(least).select(F.col("v").alias("node"), F.lit(level).alias("level"), _shuffled(F.col("m")).alias("code")), moved.count()
+    if not n:
+        return own
+    further = _codes(moved, level + 1, few or n <= FEW, used)
+    further = further.select(F.col("node").alias("_node"), F.col("level").alias("_level"), F.col("code").alias("_code"))
+    joined = own.join(further.hint("merge"), F.col("code") == F.col("_node"), "left")
+    table = written(joined.select("node", F.coalesce("_level", "level").alias("level"), F.coalesce("_code", "code").alias("code")), "codes")
+    used.append(table)
+    return one(table)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root of every node that has an edge (a long, b long); root is the smallest node of its component.
 
-    Nodes bear codes. Each round gives every node the smallest code among itself and its neighbours and replaces
-    the edges' ends by these. At first the codes are the ids, so that stars around the smallest are one round; then
-    all are shuffled before each round: were they in the order of the ids, a path whose ids ascend would lose one
-    node a round; in random order any path about halves. Minima are combined before the exchange, so a node with
-    many neighbours costs a task no more than its own rows.
+    Each round gives every node the smallest of itself and its neighbours and replaces the edges' ends by these,
+    until no edge is left; on the way back nodes take the codes of what they were replaced by. At first the codes
+    are the ids, so that stars around the smallest are one round; then they are shuffled before each round: were
+    they in the order of the ids, a path whose ids ascend would lose one node a round; in random order any path
+    about halves. Minima are combined before the exchange, so a node with many neighbours costs a task no more
+    than its own rows. Once FEW edges are left, one task does a round.
     """
-    first = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
-    edges = written(first.distinct(), "edges")
-    labels = written(first.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("code", F.col("node")), "labels")
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m")), "least")
-        labels = written(labels.join(least.hint("merge"), F.col("code") == F.col("v"), "left").select("node", _shuffled(F.coalesce("m", "code")).alias("code")), "labels")
-        left = edges.join(least.hint("merge"), F.col("a") == F.col("v")).select(F.col("m").alias("a"), "b")
-        moved = left.join(least.hint("merge"), F.col("b") == F.col("v")).select("a", F.col("m").alias("b")).where("a <> b")
-        edges = written(moved.select(_shuffled(F.least("a", "b")).alias("a"), _shuffled(F.greatest("a", "b")).alias("b")).distinct(), "edges")
-    roots = written(labels.groupBy("code").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")), "roots")
-    return written(attach(labels, roots, "code").select("node", "root"), "components")
+    first = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    first = written(first, "edges")
+    used = [first]
+    labels = written(_codes(first, 0, False, used), "labels")
+    roots = written(labels.groupBy("level", "code").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")), "roots")
+    found = written(attach(labels, roots, ["level", "code"]).select("node", "root"), "components")
+    discard(*used, labels, roots)
+    return found

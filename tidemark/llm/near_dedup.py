@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import Words, attach, mix, shingles, written
+from .base import Words, attach, discard, mix, shingles, written
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -173,7 +173,7 @@ def _verify(idf: np.ndarray):
 def _linked(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     """The pairs (a, b) whose documents are alike enough. pairs: a written table.
 
-    The text of an `a` with many partners is sent out once for each PER_TASK of them.
+    The text of an `a` with many partners is sent out once for each PER_TASK of them. A written table.
     """
     counts = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.ceil(F.col("n") / PER_TASK)), "counts")
     salted = attach(pairs, counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
@@ -181,7 +181,9 @@ def _linked(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     u = u.select("a", "a_text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     t = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
     joined = salted.join(t.hint("merge"), "b").join(u.hint("merge"), ["a", "salt"])
-    return joined.select("a", "b", "a_text", "b_text").mapInArrow(_verify(idf), "a long, b long, similarity double")
+    found = written(joined.select("a", "b", "a_text", "b_text").mapInArrow(_verify(idf), "a long, b long, similarity double"), "links")
+    discard(counts)
+    return found
 
 
 def _own(idf: np.ndarray):
@@ -207,7 +209,9 @@ def _bounds(texts: DataFrame, idf: np.ndarray) -> DataFrame:
     alone = by.where("doc_id = last").select("shingle", "doc_id", F.lit(0.0).alias("w"), (-F.col("w")).alias("s"))
     both = rows.select("shingle", "doc_id", "w", F.col("w").alias("s")).unionByName(alone).withColumn("g", F.pmod("shingle", F.lit(GROUPS)))
     sums = [F.sum(F.when(F.col("g") == i, F.col("s")).otherwise(0.0)).alias(f"s{i}") for i in range(GROUPS)]
-    return both.groupBy("doc_id").agg(F.sum("w").alias("w"), F.sum("s").alias("shared"), *sums)
+    bounds = written(both.groupBy("doc_id").agg(F.sum("w").alias("w"), F.sum("s").alias("shared"), *sums), "bounds")
+    discard(rows)
+    return bounds
 
 
 def _pivots(opened: DataFrame, number: int) -> DataFrame:
@@ -225,7 +229,9 @@ def _pivots(opened: DataFrame, number: int) -> DataFrame:
     order = ("late", "apart", "doc_id")
     few = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("key", "salt").orderBy(*order))).where(F.col("rank") <= number)
     few = few.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("rank") <= number)
-    return few.select("key", "doc_id", "root", "n")
+    pivots = written(few.select("key", "doc_id", "root", "n"), "pivots")
+    discard(sizes, top)
+    return pivots
 
 
 def _candidates(opened: DataFrame, pivots: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -267,37 +273,47 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     named = survey.where("digest IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("h", "digest")).alias("one"), F.count(F.lit(1)).alias("rows"))
     members = written(named.select("doc_id", "rows", "one.h", "one.digest"), "members")
     reps = members.groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("one"), F.count(F.lit(1)).alias("n"))
+    discard(survey)
     reps = written(reps.select("digest", F.col("one.doc_id").alias("rep"), F.col("one.h").alias("rep_h"), "n"), "reps")
 
     signed = written(texts.mapInArrow(_sign(idf), "doc_id long, h long, keys array<long>"), "signed")
     own = signed.join(reps.select("rep", "rep_h").hint("merge"), (F.col("doc_id") == F.col("rep")) & (F.col("h") == F.col("rep_h")), "left_semi")
     rows = written(own.select("doc_id", "h", F.explode("keys").alias("key")).distinct(), "bands")
+    discard(signed)
     shared = written(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     buckets = written(attach(rows, shared, "key").select("key", "doc_id", "h", "first"), "buckets")
+    discard(rows, shared)
     wanted = buckets.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
     near = texts.join(wanted.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")
     near = written(near.dropDuplicates(["doc_id", "h"]).select("doc_id", "text"), "near")
 
     pairs = written(buckets.where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    found = written(_linked(pairs, near, idf), "links")
+    found = _linked(pairs, near, idf)
     done = pairs
-    roots = components(found)
+    roots, all_buckets = components(found), buckets
     buckets = _open(buckets.where("doc_id > first").select("key", "doc_id"), roots)  # the smallest has met all others
+    discard(all_buckets)
     if buckets is None:
         return members, reps, found, roots
     wanted = buckets.select(F.col("doc_id").alias("_id")).distinct()
-    bounds = written(_bounds(near.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi"), idf), "bounds")
+    bounds = _bounds(near.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi"), idf)
+    before = [buckets]  # tables that the next round's buckets are made of
     buckets, number = buckets.select("key", "doc_id").join(bounds.select("doc_id", "w", "shared").hint("merge"), "doc_id"), 1
     while True:
         buckets = _open(buckets, roots, bounded=True)
+        discard(*before)
         if buckets is None:
+            discard(near, bounds)
             return members, reps, found, roots
-        pivots = written(_pivots(buckets, number), "pivots")
+        pivots = _pivots(buckets, number)
+        before = [buckets, pivots]
         pairs = written(_candidates(buckets, pivots, bounds).join(done.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
-            found = written(found.unionByName(_linked(pairs, near, idf)), "links")
+            new, old = _linked(pairs, near, idf), [found, roots]
+            found = written(found.unionByName(new), "links")
             done = done.unionByName(pairs)
             roots = components(found)
+            discard(new, *old)
         buckets = buckets.drop("root", "n").join(pivots.select("key", "doc_id").hint("merge"), ["key", "doc_id"], "left_anti")
         number *= PIVOTS
 
@@ -309,13 +325,18 @@ def _open(buckets: DataFrame, roots: DataFrame, bounded: bool = False) -> DataFr
     """
     placed = buckets.join(roots.hint("merge"), F.col("doc_id") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "doc_id"))
     placed = written(placed, "placed")
+    used = [placed]
     if bounded:
         sizes = placed.groupBy("key").agg(F.min("w").alias("least"), F.count(F.lit(1)).alias("n"))
         # partners of a document weigh at most what it shares, divided by SHARE, less its own weight
-        placed = written(attach(placed, written(sizes, "sizes"), "key").where(F.col("shared") / SHARE - F.col("w") >= F.col("least") - 1e-6).drop("least", "n"), "placed")
+        sizes = written(sizes, "sizes")
+        placed = written(attach(placed, sizes, "key").where(F.col("shared") / SHARE - F.col("w") >= F.col("least") - 1e-6).drop("least", "n"), "placed")
+        used += [sizes, placed]
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
     mixed = written(mixed, "mixed")
-    return None if mixed.isEmpty() else written(attach(placed, mixed, "key"), "open")
+    opened = None if mixed.isEmpty() else written(attach(placed, mixed, "key"), "open")
+    discard(*used, mixed)
+    return opened
 
 
 def dedup(docs: DataFrame) -> DataFrame:
