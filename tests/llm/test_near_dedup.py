@@ -82,6 +82,7 @@ def test_rows_that_repeat_an_id_are_one_document(spark):
 
 
 def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(contraction, "FEW", 8)
     rounds, kept = [], contraction.written
     monkeypatch.setattr(contraction, "written", lambda df, name: rounds.append(name) or kept(df, name))
     edges = spark.createDataFrame([(i, i + 1) for i in range(600)] + [(2000, 2001)], "a long, b long")

@@ -31,10 +31,22 @@ def scratch(spark: SparkSession) -> str:
     return named or _own_scratch()
 
 
+#: Spark's setting to remove a query's shuffle files once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back, which cuts its lineage."""
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Write df as Parquet in the shared folder and read it back, which cuts its lineage.
+
+    The exchanges of the write serve nothing afterwards, so their files go as soon as it has ended.
+    """
+    path, conf = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}", df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out

@@ -23,7 +23,7 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 4
 #: Hash buckets whose document frequencies weigh the shingles; a fixed number, whatever the corpus.
 DF_BITS = 16
-#: Each round compares so many times as many documents of a bucket with all others as the round before.
+#: Documents of a bucket that the first round compares with all others; each further round so many times as many.
 PIVOTS = 16
 #: Rows of a bucket, or partners of a document, that a task gets.
 PER_TASK = 512
@@ -254,8 +254,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     of their components.
 
     First each document of a bucket is compared with the bucket's smallest. Components that arise need no further
-    comparison inside. Where components still share a bucket, pivots are compared with all others in it, one a
-    bucket, then PIVOTS times as many in each further round, until no bucket holds two components that may yet be
+    comparison inside. Where components still share a bucket, pivots are compared with all others in it, PIVOTS
+    a bucket, then PIVOTS times as many in each further round, until no bucket holds two components that may yet be
     linked. So no link between components is lost, and the work is that of the documents left apart, not of all
     pairs. Bounds decide first which documents can be alike at all: what a document has on shingles of its own
     alone it shares with nobody, and by groups of shingles two documents share at most the lesser weight.
@@ -298,7 +298,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     wanted = buckets.select(F.col("doc_id").alias("_id")).distinct()
     bounds = _bounds(near.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi"), idf)
     before = [buckets]  # tables that the next round's buckets are made of
-    buckets, number = buckets.select("key", "doc_id").join(bounds.select("doc_id", "w", "shared").hint("merge"), "doc_id"), 1
+    buckets, number = buckets.select("key", "doc_id").join(bounds.select("doc_id", "w", "shared").hint("merge"), "doc_id"), PIVOTS
     while True:
         buckets = _open(buckets, roots, bounded=True)
         discard(*before)
