@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, html_text, licenses, near_dedup, packing, sentencepiece_ids, substring_dedup, toxicity, warc
+from . import exact_dedup, fingerprints, html_text, licenses, mixing, near_dedup, packing, sentencepiece_ids, substring_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_cuckoo_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op13_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,6 +76,7 @@ QUERIES = {
         op8_sentencepiece_ids,
         op9_block_rules_text,
         op10_cuckoo_exact_dedup,
+        op13_hypergeometric_mix,
     )
 }
 
@@ -96,4 +101,27 @@ SQL = {
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)
     """,
+    # which words the mix takes follows from a document's place on its source's line, however blocks are dealt
+    "op13_hypergeometric_mix": r"""
+        WITH s AS (
+          SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                 CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS draw
+          FROM documents),
+        g AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s GROUP BY source),
+        w AS (SELECT *, CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM g),
+        r AS (
+          SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+                    / CAST(sum(weight) OVER (ORDER BY 3 * source_size / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS share
+          FROM w),
+        f AS (SELECT max(share) AS share FROM r WHERE share * weight <= 3 * source_size),
+        t AS (SELECT w.source, w.source_size, least(f.share * w.weight, CAST(3 * w.source_size AS DOUBLE)) AS target FROM w CROSS JOIN f),
+        l AS (
+          SELECT s.doc_id, s.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS take,
+                 CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.draw, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place
+          FROM s JOIN t ON t.source IS NOT DISTINCT FROM s.source)
+        SELECT doc_id, size, source_size, target,
+               CAST(greatest(0, least(place + size, take) - place) + greatest(0, least(source_size + place + size, take) - source_size - place)
+                    + greatest(0, least(2 * source_size + place + size, take) - 2 * source_size - place) AS BIGINT) AS taken
+        FROM l
+    """,
 }
