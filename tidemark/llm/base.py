@@ -72,16 +72,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str = "n", how: str = "inner") -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str = "n", how: str = "inner", share: int = HOT_SHARE) -> DataFrame:
     """Join rows with groups (one row a key, `size` rows each) on key, however uneven the groups.
 
     Both should be written tables: each is read twice. The groups that hold more than one row in
-    HOT_SHARE are at most HOT_SHARE in number, so they are broadcast; all others meet by a shuffle.
+    share are at most share in number, so they are broadcast; all others meet by a shuffle.
     """
     total = groups.agg(F.coalesce(F.sum(size), F.lit(0)).alias("_total"))
     hot = (
         groups.crossJoin(F.broadcast(total))
-        .where((F.col(size) > 200) & (F.col(size) * HOT_SHARE > F.col("_total")))
+        .where((F.col(size) > 200) & (F.col(size) * share > F.col("_total")))
         .drop("_total")
     )
     first = rows.join(F.broadcast(hot), key, "inner")
