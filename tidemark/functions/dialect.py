@@ -14,7 +14,8 @@ SPARK: dict[str, Callable[..., str]] = {
     "numbers": lambda a, b: f"(SELECT explode(sequence({a}, {b})) AS i)",
     "semi": lambda _: "LEFT SEMI JOIN",
     "last": lambda x: f"last_value({x}, true)",
-    "sequence": lambda a, b, step: f"explode(sequence({a}, {b}, INTERVAL {step} DAY))",
+    "steps": lambda last, step: f"explode(sequence(0, {last}, {step}))",
+    "refuse": lambda why: f"CASE WHEN {why} IS NOT NULL THEN raise_error({why}) ELSE TRUE END",
 }
 DUCKDB: dict[str, Callable[..., str]] = {
     "days": lambda later, earlier: f"CAST(date_diff('day', {earlier}, {later}) AS INTEGER)",
@@ -25,7 +26,8 @@ DUCKDB: dict[str, Callable[..., str]] = {
     "numbers": lambda a, b: f"(SELECT CAST(unnest(range({a}, {b} + 1)) AS INTEGER) AS i)",
     "semi": lambda _: "SEMI JOIN",
     "last": lambda x: f"last_value({x} IGNORE NULLS)",
-    "sequence": lambda a, b, step: f"CAST(unnest(generate_series({a}, {b}, INTERVAL {step} DAY)) AS DATE)",
+    "steps": lambda last, step: f"CAST(unnest(range(0, {last} + 1, {step})) AS INTEGER)",
+    "refuse": lambda why: f"CASE WHEN {why} IS NOT NULL THEN error({why}) ELSE TRUE END",
 }
 _MACRO = re.compile(r"\{(\w+)\(([^{}]*)\)\}")
 

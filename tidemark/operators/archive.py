@@ -129,12 +129,22 @@ model("archive_report", """
            CASE WHEN (SELECT count(DISTINCT geo_value) FROM {archive_normalize}) = 1 THEN 'single location' END AS location_note,
            CASE WHEN (SELECT max(genuine_rate) FROM {genuine_rate}) < 2e-2 THEN 'few genuine revisions' END AS rate_note
 """)
-model("preparation_settings", """
-    SELECT resolution, CAST(coalesce(target_lag, 0) AS INT) AS target_lag,
-           CASE WHEN resolution = 'weekly' THEN '7,14' ELSE '1,7' END AS lag_terms, resolution = 'daily' AS smoothed, 180 AS training_days,
-           CASE WHEN resolution = 'weekly' THEN 14 ELSE 30 END AS retraining_days,
-           CASE WHEN resolution = 'daily' THEN 'log_value_target_7dav' ELSE 'log_value_target' END AS target_column
-    FROM {archive_report}
+# user_settings: what a user asks for in place of what the archive suggests; null is not asked for.
+model("user_settings", """
+    SELECT CAST(NULL AS INT) AS target_lag, CAST(NULL AS STRING) AS lag_terms, CAST(NULL AS BOOLEAN) AS smoothed, CAST(NULL AS INT) AS training_days,
+           CAST(NULL AS INT) AS retraining_days, CAST(NULL AS STRING) AS weekday_groups, CAST(NULL AS STRING) AS target_column
+""", public=False)
+_ASKED = ("target_lag", "lag_terms", "smoothed", "training_days", "retraining_days", "weekday_groups", "target_column")
+model("preparation_settings", f"""
+    WITH d AS (
+      SELECT r.resolution, CAST(coalesce(r.target_lag, 0) AS INT) AS target_lag, CASE WHEN r.resolution = 'weekly' THEN '7,14' ELSE '1,7' END AS lag_terms,
+             r.resolution = 'daily' AS smoothed, 180 AS training_days, CASE WHEN r.resolution = 'weekly' THEN 14 ELSE 30 END AS retraining_days,
+             CASE WHEN r.resolution = 'daily' THEN 'mon,weekends' ELSE '' END AS weekday_groups,
+             CASE WHEN coalesce(u.smoothed, r.resolution = 'daily') THEN 'log_value_target_7dav' ELSE 'log_value_target' END AS target_column
+      FROM {{archive_report}} r CROSS JOIN {{user_settings}} u)
+    SELECT d.resolution, {', '.join(f'coalesce(u.{c}, d.{c}) AS {c}' for c in _ASKED)},
+           concat_ws(',', {', '.join(f"CASE WHEN u.{c} IS NOT NULL THEN '{c}' END" for c in _ASKED)}) AS overrides
+    FROM d CROSS JOIN {{user_settings}} u
 """)
 # what each location by itself would suggest, against the lag that the whole archive was set to
 model("lag_choices", """

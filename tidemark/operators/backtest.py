@@ -2,11 +2,30 @@
 
 from ..models import model
 
+# Origins at every retraining interval from the first, FIRST_ORIGIN days after the first report unless the settings name
+# a date, to the last report. An origin's window is the interval itself, so windows adjoin and every later report is in one.
+# asked_backtest: what a user asks for in place of what the archive's resolution suggests; null is not asked for.
+model("asked_backtest", """
+    SELECT CAST(200 AS INT) AS retraining_days, CAST(360 AS INT) AS training_days, CAST(28 AS INT) AS target_lag, CAST(NULL AS DATE) AS first_origin
+""", public=False)
+model("archive_span", """
+    WITH b AS (
+      SELECT min(report_date) AS lo, max(report_date) AS hi,
+             CASE WHEN count(DISTINCT {weekday(reference_date)}) > 1 OR count(DISTINCT {weekday(report_date)}) > 1 THEN 'daily' ELSE 'weekly' END AS resolution
+      FROM {archive_a}),
+    s AS (
+      SELECT b.lo, b.hi, coalesce(u.first_origin, {plus(b.lo; 60)}) AS first_origin, coalesce(u.retraining_days, CASE WHEN b.resolution = 'weekly' THEN 14 ELSE 30 END) AS retraining_days,
+             coalesce(u.training_days, 180) AS training_days, u.target_lag
+      FROM b CROSS JOIN {asked_backtest} u WHERE b.lo IS NOT NULL)
+    SELECT s.*, CASE WHEN retraining_days < 1 THEN 'the retraining interval must be at least one day' WHEN first_origin > hi THEN 'the first origin is after the last report'
+                     WHEN first_origin < lo THEN 'the first origin is before the first report' END AS refused
+    FROM s
+""", public=False)
 model("retraining_calendar", """
-    WITH b AS (SELECT min(report_date) AS lo, max(report_date) AS hi FROM {archive_a}),
-    d AS (SELECT {sequence({plus(lo; 60)}; hi; 200)} AS test_date, hi FROM b)
-    SELECT CAST(row_number() OVER (ORDER BY test_date) AS INT) AS fold, test_date, 28 AS target_lag, 360 AS training_days, 60 AS testing_days,
-           {plus(max(test_date) OVER (); 200)} AS experiment_end_date
+    WITH b AS (SELECT * FROM {archive_span} WHERE {refuse(refused)}),
+    d AS (SELECT {steps({days(hi; first_origin)}; retraining_days)} AS i, b.* FROM b)
+    SELECT CAST(row_number() OVER (ORDER BY i) AS INT) AS fold, {plus(first_origin; i)} AS test_date, target_lag, training_days, retraining_days AS testing_days,
+           {plus(first_origin; max(i) OVER () + retraining_days)} AS experiment_end_date
     FROM d
 """)
 model("schedule_fallback", """
