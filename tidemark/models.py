@@ -8,6 +8,7 @@ is a DataFrame whose inputs are DataFrames, and Catalyst sees the whole plan.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +28,11 @@ class Model:
     sql: str
     public: bool
     digits: int | None  # to which the registered query rounds its doubles
+    make: Callable[..., DataFrame] | None = None  # of the DataFrames of reads, where SQL does not say it
+    reads: tuple[str, ...] = ()
 
     def inputs(self) -> list[str]:
-        return list(dict.fromkeys(_INPUT.findall(self.sql)))
+        return list(self.reads) if self.make else list(dict.fromkeys(_INPUT.findall(self.sql)))
 
 
 MODELS: dict[str, Model] = {}
@@ -38,7 +41,7 @@ MODELS: dict[str, Model] = {}
 #: held each of them anew wherever it is read would be planned and run many times over.
 STORED = frozenset(
     "triangle build_cases completed_training validity_a process_states process_history historical_scale process_shift long scored history "
-    "history_strata harm_strata history_strata_rows harm_strata_rows endpoint_offsets reliability_history episode_curves location_curves task_cells task_profiles task_prototypes task_components task_distance nearest_threshold donor_scores process_profiles donors archive_normalize validity genuine_events process_daily matched reliability_raw revision_profile route_weights".split()
+    "history_strata harm_strata history_strata_rows harm_strata_rows endpoint_offsets reliability_history episode_curves location_curves task_cells task_profiles task_prototypes task_components task_distance nearest_threshold donor_scores process_profiles donors archive_normalize validity genuine_events process_daily matched reliability_raw revision_profile route_weights training_features quantile_fit".split()
 )
 _kept: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -49,6 +52,13 @@ def model(name: str, sql: str, public: bool = True, digits: int | None = 6) -> N
     MODELS[name] = Model(name, sql.strip(), public, digits)
 
 
+def frame_model(name: str, reads: tuple[str, ...], make: Callable[..., DataFrame], public: bool = True, digits: int | None = 6, sql: str = "") -> None:
+    """A model that make gives of the DataFrames of reads. sql: what is the same in SQL, for the oracle."""
+    if name in MODELS:
+        raise ValueError(f"there is a model {name} already")
+    MODELS[name] = Model(name, sql.strip(), public, digits, make, reads)
+
+
 def run(spark: SparkSession, name: str, sf_dir: str | None = None, given: dict[str, DataFrame] | None = None) -> DataFrame:
     """The model's DataFrame. given: DataFrames that stand for models or tables of those names."""
     from . import registry  # noqa: F401  all models are defined once it is imported
@@ -61,8 +71,8 @@ def run(spark: SparkSession, name: str, sf_dir: str | None = None, given: dict[s
             if not given and known in _kept:
                 made[n] = _kept[known]
             elif n in MODELS:
-                text = dialect.write(MODELS[n].sql, dialect.SPARK)
-                made[n] = spark.sql(text, **{i: get(i) for i in MODELS[n].inputs()})
+                inputs = {i: get(i) for i in MODELS[n].inputs()}
+                made[n] = MODELS[n].make(*inputs.values()) if MODELS[n].make else spark.sql(dialect.write(MODELS[n].sql, dialect.SPARK), **inputs)
                 if n in STORED:
                     made[n] = stored(made[n], n)
                     if not given:
@@ -82,13 +92,18 @@ def rounded(df: DataFrame, digits: int | None) -> DataFrame:
     return df.select(*(F.round(c.name, digits).alias(c.name) if isinstance(c.dataType, T.DoubleType) else F.col(c.name) for c in df.schema))
 
 
+def in_sql(name: str) -> bool:
+    """Whether the model and all that it reads can be said in SQL."""
+    return name not in MODELS or bool(MODELS[name].sql) and all(map(in_sql, dict.fromkeys(_INPUT.findall(MODELS[name].sql))))
+
+
 def oracle(name: str, doubles: list[str] | None = None) -> str:
     """The model as one DuckDB query over the driver's tables."""
     order: list[str] = []
 
     def visit(n: str) -> None:
         if n in MODELS and n not in order:
-            for i in MODELS[n].inputs():
+            for i in dict.fromkeys(_INPUT.findall(MODELS[n].sql)):
                 visit(i)
             order.append(n)
 
