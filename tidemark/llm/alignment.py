@@ -8,7 +8,7 @@ together. Pairs of ids are counted within tasks by grouped tables, and the parti
 from __future__ import annotations
 
 import hashlib
-import re
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
@@ -22,10 +22,9 @@ from .base import attach, written
 from .sentencepiece_ids import BYTE, MARK, parse
 
 #: Characters encoded at a time, parts that a worker keeps of each side, pairs that a task counts before it hands them on.
-CHUNK, CACHE_PARTS, PAIRS = 1_000_000, 300_000, 1_000_000
+CHUNK, CACHE_PARTS, PAIRS = 600_000, 200_000, 1_000_000
 #: A pair is frequent if it is more than one link in so many: so many pairs at most, of 20 bytes each, are broadcast.
 FREQUENT = 50_000
-_ODD = re.compile(r" \s|\s |^\s|\s$")
 _ENDS = (b",", b"|", b";")
 
 
@@ -49,26 +48,39 @@ class Side:
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x, "<u4").tobytes() for x in self.encode(texts)] if texts else []
+        return [array("I", x).tobytes() for x in self.encode(texts)] if texts else []
 
-    def __call__(self, texts: Sequence[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; an empty text has none."""
+    def _sound(self, part: str) -> bool:
+        return bool(part) and not part[0].isspace() and not part[-1].isspace() and not (self.mark and self.mark in part)
+
+    def __call__(self, texts: Sequence[str], parts: Sequence[list[str]], distinct: set[str]) -> list[bytes]:
+        """32-bit ids of each text; an empty text has none. parts: the texts' parts between blanks, distinct: all of them."""
         if len(self.known) > CACHE_PARTS:
             self.known = {}
         known = self.known
-        parts = [t.split(" ") if self.apart and t and not _ODD.search(t) and (not self.mark or self.mark not in t) else None for t in texts]
-        whole = [i for i, (t, ps) in enumerate(zip(texts, parts)) if t and ps is None]
-        new = [p for p in set().union(*filter(None, parts)) if p not in known]
+        new = [p for p in distinct if p not in known and self._sound(p)] if self.apart else []
         found = dict(zip(new, self._ids(new)))
-        long = {p: x for p, x in found.items() if len(p) > 40}
-        known.update((p, x) for p, x in found.items() if len(p) <= 40)
-        get = (lambda p: known[p] if p in known else long[p]) if long else known.__getitem__
-        out = [b"".join(map(get, ps)) if ps else b"" for ps in parts]
+        known.update(found)
+        out, whole = [], []
+        for i, (t, ps) in enumerate(zip(texts, parts)):
+            try:
+                out.append(b"".join(map(known.__getitem__, ps)) if t else b"")
+            except KeyError:  # a part that cannot stand alone
+                out.append(b"")
+                whole.append(i)
+        for p in found:
+            if len(p) > 40:
+                del known[p]
         for i, x in zip(whole, self._ids([texts[i] for i in whole])):
             out[i] = x
         return out
 
 
+def split(texts: Sequence[str]) -> tuple[list[list[str]], set[str]]:
+    parts = [t.split(" ") for t in texts]
+    return parts, set().union(*parts)
+
+
 @lru_cache(maxsize=1)
 def byte_level(path: str) -> Side:
     from tokenizers import Tokenizer, pre_tokenizers
@@ -111,8 +123,10 @@ class Flat:
         data = self.bytes.buffers()[2]
         return memoryview(data if data is not None else b"").cast("B")
 
-    def table(self, ids: str, place: str) -> pa.Table:
-        return pa.table({"text": self.text, "end": self.ends, ids: self.ids, place: pa.array(np.arange(len(self.ids)))})
+    def table(self, place: str) -> pa.Table:
+        """Each token's key, its text and its end in one number, and its place."""
+        key = pc.bit_wise_or(pc.shift_left(self.text.cast(pa.int64()), 40), self.ends)
+        return pa.table({"key": key, place: pa.array(np.arange(len(self.ids), dtype=np.int32))})
 
 
 def alike(flat: Flat, raw: list[bytes]) -> np.ndarray:
@@ -130,11 +144,11 @@ def _decimals(n: int) -> pa.BinaryArray:
     return pa.array([b"%d%s" % (i, end) for end in _ENDS for i in range(n)], pa.binary())
 
 
-def _digests(a: Flat, b: Flat, met: pa.Table, n_ids: int) -> tuple[np.ndarray, list[str]]:
+def _digests(a: Flat, b: Flat, i: np.ndarray, j: np.ndarray, n_ids: int) -> tuple[np.ndarray, list[str]]:
     """Groups of each text, and the digest of its groups' ids."""
     # where tokens end together a group ends; tokens before that on both sides are the group's
     last_a, last_b = np.zeros(len(a.ids), bool), np.zeros(len(b.ids), bool)
-    last_a[met["i"].to_numpy()], last_b[met["j"].to_numpy()] = True, True
+    last_a[i], last_b[j] = True, True
     group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
     n = int(last_a.sum())
     in_a, in_b = np.bincount(group_a, minlength=n), np.bincount(group_b, minlength=n)
@@ -146,7 +160,7 @@ def _digests(a: Flat, b: Flat, met: pa.Table, n_ids: int) -> tuple[np.ndarray, l
     cuts = upto[np.append(0, np.cumsum(a.sizes + b.sizes))].tolist()
     data = memoryview(said.buffers()[2] or b"").cast("B")
     groups = np.diff(np.append(0, np.cumsum(last_a))[np.append(0, np.cumsum(a.sizes))])
-    return groups, [hashlib.sha256(data[i : j - 1]).hexdigest() if j > i else "" for i, j in zip(cuts, cuts[1:])]
+    return groups, [hashlib.sha256(data[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(cuts, cuts[1:])]
 
 
 _OUT = [("row", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
@@ -160,14 +174,17 @@ def _batch(rows: list, **cells: list) -> pa.RecordBatch:
 def align_texts(texts: list[str], side_a: Side, side_b: Side) -> tuple[dict, pa.Table]:
     """Columns of each text, its pairs of ids that end together and how often; and the table of (text, a, b, count_all)."""
     raw = [b" " + t.encode() if t else b"" for t in texts]
-    ids = [side_a(texts), side_b(texts)]
+    parts, distinct = split(texts)
+    ids = [side_a(texts, parts, distinct), side_b(texts, parts, distinct)]
     a, b = Flat(ids[0], side_a.tokens), Flat(ids[1], side_b.tokens)
     same = alike(a, raw) & alike(b, raw)
     if not same.all():
         a, b = (Flat([x if s else b"" for x, s in zip(own, same)], side.tokens) for own, side in zip(ids, (side_a, side_b)))
-    met = a.table("a", "i").join(b.table("b", "j"), keys=["text", "end"], join_type="inner", use_threads=False).combine_chunks()
-    groups, digests = _digests(a, b, met, max(len(side_a.tokens), len(side_b.tokens)))
-    links = met.group_by(["text", "a", "b"], use_threads=False).aggregate([([], "count_all")]).sort_by("text")
+    met = a.table("i").join(b.table("j"), keys="key", join_type="inner", use_threads=False).combine_chunks()
+    i, j = met["i"].to_numpy(), met["j"].to_numpy()
+    groups, digests = _digests(a, b, i, j, max(len(side_a.tokens), len(side_b.tokens)))
+    linked = pa.table({"text": a.text.to_numpy()[i], "a": a.ids.to_numpy()[i], "b": b.ids.to_numpy()[j]})
+    links = linked.group_by(["text", "a", "b"], use_threads=False).aggregate([([], "count_all")]).sort_by("text")
     of = links["text"].to_numpy()
     cuts = pa.array(np.append(0, np.cumsum(np.bincount(of, minlength=len(texts)))), pa.int32())
     times = links["count_all"].to_numpy()
