@@ -52,7 +52,7 @@ model("build_cases", """
 model("completed_training", """
     SELECT /*+ BROADCAST(s) */ s.fold, s.cutoff, t.geo_value, t.reference_date, t.report_date, t.lag, t.target_date,
            t.log_value_7dav AS latest, t.log_value_target_7dav AS target, t.log_value_target_7dav - t.log_value_7dav AS remaining,
-           t.target_date < s.cutoff AND t.genuine_event AS strict
+           t.target_date < s.cutoff AND t.genuine_event AS strict, t.genuine_event AS genuine
     FROM {triangle} t JOIN {schedule} s
       ON t.target_date > {plus(s.cutoff; 0 - s.training_days)} AND t.target_date <= s.cutoff AND t.report_date < s.cutoff
     WHERE t.lag <= 28

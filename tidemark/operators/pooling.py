@@ -1,6 +1,7 @@
 """Similarity routes between locations, and pools of (location, lag) tasks."""
 
-from ..models import model
+from ..models import frame_model, model
+from . import episodes, search  # noqa: F401
 
 BANDS = "CASE WHEN lag <= 7 THEN 1 WHEN lag <= 14 THEN 2 WHEN lag <= 28 THEN 3 ELSE 4 END"
 METRICS = ("spacing", "genuine_rate", "median_revision", "median_abs_revision", "mad_revision")
@@ -61,74 +62,104 @@ model("weighted_resample", """
 model("train_sets_similarity", """
     SELECT s.fold, s.target, s.draw, s.geo_value, s.reference_date, s.lag, g.lag_group FROM {weighted_resample} s JOIN {lag_groups} g ON s.lag BETWEEN g.lo - 1 AND g.hi + 1
 """)
-# A task is a (location, lag) of an origin: its median remaining revision, what is usual from there on, and its course.
-model("task_profiles", """
-    SELECT t.fold, t.geo_value, t.lag, {pct(t.remaining; 5e-1)} AS median_remaining, {pct(abs(t.remaining); 5e-1)} AS stage, CAST(count(*) AS BIGINT) AS n FROM {completed_training} t GROUP BY t.fold, t.geo_value, t.lag
+# A task is a (location, lag) of an origin: what is usual in the rest of an episode from there on (episodes.py), its course,
+# and how far it is from the target. Every episode is summarized once; an origin takes those completed before it.
+# Medians of numbers of 9 digits have 10: to these they are rounded, so that no rounding falls on a half.
+model("task_rows", """
+    SELECT /*+ BROADCAST(s) */ s.fold, e.geo_value, e.reference_date, e.lag, e.median_gap, e.zero_share, e.median_step, e.median_abs_step, e.mad_step, t.latest, t.target
+    FROM {episode_summaries} e JOIN {schedule} s ON e.target_date <= s.cutoff AND e.target_date > {plus(s.cutoff; 0 - s.training_days)}
+    JOIN {completed_training} t ON t.fold = s.fold AND t.geo_value = e.geo_value AND t.reference_date = e.reference_date AND t.lag = e.lag AND t.genuine
 """, public=False)
-model("task_prototypes", """
-    WITH c AS (SELECT fold, {pct(median_remaining; 5e-1)} AS center FROM {task_profiles} GROUP BY fold),
-    s AS (SELECT p.fold, max(c.center) AS center, {pct(abs(p.median_remaining - c.center); 5e-1)} AS mad FROM {task_profiles} p JOIN c ON c.fold = p.fold GROUP BY p.fold)
-    SELECT p.fold, p.geo_value, p.lag, p.stage, p.n, (p.median_remaining - s.center) / CASE WHEN s.mad > 0 THEN s.mad ELSE 1e0 END AS profile FROM {task_profiles} p JOIN s ON s.fold = p.fold
+_PROFILE = ("median_gap", "zero_share", "median_step", "median_abs_step", "mad_step")
+model("task_profiles", f"""
+    SELECT fold, geo_value, lag, {', '.join(f'round({{pct({c}; 5e-1)}}, 10) AS {c}' for c in _PROFILE)}, round({{pct(abs(target - latest); 5e-1)}}, 10) AS stage, CAST(count(*) AS BIGINT) AS n
+    FROM {{task_rows}} GROUP BY fold, geo_value, lag
+""", public=False)
+model("task_prototypes", f"""
+    WITH c AS (SELECT fold, {', '.join(f'{{pct({c}; 5e-1)}} AS {c}' for c in _PROFILE)} FROM {{task_profiles}} GROUP BY fold),
+    s AS (SELECT p.fold, {', '.join(f'max(c.{c}) AS c_{c}, {{pct(abs(p.{c} - c.{c}); 5e-1)}} AS m_{c}' for c in _PROFILE)} FROM {{task_profiles}} p JOIN c ON c.fold = p.fold GROUP BY p.fold)
+    SELECT p.fold, p.geo_value, p.lag, p.stage, p.n, {', '.join(f'round((p.{c} - s.c_{c}) / CASE WHEN s.m_{c} > 0 THEN s.m_{c} ELSE 1e0 END, 9) AS {c}' for c in _PROFILE)}
+    FROM {{task_profiles}} p JOIN s ON s.fold = p.fold
 """)
+model("task_courses", """
+    SELECT r.fold, r.geo_value, r.lag, e.from_lag, round({pct(e.step; 5e-1)}, 10) AS step
+    FROM {task_rows} r JOIN {episode_steps} e ON e.geo_value = r.geo_value AND e.reference_date = r.reference_date AND e.from_lag >= r.lag
+    GROUP BY r.fold, r.geo_value, r.lag, e.from_lag
+""", public=False)
 model("structural_edges", """
     WITH n AS (SELECT fold, geo_value, lag, lead(lag) OVER (PARTITION BY fold, geo_value ORDER BY lag) AS next_lag FROM {task_prototypes})
     SELECT a.fold, a.geo_value AS a_geo, a.lag AS a_lag, b.geo_value AS b_geo, b.lag AS b_lag FROM n a JOIN n b ON b.fold = a.fold AND b.lag = a.lag AND a.geo_value < b.geo_value
     UNION ALL SELECT fold, geo_value, lag, geo_value, next_lag FROM n WHERE next_lag IS NOT NULL
 """)
-# components between any two tasks of an origin: profile, course (the location curves from each lag on, over the lags that both have left), stage
-model("task_components", """
-    WITH inc AS (SELECT fold, geo_value, lag, curve - (lead(curve) OVER (PARTITION BY fold, geo_value ORDER BY lag)) AS step FROM {location_curves}),
-    p AS (
-      SELECT a.fold, a.geo_value AS a_geo, a.lag AS a_lag, b.geo_value AS b_geo, b.lag AS b_lag, abs(a.profile - b.profile) AS d_profile, abs(a.stage - b.stage) AS d_stage
-      FROM {task_prototypes} a JOIN {task_prototypes} b ON b.fold = a.fold AND (a.geo_value < b.geo_value OR a.geo_value = b.geo_value AND a.lag < b.lag)),
+frame_model("task_vectors", ("task_prototypes", "task_courses"), search.vectors, public=False, digits=None)
+# Distances are worked out for the pairs that the searches ask for (search.py). What follows says the same of all pairs of
+# an origin at once, for the oracle.
+model("dense_components", f"""
+    WITH p AS (
+      SELECT a.fold, a.geo_value AS a_geo, a.lag AS a_lag, b.geo_value AS b_geo, b.lag AS b_lag, round(abs(a.stage - b.stage), 9) AS d_stage,
+             round(sqrt({' + '.join(f'(a.{c} - b.{c}) * (a.{c} - b.{c})' for c in _PROFILE)}), 9) AS d_profile
+      FROM {{task_prototypes}} a JOIN {{task_prototypes}} b ON b.fold = a.fold AND (a.geo_value < b.geo_value OR a.geo_value = b.geo_value AND a.lag < b.lag)),
     c AS (
-      SELECT p.fold, p.a_geo, p.a_lag, p.b_geo, p.b_lag, sqrt(avg((x.step - y.step) * (x.step - y.step))) AS d_course
-      FROM p JOIN inc x ON x.fold = p.fold AND x.geo_value = p.a_geo AND x.lag >= p.a_lag AND x.step IS NOT NULL
-      JOIN inc y ON y.fold = p.fold AND y.geo_value = p.b_geo AND y.lag - p.b_lag = x.lag - p.a_lag AND y.step IS NOT NULL
+      SELECT p.fold, p.a_geo, p.a_lag, p.b_geo, p.b_lag, round(sqrt(avg((x.step - y.step) * (x.step - y.step))), 9) AS d_course
+      FROM p JOIN {{task_courses}} x ON x.fold = p.fold AND x.geo_value = p.a_geo AND x.lag = p.a_lag
+      JOIN {{task_courses}} y ON y.fold = p.fold AND y.geo_value = p.b_geo AND y.lag = p.b_lag AND y.from_lag - p.b_lag = x.from_lag - p.a_lag
       GROUP BY p.fold, p.a_geo, p.a_lag, p.b_geo, p.b_lag)
-    SELECT p.*, coalesce(c.d_course, 0e0) AS d_course FROM p LEFT JOIN c ON c.fold = p.fold AND c.a_geo = p.a_geo AND c.a_lag = p.a_lag AND c.b_geo = p.b_geo AND c.b_lag = p.b_lag
+    SELECT p.*, c.d_course FROM p JOIN c ON c.fold = p.fold AND c.a_geo = p.a_geo AND c.a_lag = p.a_lag AND c.b_geo = p.b_geo AND c.b_lag = p.b_lag
 """, public=False)
 _EDGE = "e.fold = c.fold AND e.a_geo = c.a_geo AND e.a_lag = c.a_lag AND e.b_geo = c.b_geo AND e.b_lag = c.b_lag"
+_DISTANCE = "round(sqrt((c.d_profile / s.d_profile) * (c.d_profile / s.d_profile) + (c.d_course / s.d_course) * (c.d_course / s.d_course) + (c.d_stage / s.d_stage) * (c.d_stage / s.d_stage)), 6)"
+frame_model("edge_components", ("task_vectors", "structural_edges"), search.components, public=False, sql=f"SELECT c.* FROM {{dense_components}} c JOIN {{structural_edges}} e ON {_EDGE}")
 model("sparse_scales", f"""
-    SELECT c.fold, {', '.join(f"coalesce({{pct(CASE WHEN c.{d} > 0 THEN c.{d} END; 5e-1)}}, 1e0) AS {d}" for d in ('d_profile', 'd_course', 'd_stage'))}
-    FROM {{task_components}} c JOIN {{structural_edges}} e ON {_EDGE} GROUP BY c.fold
-""")
-model("task_distance", """
-    SELECT c.fold, c.a_geo, c.a_lag, c.b_geo, c.b_lag, round(sqrt((c.d_profile / s.d_profile) * (c.d_profile / s.d_profile) + (c.d_course / s.d_course) * (c.d_course / s.d_course) + (c.d_stage / s.d_stage) * (c.d_stage / s.d_stage)), 6) AS distance
-    FROM {task_components} c JOIN {sparse_scales} s ON s.fold = c.fold
+    SELECT fold, {', '.join(f"coalesce({{pct(CASE WHEN {d} > 0 THEN {d} END; 5e-1)}}, 1e0) AS {d}" for d in ('d_profile', 'd_course', 'd_stage'))}
+    FROM {{edge_components}} GROUP BY fold
 """)
-model("both_ways", """
-    SELECT fold, a_geo AS geo_value, a_lag AS lag, b_geo AS other_geo, b_lag AS other_lag, distance FROM {task_distance}
-    UNION ALL SELECT fold, b_geo, b_lag, a_geo, a_lag, distance FROM {task_distance}
+model("edge_distance", f"""
+    SELECT c.fold, c.a_geo, c.a_lag, c.b_geo, c.b_lag, {_DISTANCE} AS distance FROM {{edge_components}} c JOIN {{sparse_scales}} s ON s.fold = c.fold
 """, public=False)
-model("nearest_threshold", f"""
-    WITH e AS (SELECT c.fold, c.a_geo, c.a_lag, c.b_geo, c.b_lag, c.distance FROM {{task_distance}} c JOIN {{structural_edges}} e ON {_EDGE}),
-    b AS (SELECT fold, a_geo AS geo_value, a_lag AS lag, distance FROM e UNION ALL SELECT fold, b_geo, b_lag, distance FROM e),
+model("dense_distance", f"""
+    WITH d AS (SELECT c.fold, c.a_geo, c.a_lag, c.b_geo, c.b_lag, {_DISTANCE} AS distance FROM {{dense_components}} c JOIN {{sparse_scales}} s ON s.fold = c.fold)
+    SELECT fold, a_geo AS geo_value, a_lag AS lag, b_geo AS other_geo, b_lag AS other_lag, distance FROM d UNION ALL SELECT fold, b_geo, b_lag, a_geo, a_lag, distance FROM d
+""", public=False)
+model("nearest_threshold", """
+    WITH b AS (SELECT fold, a_geo AS geo_value, a_lag AS lag, distance FROM {edge_distance} UNION ALL SELECT fold, b_geo, b_lag, distance FROM {edge_distance}),
     n AS (SELECT fold, geo_value, lag, min(distance) AS nearest FROM b GROUP BY fold, geo_value, lag)
-    SELECT fold, round({{pct(nearest; 75e-2)}} + 15e-1 * ({{pct(nearest; 75e-2)}} - {{pct(nearest; 25e-2)}}), 6) AS threshold, CAST(count(*) AS BIGINT) AS tasks FROM n GROUP BY fold
+    SELECT fold, round({pct(nearest; 75e-2)} + 15e-1 * ({pct(nearest; 75e-2)} - {pct(nearest; 25e-2)}), 6) AS threshold, CAST(count(*) AS BIGINT) AS tasks FROM n GROUP BY fold
 """)
-model("same_location_search", """
+frame_model("walked", ("task_vectors", "sparse_scales", "nearest_threshold"), search.walk, public=False)
+frame_model("same_location_search", ("walked",), lambda w: w.where("geo_value = other_geo").drop("other_geo"), sql="""
     WITH d AS (
       SELECT b.*, b.distance > t.threshold AS miss, CASE WHEN b.other_lag > b.lag THEN 1 ELSE -1 END AS direction, abs(b.other_lag - b.lag) AS step
-      FROM {both_ways} b JOIN {nearest_threshold} t ON t.fold = b.fold WHERE b.geo_value = b.other_geo),
+      FROM {dense_distance} b JOIN {nearest_threshold} t ON t.fold = b.fold WHERE b.geo_value = b.other_geo),
     m AS (SELECT *, CASE WHEN miss AND (lag(miss) OVER w) THEN 1 ELSE 0 END AS stops FROM d WINDOW w AS (PARTITION BY fold, geo_value, lag, direction ORDER BY step)),
     s AS (SELECT *, coalesce(sum(stops) OVER (PARTITION BY fold, geo_value, lag, direction ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM m)
     SELECT fold, geo_value, lag, other_lag, distance FROM s WHERE stopped = 0
 """)
-model("cross_location_search", """
+# a location without the anchor's lag has no center: its lags on each side are walked from the nearest on
+frame_model("cross_location_search", ("walked",), lambda w: w.where("geo_value <> other_geo"), sql="""
     WITH d AS (
       SELECT b.*, t.threshold, CASE WHEN b.other_lag > b.lag THEN 1 ELSE -1 END AS direction, abs(b.other_lag - b.lag) AS step, c.distance AS center
-      FROM {both_ways} b JOIN {nearest_threshold} t ON t.fold = b.fold
-      JOIN {both_ways} c ON c.fold = b.fold AND c.geo_value = b.geo_value AND c.lag = b.lag AND c.other_geo = b.other_geo AND c.other_lag = b.lag
+      FROM {dense_distance} b JOIN {nearest_threshold} t ON t.fold = b.fold
+      LEFT JOIN {dense_distance} c ON c.fold = b.fold AND c.geo_value = b.geo_value AND c.lag = b.lag AND c.other_geo = b.other_geo AND c.other_lag = b.lag
       WHERE b.geo_value <> b.other_geo AND b.other_lag <> b.lag),
     r AS (
-      SELECT *, row_number() OVER w AS place, least(center, coalesce(min(distance) OVER (PARTITION BY fold, geo_value, lag, other_geo, direction ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), center)) AS best FROM d
+      SELECT *, row_number() OVER w AS place, distance > threshold AS miss,
+             least(coalesce(center, 1e300), coalesce(min(distance) OVER (PARTITION BY fold, geo_value, lag, other_geo, direction ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1e300)) AS best FROM d
       WINDOW w AS (PARTITION BY fold, geo_value, lag, other_geo, direction ORDER BY step)),
-    m AS (SELECT *, distance > threshold AND distance >= best AS miss, min(CASE WHEN place = 1 AND distance >= center THEN 0 ELSE 1 END) OVER (PARTITION BY fold, geo_value, lag, other_geo, direction) AS walks FROM r),
-    p AS (SELECT *, CASE WHEN miss AND (lag(miss) OVER (PARTITION BY fold, geo_value, lag, other_geo, direction ORDER BY step)) THEN 1 ELSE 0 END AS stops FROM m),
+    p AS (
+      SELECT *, CASE WHEN place = 1 AND center IS NOT NULL AND distance >= center THEN 1 WHEN miss AND distance >= best AND (lag(miss) OVER (PARTITION BY fold, geo_value, lag, other_geo, direction ORDER BY step)) THEN 1 ELSE 0 END AS stops FROM r),
     s AS (SELECT *, coalesce(sum(stops) OVER (PARTITION BY fold, geo_value, lag, other_geo, direction ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM p)
-    SELECT fold, geo_value, lag, other_geo, other_lag, distance FROM s WHERE stopped = 0 AND (walks = 1 OR place = 1)
-    UNION ALL SELECT fold, geo_value, lag, other_geo, other_lag, distance FROM {both_ways} WHERE geo_value <> other_geo AND other_lag = lag
+    SELECT fold, geo_value, lag, other_geo, other_lag, distance FROM s WHERE stopped = 0
+    UNION ALL SELECT fold, geo_value, lag, other_geo, other_lag, distance FROM {dense_distance} WHERE geo_value <> other_geo AND other_lag = lag
+""")
+# every pair that was asked for, once
+model("task_distance", """
+    WITH q AS (
+      SELECT fold, geo_value AS a_geo, lag AS a_lag, geo_value AS b_geo, other_lag AS b_lag, distance FROM {same_location_search}
+      UNION ALL SELECT fold, geo_value, lag, other_geo, other_lag, distance FROM {cross_location_search}),
+    o AS (
+      SELECT fold, a_geo, a_lag, b_geo, b_lag, distance FROM q WHERE a_geo < b_geo OR a_geo = b_geo AND a_lag < b_lag
+      UNION ALL SELECT fold, b_geo, b_lag, a_geo, a_lag, distance FROM q WHERE NOT (a_geo < b_geo OR a_geo = b_geo AND a_lag < b_lag))
+    SELECT fold, a_geo, a_lag, b_geo, b_lag, min(distance) AS distance FROM o GROUP BY fold, a_geo, a_lag, b_geo, b_lag
 """)
 model("unseen_task_fallback", """
     WITH k AS (SELECT DISTINCT fold, geo_value, lag FROM {build_cases}),

@@ -34,7 +34,9 @@ DOUBLES: dict[str, str] = {
     "dual_alert_contrasts": "mean_difference low high",
     "ecdf_rank": "ecdf",
     "endpoint_offsets": "tau endpoint_offset",
+    "episode_course": "step",
     "episode_curves": "remaining",
+    "episode_summaries": "median_gap zero_share median_step median_abs_step mad_step",
     "external_predictions": "external",
     "fharm_discrimination": "mean_f_harm harm_frequency mean_wilson_width drift",
     "fill_lag_grid": "value",
@@ -103,7 +105,7 @@ DOUBLES: dict[str, str] = {
     "stratified_differences": "mean_difference win",
     "target_lag_asof": "rate median_error",
     "task_distance": "distance",
-    "task_prototypes": "stage profile",
+    "task_prototypes": "stage median_gap zero_share median_step median_abs_step mad_step",
     "to_raw_scale": "working from_log1p from_log from_identity",
     "trailing_mean_7": "value_7dav",
     "train_sets_global": "remaining",

@@ -22,5 +22,5 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {m.name: _query(m.name) for m in MODELS.values() if m.public}
-QUERIES |= pools.QUERIES | files.QUERIES | methods.QUERIES
+QUERIES |= files.QUERIES | methods.QUERIES
 SQL: dict[str, str] = {name: oracle(name, DOUBLES.get(name, "").split()) for name in QUERIES if name in MODELS and in_sql(name)}
