@@ -46,6 +46,7 @@ class Side:
         self.encode, self.apart, self.mark = encode, apart, mark
         self.tokens = pa.array(tokens, pa.binary())
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known before the parts were too many; what is met again is kept
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", x).tobytes() for x in self.encode(texts)] if texts else []
@@ -55,10 +56,12 @@ class Side:
 
     def __call__(self, texts: Sequence[str], parts: Sequence[list[str]], distinct: set[str]) -> list[bytes]:
         """32-bit ids of each text; an empty text has none. parts: the texts' parts between blanks, distinct: all of them."""
-        if len(self.known) > CACHE_PARTS:
-            self.known = {}
-        known = self.known
-        new = [p for p in distinct if p not in known and self._sound(p)] if self.apart else []
+        if len(self.known) > CACHE_PARTS // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        unmet = [p for p in distinct if p not in known] if self.apart else []
+        known.update((p, older[p]) for p in unmet if p in older)
+        new = [p for p in unmet if p not in known and self._sound(p)]
         found = dict(zip(new, self._ids(new)))
         known.update(found)
         out, whole = [], []
