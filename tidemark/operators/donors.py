@@ -1,14 +1,27 @@
 """Donor matching: how completed episodes of any location went on from a like stage weighs their revisions.
 
-Curves are interpolated by monotone cubics (PCHIP) whose slopes need only neighbouring releases. Cases are
-forecast at the lags of ISSUE_LAGS; donors are all rows completed before the origin.
+Curves are interpolated by monotone cubics (PCHIP) whose slopes need only neighbouring releases; donors are all rows
+completed before the origin. Cases of a (location, lag) share all of a donor's distance but its state's part, so they
+meet the donors once and together: first those of their own location and lag, which bounds how far the nearest is, then
+the donors of locations and lags within REACH of that. What is beyond has less than a billionth of the weight.
 """
 
-from ..models import model
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..models import frame_model, model
+from ..storage import stored
 from .forecast import QS, TAUS
 
 GAMMA, LAST = "1e0", 28
-ISSUE_LAGS = (0, 7, 14, 21)
+#: Squared distance beyond the nearest donor's, besides the logarithm of the donors' number; cases that meet donors at a time.
+REACH, TOGETHER = 25.0, 512
 
 model("knots", f"""
     WITH k AS (
@@ -66,44 +79,142 @@ model("mad_scale", """
     SELECT s.fold, coalesce(greatest(m.scale, 1e-8), 1e0) AS scale FROM {schedule} s
     LEFT JOIN (SELECT d.fold, 14826e-4 * {pct(abs(d.state - c.center); 5e-1)} AS scale FROM {donors} d JOIN c ON c.fold = d.fold WHERE d.state IS NOT NULL GROUP BY d.fold) m ON m.fold = s.fold
 """)
-# distance of each pair of (location, lag) cells: a small table, whatever the number of rows
+# distance of each pair of (location, lag) cells, for the oracle
 model("task_cells", """
     SELECT a.fold, a.geo_value, a.lag, b.geo_value AS donor_geo, b.lag AS donor_lag,
-           (c.distance / k.curve_scale) * (c.distance / k.curve_scale) + ((a.position - b.position) / s.stage_scale) * ((a.position - b.position) / s.stage_scale) AS base
+           coalesce((c.distance / k.curve_scale) * (c.distance / k.curve_scale), 0e0) + ((a.position - b.position) / s.stage_scale) * ((a.position - b.position) / s.stage_scale) AS base
     FROM {location_curves} a JOIN {location_curves} b ON b.fold = a.fold JOIN {curve_pairs} c ON c.fold = a.fold AND c.geo_value = a.geo_value AND c.donor_geo = b.geo_value
-    JOIN {curve_scale} k ON k.fold = a.fold JOIN {stage_scale} s ON s.fold = a.fold
-    WHERE a.lag IN (0, 7, 14, 21)
+    LEFT JOIN {curve_scale} k ON k.fold = a.fold JOIN {stage_scale} s ON s.fold = a.fold
 """, public=False)
-model("donor_scores", f"""
-    WITH c AS (SELECT fold, geo_value, reference_date, report_date, lag, truth, latest, progress AS state FROM {{attach_progress}} WHERE lag IN {ISSUE_LAGS}),
+
+
+def _weigh(cases: dict[str, np.ndarray], d: dict[str, np.ndarray], scale: float) -> dict[str, list]:
+    """Weights of donors (in order of remaining) for cases of one location and lag, and what they say of what remains."""
+    states, known = cases["state"], ~np.isnan(d["state"])
+    cold = not cases["curve"][0]
+    by_lag = (d["lag"] - cases["lag"][0]) ** 2 / float(LAST) ** 2
+    out: dict[str, list] = {k: [] for k in ("donors", "donor_locations", "effective_donors", "largest_weight", "mean_remaining", "fallback", *QS)}
+    for state in states:
+        active = not np.isnan(state)
+        apart = ((state - d["state"]) / scale) ** 2 if active else np.zeros(len(known))
+        able = known if active else np.ones(len(known), bool)
+        valid = able & ~np.isnan(d["base"])
+        if not cold and valid.any():
+            d2, fallback = d["base"] + apart, "none"
+        else:
+            name = "cold start" if cold else "no comparable donor"
+            if able.any():
+                d2, valid, fallback = apart + by_lag, able, f"{name}, state and lag" if active else f"{name}, lag"
+            else:
+                d2, valid, fallback = by_lag, np.ones(len(known), bool), f"{name}, lag"
+        if not valid.any():
+            for k in out:
+                out[k].append({"donors": 0, "donor_locations": 0, "fallback": "no donors"}.get(k))
+            continue
+        d2, y = d2[valid], d["remaining"][valid]
+        w = np.exp(float(GAMMA) * (d2.min() - d2))
+        total, cumulated = w.sum(), np.cumsum(w)
+        at = np.minimum(np.searchsorted(cumulated, np.array([float(t) for t in TAUS]) * total - 1e-9 * total), len(y) - 1)
+        out["donors"].append(int(valid.sum()))
+        out["donor_locations"].append(len(np.unique(d["place"][valid])))
+        out["effective_donors"].append(total * total / (w * w).sum())
+        out["largest_weight"].append(w.max() / total)
+        out["mean_remaining"].append((w * y).sum() / total)
+        out["fallback"].append(fallback)
+        for q, v in zip(QS, y[at]):
+            out[q].append(float(v))
+    return out
+
+
+_CASE = "fold int, geo_value string, reference_date date, report_date date, lag int, truth double, latest double"
+_MATCH = f"{_CASE}, donors long, donor_locations long, effective_donors double, largest_weight double, mean_remaining double, fallback string, {', '.join(f'{q} double' for q in QS)}"
+
+
+def match(progress: DataFrame, curves: DataFrame, pairs: DataFrame, curve_scale: DataFrame, stage_scale: DataFrame, donors: DataFrame, mad: DataFrame) -> DataFrame:
+    """Each case's donors weighed: how many are within reach, how even their weights are, and weighted quantiles of what remained.
+
+    A case without a state leaves its part out; donors without one are no donors for a case that has it. A location
+    without a curve is weighed by state and lag, as are cases whose origin has no donor to compare with.
+    """
+    cell = ["fold", "geo_value", "lag"]
+    cases = progress.select("fold", "geo_value", "reference_date", "report_date", "lag", "truth", "latest", F.col("progress").alias("state"))
+    places = curves.select(*cell, "position")
+    cases = stored(cases.join(places.hint("merge"), cell, "left").withColumn("curve", F.col("position").isNotNull()), "cases")
+    origin = mad.join(stage_scale, "fold", "left").join(curve_scale.select("fold", "curve_scale"), "fold", "left")
+    origin = stored(origin.join(donors.groupBy("fold").agg(F.count(F.lit(1)).alias("all")), "fold", "left"), "origins")
+    mad = origin.select("fold", "scale")
+    own = donors.join(places.hint("merge"), cell, "left").select("fold", F.col("geo_value").alias("donor_geo"), F.col("lag").alias("donor_lag"), "remaining", "state", F.col("position").alias("donor_position"))
+    own = stored(own, "donors")
+
+    # how far the nearest donor of its own location and lag is from each case, and the farthest of that in a cell
+    near = cases.join(own.select("fold", F.col("donor_geo").alias("geo_value"), F.col("donor_lag").alias("lag"), F.col("state").alias("s")).hint("merge"), cell).join(F.broadcast(mad), "fold")
+    gap = F.when(F.col("state").isNull(), F.lit(0.0)).otherwise(F.pow((F.col("state") - F.col("s")) / F.col("scale"), 2))
+    nearest = near.groupBy(*cell, "reference_date", "report_date").agg(F.min(gap).alias("u"))
+    bounds = cases.join(nearest.hint("merge"), [*cell, "reference_date", "report_date"], "left").groupBy(*cell, "position").agg(F.max(F.coalesce("u", F.lit(float("inf")))).alias("u"), F.count(F.lit(1)).alias("cases"))
+    bounds = bounds.join(F.broadcast(origin), "fold").withColumn("reach", F.col("u") + REACH + F.log("all"))
+    bounds = stored(bounds.withColumn("chunks", F.expr(f"CAST((cases + {TOGETHER - 1}) div {TOGETHER} AS INT)")), "bounds")
+
+    # of a cell with a curve: donors' cells within its reach; the others, and those without a bound, meet all donors of the origin
+    cells = own.where("donor_position IS NOT NULL").select("fold", "donor_geo", "donor_lag", "donor_position").distinct()
+    curve = F.coalesce(F.pow(F.col("distance") / F.col("curve_scale"), 2), F.lit(0.0))
+    some = bounds.where("position IS NOT NULL AND u < double('infinity')").join(pairs.hint("merge"), ["fold", "geo_value"]).withColumn("apart", curve).where("apart <= reach")
+    met = some.join(cells.hint("merge"), ["fold", "donor_geo"]).withColumn("base", F.col("apart") + F.pow((F.col("position") - F.col("donor_position")) / F.col("stage_scale"), 2)).where("base <= reach")
+    within = met.select(*cell, "chunks", "donor_geo", "donor_lag", "base").join(own.drop("donor_position").hint("merge"), ["fold", "donor_geo", "donor_lag"])
+    rest = bounds.where("position IS NULL OR u = double('infinity')").join(own.hint("merge"), "fold").join(pairs.hint("merge"), ["fold", "geo_value", "donor_geo"], "left")
+    base = F.when(F.col("position").isNotNull() & F.col("donor_position").isNotNull(), F.coalesce(F.pow(F.col("distance") / F.col("curve_scale"), 2), F.lit(0.0)) + F.pow((F.col("position") - F.col("donor_position")) / F.col("stage_scale"), 2))
+    rest = rest.select(*cell, "chunks", "donor_geo", "donor_lag", base.alias("base"), "remaining", "state")
+    given = within.select(rest.columns).unionByName(rest).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    given = given.select(*cell, "chunk", F.xxhash64("donor_geo").alias("place"), F.col("donor_lag").alias("d_lag"), "base", "remaining", F.col("state").alias("d_state"))
+    chunked = cases.join(bounds.select(*cell, "chunks").hint("merge"), cell).join(F.broadcast(mad), "fold")
+    chunked = chunked.withColumn("chunk", F.pmod(F.xxhash64("reference_date", "report_date"), F.col("chunks")).cast("int")).drop("chunks", "position")
+
+    def weigh(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        if not len(mine):
+            return pa.table({n: pa.array([], t) for n, t in kinds})
+        order = theirs.sort_by("remaining") if len(theirs) else theirs
+        numbers = lambda t, c: t[c].cast(pa.float64()).to_numpy(zero_copy_only=False) if t[c].null_count == 0 else np.array(t[c].cast(pa.float64()).fill_null(math.nan).to_numpy())
+        d = {"base": numbers(order, "base"), "state": numbers(order, "d_state"), "lag": numbers(order, "d_lag"), "remaining": numbers(order, "remaining"), "place": order["place"].to_numpy()}
+        c = {"state": numbers(mine, "state"), "lag": numbers(mine, "lag"), "curve": mine["curve"].to_pylist()}
+        found = _weigh(c, d, mine["scale"][0].as_py())
+        return pa.table([mine[n] if n in mine.column_names else pa.array(found[n], t) for n, t in kinds], names=[n for n, _ in kinds])
+
+    of = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "date": pa.date32()}
+    kinds = [(n, of[t]) for n, t in (c.split() for c in _MATCH.split(", "))]
+    keys = [*cell, "chunk"]
+    return chunked.groupBy(*keys).cogroup(given.groupBy(*keys)).applyInArrow(weigh, _MATCH)
+
+
+_PART = "PARTITION BY fold, geo_value, reference_date, report_date"
+frame_model("donor_matches", ("attach_progress", "location_curves", "curve_pairs", "curve_scale", "stage_scale", "donors", "mad_scale"), match, public=False, sql=f"""
+    WITH c AS (SELECT fold, geo_value, reference_date, report_date, lag, truth, latest, progress AS state FROM {{attach_progress}}),
     p AS (
-      SELECT c.fold, c.geo_value, c.reference_date, c.report_date, c.lag, c.truth, c.latest, d.remaining, d.geo_value AS donor_geo,
-             t.base + CASE WHEN c.state IS NULL THEN 0e0 ELSE ((c.state - d.state) / m.scale) * ((c.state - d.state) / m.scale) END AS d2
+      SELECT c.*, d.remaining, t.base + CASE WHEN c.state IS NULL THEN 0e0 ELSE ((c.state - d.state) / m.scale) * ((c.state - d.state) / m.scale) END AS d2
       FROM c JOIN {{task_cells}} t ON t.fold = c.fold AND t.geo_value = c.geo_value AND t.lag = c.lag
-      JOIN {{donors}} d ON d.fold = t.fold AND d.geo_value = t.donor_geo AND d.lag = t.donor_lag
-      JOIN {{mad_scale}} m ON m.fold = c.fold
-      WHERE c.state IS NULL OR d.state IS NOT NULL)
-    SELECT *, exp({GAMMA} * ((min(d2) OVER (PARTITION BY fold, geo_value, reference_date, report_date)) - d2)) AS w FROM p
-""", public=False)
-model("donor_weights", """
-    SELECT fold, geo_value, reference_date, report_date, lag, CAST(count(*) AS BIGINT) AS donors, CAST(count(DISTINCT donor_geo) AS BIGINT) AS donor_locations,
-           sum(w) * sum(w) / sum(w * w) AS effective_donors, max(w) / sum(w) AS largest_weight, sum(w * remaining) / sum(w) AS mean_remaining
-    FROM {donor_scores} GROUP BY fold, geo_value, reference_date, report_date, lag
+      JOIN {{donors}} d ON d.fold = t.fold AND d.geo_value = t.donor_geo AND d.lag = t.donor_lag JOIN {{mad_scale}} m ON m.fold = c.fold
+      WHERE c.state IS NULL OR d.state IS NOT NULL
+      UNION ALL
+      SELECT c.*, d.remaining, (c.lag - d.lag) * (c.lag - d.lag) / {LAST * LAST}e0 + CASE WHEN c.state IS NULL THEN 0e0 ELSE ((c.state - d.state) / m.scale) * ((c.state - d.state) / m.scale) END
+      FROM c ANTI JOIN {{location_curves}} t ON t.fold = c.fold AND t.geo_value = c.geo_value AND t.lag = c.lag
+      JOIN {{donors}} d ON d.fold = c.fold JOIN {{mad_scale}} m ON m.fold = c.fold WHERE c.state IS NULL OR d.state IS NOT NULL),
+    w AS (SELECT *, exp({GAMMA} * ((min(d2) OVER ({_PART})) - d2)) AS w FROM p),
+    s AS (SELECT *, sum(w) OVER ({_PART}) AS total, sum(w) OVER ({_PART} ORDER BY remaining RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulated FROM w)
+    SELECT fold, geo_value, reference_date, report_date, lag, truth, latest, sum(w) * sum(w) / sum(w * w) AS effective_donors, max(w) / sum(w) AS largest_weight, sum(w * remaining) / sum(w) AS mean_remaining,
+           {', '.join(f'min(CASE WHEN cumulated >= {t} * total - 1e-9 * total THEN remaining END) AS {q}' for t, q in zip(TAUS, QS))}
+    FROM s GROUP BY fold, geo_value, reference_date, report_date, lag, truth, latest
+""")
+_KEY = "fold, geo_value, reference_date, report_date, lag"
+model("donor_weights", f"""
+    SELECT {_KEY}, effective_donors, largest_weight, mean_remaining FROM {{donor_matches}}
 """)
 model("weighted_quantiles", f"""
-    WITH s AS (
-      SELECT fold, geo_value, reference_date, report_date, lag, truth, latest, remaining, sum(w) OVER (PARTITION BY fold, geo_value, reference_date, report_date) AS total,
-             sum(w) OVER (PARTITION BY fold, geo_value, reference_date, report_date ORDER BY remaining RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulated
-      FROM {{donor_scores}})
-    SELECT fold, geo_value, reference_date, report_date, lag, truth, latest, {', '.join(f'min(CASE WHEN cumulated >= {t} * total - 1e-9 * total THEN remaining END) AS {q}' for t, q in zip(TAUS, QS))}
-    FROM s GROUP BY fold, geo_value, reference_date, report_date, lag, truth, latest
+    SELECT {_KEY}, truth, latest, {', '.join(QS)} FROM {{donor_matches}}
 """)
+# who was weighed: cases by fallback, and how many donors and locations were within reach
+frame_model("donor_support", ("donor_matches",), lambda m: m.groupBy("fold", "lag", "fallback").agg(F.count(F.lit(1)).alias("cases"), F.avg("donors").alias("donors"), F.avg("donor_locations").alias("donor_locations")))
 model("donor_forecast", f"""
     SELECT fold, geo_value, reference_date, report_date, lag, latest + q0_5 AS prediction, abs(truth - latest - q0_5) AS absolute_error, {', '.join(f'latest + {q} AS {q}' for q in QS)} FROM {{weighted_quantiles}}
 """)
 model("routing_audit_by_lag", """
-    WITH u AS (
-      SELECT lag, 'donors' AS field, CAST(donors AS DOUBLE) AS x FROM {donor_weights} UNION ALL SELECT lag, 'effective_donors', effective_donors FROM {donor_weights}
-      UNION ALL SELECT lag, 'largest_weight', largest_weight FROM {donor_weights})
+    WITH u AS (SELECT lag, 'effective_donors' AS field, effective_donors AS x FROM {donor_weights} UNION ALL SELECT lag, 'largest_weight', largest_weight FROM {donor_weights})
     SELECT lag, field, CAST(count(*) AS BIGINT) AS n, avg(x) AS mean, {pct(x; 5e-1)} AS median FROM u GROUP BY lag, field
 """)
