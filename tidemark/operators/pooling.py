@@ -96,11 +96,11 @@ frame_model("task_vectors", ("task_prototypes", "task_courses"), search.vectors,
 # an origin at once, for the oracle.
 model("dense_components", f"""
     WITH p AS (
-      SELECT a.fold, a.geo_value AS a_geo, a.lag AS a_lag, b.geo_value AS b_geo, b.lag AS b_lag, round(abs(a.stage - b.stage), 9) AS d_stage,
+      SELECT a.fold, a.geo_value AS a_geo, a.lag AS a_lag, b.geo_value AS b_geo, b.lag AS b_lag, round(abs(a.stage - b.stage), 10) AS d_stage,
              round(sqrt({' + '.join(f'(a.{c} - b.{c}) * (a.{c} - b.{c})' for c in _PROFILE)}), 9) AS d_profile
       FROM {{task_prototypes}} a JOIN {{task_prototypes}} b ON b.fold = a.fold AND (a.geo_value < b.geo_value OR a.geo_value = b.geo_value AND a.lag < b.lag)),
     c AS (
-      SELECT p.fold, p.a_geo, p.a_lag, p.b_geo, p.b_lag, round(sqrt(avg((x.step - y.step) * (x.step - y.step))), 9) AS d_course
+      SELECT p.fold, p.a_geo, p.a_lag, p.b_geo, p.b_lag, round(sqrt(avg((x.step - y.step) * (x.step - y.step))), 10) AS d_course
       FROM p JOIN {{task_courses}} x ON x.fold = p.fold AND x.geo_value = p.a_geo AND x.lag = p.a_lag
       JOIN {{task_courses}} y ON y.fold = p.fold AND y.geo_value = p.b_geo AND y.lag = p.b_lag AND y.from_lag - p.b_lag = x.from_lag - p.a_lag
       GROUP BY p.fold, p.a_geo, p.a_lag, p.b_geo, p.b_lag)

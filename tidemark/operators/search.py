@@ -28,8 +28,8 @@ def vectors(prototypes: DataFrame, courses: DataFrame) -> DataFrame:
 _SQUARES = "aggregate(zip_with({x}, {y}, (u, v) -> (u - v) * (u - v)), 0D, (s, z) -> s + z)"
 _COMMON = "least(size(a_course), size(b_course))"
 D_PROFILE = f"round(sqrt({_SQUARES.format(x='a_profile', y='b_profile')}), 9)"
-D_COURSE = f"round(sqrt({_SQUARES.format(x=f'slice(a_course, 1, {_COMMON})', y=f'slice(b_course, 1, {_COMMON})')} / {_COMMON}), 9)"
-D_STAGE = "round(abs(a_stage - b_stage), 9)"
+D_COURSE = f"round(sqrt({_SQUARES.format(x=f'slice(a_course, 1, {_COMMON})', y=f'slice(b_course, 1, {_COMMON})')} / {_COMMON}), 10)"
+D_STAGE = "round(abs(a_stage - b_stage), 10)"
 
 
 def _with(rows: DataFrame, tasks: DataFrame, side: str, on: dict[str, str]) -> DataFrame:
