@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -427,6 +428,39 @@ def test_main_text_whatever_the_markup(page):
     assert html_text.main_text(page) == WANTED
 
 
+OPENINGS = ['<div class="has-sidebar">', '<div class="content no-comments">', '<div class="page-header-image">', '<article class="post comments-open">', '<main><div class="post-share-enabled">', '<div class="layout sidebar-right">', '<div id="widget">', '<div class="siteContent isMenuOpen">']
+
+
+@pytest.mark.parametrize("opening", OPENINGS)
+def test_states_and_wide_asides_lose_no_page(opening):
+    page = f'{MENU}<div class="cookie-law-info"><p>{STORY[0]}</p></div>{opening}{PROSE}<div class="comments-area"><p>{STORY[1]}</p></div>{"</div></main>" if "main" in opening else "</article>" if "article" in opening else "</div>"}{FOOT}'
+    assert html_text.main_text(page) == WANTED
+
+
+def test_links_around_blocks_are_links():
+    card = f'<a href="/x"><div><h3>Another story</h3><p>{STORY[0]}</p></div></a>'
+    assert html_text.main_text(f"{MENU}<div>{PROSE}</div><div>{card}{card}</div>{FOOT}") == WANTED
+    assert html_text.main_text(f'{MENU}<div><p><a href="/never-closed">here</p></div><div>{PROSE}</div>{FOOT}') == WANTED
+    assert html_text.main_text(f"{MENU}<div><a name=top>{PROSE}</a></div>{FOOT}") == WANTED
+    assert html_text.main_text(f'<div class="comments"><p>{STORY[0]}</p><p>{STORY[1]}</p></div>') == ""
+
+
+def test_words_over_many_templates():
+    """Recall and precision of words over templates that name and nest the article and its surroundings in many ways."""
+    articles = ['<article class="{}">', '<div class="{}">', '<main><div id="{}">', '<section class="{}">', "<td class={}>"]
+    names = ["post", "entry-content", "single has-sidebar", "node node--full", "story-body", "no-comments", "header-image-on page"]
+    around = [('<div class="{}"><p>' + STORY[1] + "</p></div>").format(n) for n in ("newsletter-signup", "related-posts", "cookie_banner", "advertBox", "social-share-text", "promo", "comment-list")]
+    wanted, kept, right = 0, 0, 0
+    for a in articles:
+        for n in names:
+            for k, extra in enumerate(around):
+                body = a.format(n if " " not in n or '"' in a else f'"{n}"') + f"<h1>The bridge of the town</h1>{PROSE}"
+                page = f"<html lang=en><body>{MENU}{extra if k % 2 else ''}{body}{'' if k % 2 else extra}</body>"
+                want, got = Counter(" ".join(["The bridge of the town", *STORY]).split()), Counter(html_text.main_text(page).split())
+                wanted, kept, right = wanted + want.total(), kept + got.total(), right + (want & got).total()
+    assert right / wanted > 0.99 and right / kept > 0.97, (right / wanted, right / kept)
+
+
 def test_stop_words_decide_where_no_element_does():
     listing = "<div>" + "".join(f"<p>{' '.join(f'item{i}x{k} 12mm' for k in range(20))}</p>" for i in range(4)) + "</div>"
     assert html_text.main_text(f"{MENU}{listing}<div>{PROSE}</div>{FOOT}") == WANTED

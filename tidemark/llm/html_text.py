@@ -4,8 +4,9 @@ A page is cut into blocks at block-level tags. First every block is judged by it
 text, its length and its density of stop words, in the language that most of the page's stop words are of. Blocks
 too short or too mixed to tell then take the label of the nearest decided neighbours in their region: an article
 or main element, or all that lies outside of these. Being in such an element is no more than a lean: it settles
-what neighbours leave open. Of the regions those count that hold most of the good text. What markup names as menu,
-notice, comment and the like is left out before.
+what neighbours leave open. Of the regions those count that hold most of the good text. Elements like nav
+and what is hidden are left out before; so are elements whose names are those of menus, notices, comments and the like,
+unless they hold nearly all of the page's good text.
 """
 
 from __future__ import annotations
@@ -29,6 +30,13 @@ ASIDE_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus dropdown footer gdpr header menu modal nav navbar navigation newsletter notice notification outbrain pager pagination popup promo promoted promotion recommended related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar widget".split()
 )
 LOOSE_WORDS = frozenset("banner header menu notice recommended reply replies search skip teaser toolbar widget".split())
+#: Of these, words that are never the article, whatever else the page holds; parts of a name that say what holds
+#: such a thing; parts that open or end a name which says no more than
+#: whether it is there.
+NEVER_WORDS = frozenset("comment comments consent cookie cookies disqus gdpr reply replies".split())
+HOLDER_WORDS = frozenset("area bar block blocks body box button buttons column container content form group inner item items link links list main module overlay panel row section slot text thread title top unit wrap wrapper bottom left right".split())
+STATE_WORDS = frozenset("has no not with without is hide hides show shows".split())
+STATE_ENDS = frozenset("open opened enabled disabled closed active inactive on off image visible free".split())
 #: Elements without text of the page, elements that are never the article, elements that open a block, elements without content.
 SKIPPED = "script|style|noscript|template|textarea|svg|math|iframe|object|select|canvas|audio|video|title"
 ASIDES = frozenset("nav footer aside form button dialog menu".split())
@@ -41,6 +49,8 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 140, 0.2, 0.3, 0.3
 #: The same inside an article, where figures and quotations link more; share of the best region's good text that another needs to be kept.
 ARTICLE_LINKS, REGION = 0.6, 0.5
+#: Share of all good text that an element named as an aside must hold to be none.
+NEARLY_ALL = 0.9
 
 _TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<({SKIPPED})\b(?:"[^"]*"|'[^']*'|[^>"'])*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
@@ -52,42 +62,58 @@ _STOPS = {lang: frozenset(words.split()) for lang, words in STOP_WORDS.items()}
 
 
 class Block:
-    __slots__ = ("text", "region", "links", "heading", "words", "label")
+    __slots__ = ("text", "region", "links", "heading", "words", "label", "named")
 
-    def __init__(self, text: str, region: int, links: int, heading: bool) -> None:
-        self.text, self.region, self.links, self.heading, self.label = text, region, links, heading, ""
+    def __init__(self, text: str, region: int, links: int, heading: bool, named: tuple[int, ...] = ()) -> None:
+        self.text, self.region, self.links, self.heading, self.named, self.label = text, region, links, heading, named, ""
         self.words = [w.strip(".,;:!?()\"'") for w in text.lower().split()]
 
 
-def _aside(tag: str, attributes: str, in_article: bool) -> bool:
+#: What an element is: part of the page, an aside by its name, one that no share of text redeems, one by its kind.
+PART, NAMED, NEVER, ASIDE = range(4)
+
+
+def _named(token: str, in_article: bool) -> int:
+    """What one name of a class, id or role says: it is an aside's if its first or last part is, but for what holds it."""
+    parts = [p for p in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) if p]
+    if not parts or len(parts) > 1 and (parts[0] in STATE_WORDS or parts[-1] in STATE_ENDS):
+        return PART
+    while len(parts) > 1 and parts[-1] in HOLDER_WORDS:
+        parts.pop()
+    said = [w for w in (parts[0], parts[-1]) if w in ASIDE_WORDS and not (in_article and w in LOOSE_WORDS)]
+    return max((NEVER if w in NEVER_WORDS else NAMED for w in said), default=PART)
+
+
+def _aside(tag: str, attributes: str, in_article: bool) -> int:
     if tag in ASIDES or tag == "header" and not in_article:
-        return True
+        return ASIDE
     if tag in ("html", "body", "main") or not attributes:
-        return False
-    named: list[str] = []
+        return PART
+    most = PART
     for name, *values in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), "".join(values).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value.lower()):
+            return ASIDE
         if name in ("class", "id", "role"):
-            named += re.split(r"[^a-z]+", value)
-    return any(w in ASIDE_WORDS and not (in_article and w in LOOSE_WORDS) for w in named)
+            most = max([most, *(_named(token, in_article) for token in value.split())])
+    return most
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks with text outside of asides; region is 0 outside of articles, else the article's number."""
+    """Blocks with text outside of asides; region is 0 outside of articles, else the article's number; named has the numbers of
+    the elements around it that are named as asides, those that nothing redeems below 0."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, aside, region
+    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # tag, aside, region, named
     text: list[str] = []
-    links = regions = anchors = 0
-    aside, region, heading = False, 0, False
+    links = regions = names = anchor = 0  # anchor: 1 plus the depth at which a link was opened
+    aside, region, heading, named = False, 0, False, ()
 
     def close():
         nonlocal links
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                found.append(Block(whole, region, links, heading))
+                found.append(Block(whole, region, links, heading, named))
             text.clear()
         links = 0
 
@@ -95,7 +121,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal links
         if not aside:
             text.append(s)
-            if anchors:
+            if anchor:
                 links += len(s.strip())
 
     at = 0
@@ -114,8 +140,8 @@ def blocks(page: str) -> list[Block]:
             say(" " if tag == "br" else "")
         if tag in VOID:
             continue
-        if tag == "a":
-            anchors = 0 if ends else 1
+        if tag == "a":  # a link may hold blocks; it ends with the next, or with what it was opened in
+            anchor = 1 + len(stack) if not ends and "href" in attributes.lower() else 0
             continue
         if tag not in BLOCKS and not ends and not attributes:
             continue  # inline markup without a name changes nothing
@@ -131,16 +157,34 @@ def blocks(page: str) -> list[Block]:
             if tag in ARTICLES and not region:
                 regions += 1
             here = region or (regions if tag in ARTICLES else 0)
-            stack.append((tag, aside or tag == "head" or _aside(tag, attributes, bool(region)), here))
-        aside, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        if tag in BLOCKS:
-            anchors = 0
+            kind = _aside(tag, attributes, bool(region))
+            if kind in (NAMED, NEVER):
+                names += 1
+            own = (*named, names if kind == NAMED else -names) if kind in (NAMED, NEVER) else named
+            stack.append((tag, aside or tag == "head" or kind == ASIDE, here, own))
+        aside, region, named = stack[-1][1:] if stack else (False, 0, ())
+        if anchor > 1 + len(stack):
+            anchor = 0
     if at < len(page):
         say(page[at:])
     close()
     return found
 
 
+def admitted(found: list[Block], stops: frozenset[str]) -> list[Block]:
+    """Blocks outside of elements named as asides, or inside of those that hold nearly all good text."""
+    if not any(b.named for b in found):
+        return found
+    good = [len(b.text) if judge(b, stops) == "good" else 0 for b in found]
+    held: dict[int, int] = {}
+    for b, n in zip(found, good):
+        for k in b.named:
+            held[k] = held.get(k, 0) + n
+    ours = sum(n for b, n in zip(found, good) if all(k > 0 for k in b.named))
+    redeemed = {k for k, n in held.items() if k > 0 and n and n >= NEARLY_ALL * ours}
+    return [b for b in found if redeemed.issuperset(b.named)]
+
+
 def language(found: list[Block]) -> frozenset[str]:
     """Stop words of the language that most stop words of the page are of; all of them if none is."""
     hits = [w for b in found for w in b.words if w in _EVERY]
@@ -201,8 +245,10 @@ def regions(found: list[Block]) -> set[int]:
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    label(found, language(found))
+    every = blocks(page or "")
+    stops = language(every)
+    found = admitted(every, stops)
+    label(found, stops)
     kept = regions(found)
     return "\n\n".join(b.text for b in found if b.label == "good" and b.region in kept)
 
