@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from .models import MODELS, in_sql, oracle, rounded, run
-from .operators import archive, assess, backtest, calibrate, compare, donors, forecast, methods, monitor, pooling, pools, quantiles, triangle  # noqa: F401
+from .operators import archive, assess, backtest, calibrate, clusters, compare, donors, forecast, methods, monitor, pooling, pools, quantiles, smooth, triangle  # noqa: F401
 from .plans.doubles import DOUBLES
 from .sources import archives, files  # noqa: F401
 
