@@ -108,32 +108,39 @@ def _pack(with_ids: bool):
         pieces: list[tuple] = []  # of the open sequence: doc_id, start, ids, doc_tokens, offset
         filled = number = 0
         rows: list[tuple] = []
+        ids: list[np.ndarray] = []  # of the rows
 
         def close(pieces, size):
             nonlocal number
-            rows.extend((d, s, len(x), zlib.crc32(x.astype("<u4").tobytes()), n, base + number, o, size, x.tolist() if with_ids else None) for d, s, x, n, o in pieces)
+            rows.extend((d, s, len(x), zlib.crc32(x.astype("<u4").tobytes()), n, base + number, o, size) for d, s, x, n, o in pieces)
+            if with_ids:
+                ids.extend(x for _, _, x, _, _ in pieces)
             number += 1
 
         def out():
-            kinds = (*[pa.int64()] * 8, pa.list_(pa.int32()))
-            cols = list(zip(*rows)) or [[]] * 9
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [c.split()[0] for c in PIECES.split(", ")])
+            cols = [pa.array(c, pa.int64()) for c in zip(*rows)]
+            if with_ids:
+                ends = pa.array(np.append(0, np.cumsum([len(x) for x in ids])), pa.int32())
+                cols.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32))))
+            else:
+                cols.append(pa.nulls(len(rows), pa.list_(pa.int32())))
             rows.clear()
-            return batch
+            ids.clear()
+            return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in PIECES.split(", ")])
 
         for b in batches:
             for d, raw in zip(b["doc_id"].to_pylist(), b["ids"].to_pylist()):
-                ids = np.append(np.frombuffer(raw, "<u2"), np.uint16(END))
+                whole = np.append(np.frombuffer(raw, "<u2"), np.uint16(END))
                 at = 0
-                while at < len(ids):
-                    take = ids[at : at + LENGTH - filled]
-                    pieces.append((d, at, take, len(ids), filled))
+                while at < len(whole):
+                    take = whole[at : at + LENGTH - filled]
+                    pieces.append((d, at, take, len(whole), filled))
                     filled += len(take)
                     at += len(take)
                     if filled == LENGTH:
                         close(pieces, LENGTH)
                         pieces, filled = [], 0
-                if len(rows) >= 5_000:
+                if len(rows) >= 2_000:
                     yield out()
         # the rest of this range
         while filled:
