@@ -1,6 +1,11 @@
 """Projections, filters and diagnosis of an archive (columns as in sources.archives)."""
 
-from ..models import model
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..models import frame_model, model
+from ..storage import stored
+from . import order
 
 # Keep the last release, in order of arrival, of each (location, reference date, report date); drop rows that
 # cannot be read, and reports before their reference date.
@@ -82,7 +87,19 @@ model("gaps", """
     SELECT geo_value, {days(report_date; lag(report_date) OVER (PARTITION BY geo_value, reference_date ORDER BY report_date))} AS gap
     FROM {genuine_events} WHERE genuine
 """, public=False)
-model("revision_gaps", """
+
+
+def _gaps(gaps: DataFrame) -> DataFrame:
+    """Gaps are counted once, and all that is said of them is said of the counts."""
+    counts = stored(gaps.where("gap IS NOT NULL").groupBy("gap").agg(F.count(F.lit(1)).alias("n")), "gaps")
+    top = counts.orderBy(F.desc("n"), "gap").limit(3).select(F.expr("CAST(row_number() OVER (ORDER BY n DESC, gap) AS INT)").alias("place"), F.col("gap").alias("common_gap"), F.col("n").alias("common_n"))
+    values = order.cumulated(counts.withColumn("one", F.lit(1)), ["one"], "gap")
+    levels = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    found = order.at_levels(values, ["one"], "gap", levels).join(counts.agg(F.sum("n").alias("n")))
+    return found.crossJoin(F.broadcast(top)).select("n", *(F.round(c, 2).alias(c) for c in levels), "place", "common_gap", "common_n")
+
+
+frame_model("revision_gaps", ("gaps",), _gaps, sql="""
     WITH g AS (SELECT gap FROM {gaps} WHERE gap IS NOT NULL),
     top AS (SELECT gap, row_number() OVER (ORDER BY count(*) DESC, gap) AS place, count(*) AS n FROM g GROUP BY gap)
     SELECT CAST((SELECT count(*) FROM g) AS BIGINT) AS n, round((SELECT {pct(gap; 25e-2)} FROM g), 2) AS q25,

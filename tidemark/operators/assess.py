@@ -1,6 +1,13 @@
 """Assessment tables over reliability records and long predictions."""
 
-from ..models import model
+from functools import partial
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..models import frame_model, model
+from ..storage import stored
+from . import order
 from .compare import binned, ranks
 from .forecast import QS, TAUS, keys, same
 
@@ -47,7 +54,17 @@ model("qerr_bins", f"""
     WITH s AS (SELECT * FROM {{scoped}} WHERE q_error IS NOT NULL)
     {binned('q_error', 'scope, method', 's')}
 """, public=False)
-model("qerr_discrimination", f"""
+
+
+def _qerr_discrimination(bins: DataFrame) -> DataFrame:
+    group = ["scope", "method"]
+    rows = order.ranked(bins.select(*group, "q_error", "realized_ae"), group, {"q_error": "a", "realized_ae": "b"})
+    found = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), order.correlation("a", "b").alias("spearman")).where("_n >= 10").drop("_n")
+    own = bins.groupBy(*group, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("q_error").alias("mean_q_error"), F.avg("realized_ae").alias("mean_ae"), F.avg("realized_regret").alias("mean_regret"), F.avg("harm").alias("harm_frequency"))
+    return own.join(found.hint("merge"), group, "left")
+
+
+frame_model("qerr_discrimination", ("qerr_bins",), _qerr_discrimination, sql=f"""
     WITH r AS (SELECT scope, method, {ranks('q_error', 'scope, method')} AS a, {ranks('realized_ae', 'scope, method')} AS b FROM {{qerr_bins}}),
     c AS (SELECT scope, method, covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) AS spearman FROM r GROUP BY scope, method HAVING count(*) >= 10 AND count(DISTINCT a) > 1 AND count(DISTINCT b) > 1)
     SELECT q.scope, q.method, q.bin, CAST(count(*) AS BIGINT) AS n, avg(q.q_error) AS mean_q_error, avg(q.realized_ae) AS mean_ae, avg(q.realized_regret) AS mean_regret, avg(q.harm) AS harm_frequency, max(c.spearman) AS spearman
@@ -76,10 +93,20 @@ model("qerr_vs_width", f"""
     b AS (SELECT scope, method, band, bin, avg(realized_ae) AS ae, count(*) AS n FROM q GROUP BY scope, method, band, bin)
     SELECT scope, method, band, CAST(sum(n) AS BIGINT) AS n, min_by(ae, bin) AS lowest, max_by(ae, bin) AS highest FROM b GROUP BY scope, method, band HAVING sum(n) >= 20
 """)
-model("opposed_objectives", f"""
+_OPPOSED = (("q_error", "realized_ae", "qerr_ae"), ("q_error", "realized_regret", "qerr_regret"), ("q_error", "harm", "qerr_harm"), ("f_harm", "harm", "fharm_harm"))
+
+
+def _opposed(scoped: DataFrame) -> DataFrame:
+    columns = {c: f"r_{c}" for c in ("q_error", "f_harm", "realized_ae", "realized_regret", "harm")}
+    rows = stored(scoped.where("q_error IS NOT NULL AND f_harm IS NOT NULL").select("scope", "method", *columns), "rows")
+    ranks = order.ranked(rows, ["scope", "method"], columns)
+    return ranks.groupBy("scope", "method").agg(F.count(F.lit(1)).alias("n"), *(order.correlation(columns[a], columns[b]).alias(n) for a, b, n in _OPPOSED))
+
+
+frame_model("opposed_objectives", ("scoped",), _opposed, sql=f"""
     WITH s AS (SELECT * FROM {{scoped}} WHERE q_error IS NOT NULL AND f_harm IS NOT NULL),
     r AS (SELECT scope, method, {', '.join(f"{ranks(c, 'scope, method')} AS r_{c}" for c in ('q_error', 'f_harm', 'realized_ae', 'realized_regret', 'harm'))} FROM s)
-    SELECT scope, method, CAST(count(*) AS BIGINT) AS n, {', '.join(f"CASE WHEN count(DISTINCT r_{a}) > 1 AND count(DISTINCT r_{b}) > 1 THEN covar_pop(r_{a}, r_{b}) / nullif(stddev_pop(r_{a}) * stddev_pop(r_{b}), 0) END AS {n}" for a, b, n in (('q_error', 'realized_ae', 'qerr_ae'), ('q_error', 'realized_regret', 'qerr_regret'), ('q_error', 'harm', 'qerr_harm'), ('f_harm', 'harm', 'fharm_harm')))}
+    SELECT scope, method, CAST(count(*) AS BIGINT) AS n, {', '.join(f"CASE WHEN count(DISTINCT r_{a}) > 1 AND count(DISTINCT r_{b}) > 1 THEN covar_pop(r_{a}, r_{b}) / nullif(stddev_pop(r_{a}) * stddev_pop(r_{b}), 0) END AS {n}" for a, b, n in _OPPOSED)}
     FROM r GROUP BY scope, method
 """)
 model("monitor_nondegeneracy", f"""
@@ -125,8 +152,18 @@ model("dual_alert_contrasts", """
 
 # -- accuracy ------------------------------------------------------------------------------------------------
 model("matched", f"SELECT l.* FROM {{long}} l {{semi(x)}} (SELECT * FROM {{matched_cases}}) m ON m.method = l.method AND {same('m', 'l')}", public=False)
+
+
+def _accuracy(error: str, matched: DataFrame) -> DataFrame:
+    rows = matched.select("method", error)
+    own = rows.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.avg(error).alias("mean_ae"))
+    own = own.join(order.percentiles(rows, ["method"], error, {"median_ae": 0.5, "p90_ae": 0.9}).hint("merge"), "method", "left")
+    flat = own.where("method = 'carry_forward'").select(F.col("mean_ae").alias("_flat"))
+    return own.crossJoin(F.broadcast(flat)).select("method", "n", "mean_ae", "median_ae", "p90_ae", (100 * (1 - F.col("mean_ae") / F.col("_flat"))).alias("gain_percent"))
+
+
 for _name, _e in (("accuracy_overall", "absolute_error"), ("accuracy_working", "absolute_error_working")):
-    model(_name, f"""
+    frame_model(_name, ("matched",), partial(_accuracy, _e), sql=f"""
         WITH t AS (SELECT method, CAST(count(*) AS BIGINT) AS n, avg({_e}) AS mean_ae, {{pct({_e}; 5e-1)}} AS median_ae, {{pct({_e}; 9e-1)}} AS p90_ae FROM {{matched}} GROUP BY method)
         SELECT t.*, 1e2 * (1 - t.mean_ae / b.mean_ae) AS gain_percent FROM t CROSS JOIN (SELECT mean_ae FROM t WHERE method = 'carry_forward') b
     """)

@@ -5,8 +5,13 @@ each (origin, method, location, lag) the first of four strata with enough rows i
 same location and lags one apart, all locations and the lag, all locations and lags one apart.
 """
 
-from ..models import model
-from .forecast import QS, TAUS, keys, same, wis
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..models import frame_model, model
+from ..storage import stored
+from . import order
+from .forecast import KEY, QS, TAUS, keys, same, wis
 
 MINIMUM = 10
 STRATUM = ("fold", "method", "geo_value", "lag")
@@ -131,7 +136,16 @@ model("interval_calibration_by_lag", f"""
       UNION ALL SELECT concat('lag=', CAST(lag AS STRING)), l.* FROM {{interval_long}} l)
     SELECT scope, method, version, level, {_TABLE} FROM s GROUP BY scope, method, version, level
 """)
-model("ecdf_rank", f"""
+
+
+def _ecdf(long: DataFrame) -> DataFrame:
+    rows = long.where("model_available").withColumn("x", F.round("absolute_error_working", 9))
+    group = ["method", "lag"]
+    values = stored(order.cumulated(rows.groupBy(*group, "x").agg(F.count(F.lit(1)).alias("n")), group, "x"), "values")
+    return order.looked_up(rows, values, [*group, "x"]).select(*KEY, "method", (F.col("upto") / F.col("total")).alias("ecdf"))
+
+
+frame_model("ecdf_rank", ("long",), _ecdf, sql=f"""
     SELECT {keys('l', 'method')}, CAST(count(*) OVER (PARTITION BY method, lag ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / count(*) OVER (PARTITION BY method, lag) AS ecdf
     FROM (SELECT *, round(absolute_error_working, 9) AS x FROM {{long}} WHERE model_available) l
 """)

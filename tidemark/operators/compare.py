@@ -1,6 +1,11 @@
 """Comparison of methods: paired differences, bootstrap over reference dates, bins and rank correlations."""
 
-from ..models import model
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..models import frame_model, model
+from ..storage import stored
+from . import order
 from .forecast import same
 
 # every method against the flat line: by its point forecasts, and by its distributions where it has any
@@ -76,7 +81,13 @@ def ranks(x: str, groups: str) -> str:
     return f"(rank() OVER (PARTITION BY {groups} ORDER BY {x}) + (count(*) OVER (PARTITION BY {groups}, {x}) - 1) / 2e0)"
 
 
-model("spearman", f"""
+def _spearman(history: DataFrame) -> DataFrame:
+    rows = history.where("q_error IS NOT NULL").select("method", "lag", F.round("q_error", 9).alias("q_error"), F.round("realized_ae", 9).alias("realized_ae"))
+    rows = order.ranked(stored(rows, "rows"), ["method", "lag"], {"q_error": "a", "realized_ae": "b"})
+    return rows.groupBy("method", "lag").agg(F.count(F.lit(1)).alias("n"), order.correlation("a", "b").alias("rho")).where("n >= 10")
+
+
+frame_model("spearman", ("reliability_history",), _spearman, sql=f"""
     WITH r AS (
       SELECT method, lag, {ranks('q_error', 'method, lag')} AS a, {ranks('realized_ae', 'method, lag')} AS b
       FROM (SELECT method, lag, round(q_error, 9) AS q_error, round(realized_ae, 9) AS realized_ae FROM {{reliability_history}} WHERE q_error IS NOT NULL) t)

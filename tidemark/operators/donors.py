@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..models import frame_model, model
 from ..storage import stored
+from . import order
 from .forecast import QS, TAUS
 
 GAMMA, LAST = "1e0", 28
@@ -74,7 +75,18 @@ model("donors", """
     FROM {completed_training} t LEFT JOIN {triangle} d ON d.geo_value = t.geo_value AND d.reference_date = t.reference_date AND d.report_date = t.report_date AND d.lag = t.lag
     WHERE t.lag BETWEEN 0 AND 28
 """)
-model("mad_scale", """
+
+
+def _mad(donors: DataFrame, schedule: DataFrame) -> DataFrame:
+    """1.4826 times the median distance from the median state of each origin's donors; 1 where there is none."""
+    states = donors.where("state IS NOT NULL").select("fold", "state")
+    center = order.percentiles(states, ["fold"], "state", {"center": 0.5})
+    apart = states.join(F.broadcast(center), "fold").select("fold", F.abs(F.col("state") - F.col("center")).alias("apart"))
+    mad = order.percentiles(apart, ["fold"], "apart", {"mad": 0.5})
+    return schedule.select("fold").join(F.broadcast(mad), "fold", "left").select("fold", F.coalesce(F.greatest(F.col("mad") * 1.4826, F.lit(1e-8)), F.lit(1.0)).alias("scale"))
+
+
+frame_model("mad_scale", ("donors", "schedule"), _mad, sql="""
     WITH c AS (SELECT fold, {pct(state; 5e-1)} AS center FROM {donors} WHERE state IS NOT NULL GROUP BY fold)
     SELECT s.fold, coalesce(greatest(m.scale, 1e-8), 1e0) AS scale FROM {schedule} s
     LEFT JOIN (SELECT d.fold, 14826e-4 * {pct(abs(d.state - c.center); 5e-1)} AS scale FROM {donors} d JOIN c ON c.fold = d.fold WHERE d.state IS NOT NULL GROUP BY d.fold) m ON m.fold = s.fold

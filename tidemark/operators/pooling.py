@@ -1,7 +1,7 @@
 """Similarity routes between locations, and pools of (location, lag) tasks."""
 
 from ..models import frame_model, model
-from . import episodes, search  # noqa: F401
+from . import draws, episodes, search  # noqa: F401
 
 BANDS = "CASE WHEN lag <= 7 THEN 1 WHEN lag <= 14 THEN 2 WHEN lag <= 28 THEN 3 ELSE 4 END"
 METRICS = ("spacing", "genuine_rate", "median_revision", "median_abs_revision", "mad_revision")
@@ -41,26 +41,26 @@ model("route_weights", f"""
     m AS (SELECT fold, target, avg(CASE WHEN weight > 0 THEN weight END) AS mean FROM w GROUP BY fold, target)
     SELECT w.fold, w.target, w.geo_value, w.reference_date, w.lag, w.weight / m.mean AS weight FROM w JOIN m ON m.fold = w.fold AND m.target = w.target
 """)
-# as many draws for each target as it has rows: draws and the rows' places on the line of weights are put in one
-# order, and each draw falls to the row that begins last before it, so that no draw meets more than its row
-model("weighted_resample", """
+# as many draws for each target and lag group as it has rows; for the oracle draws and rows are put in one order by target
+frame_model("weighted_resample", ("route_weights", "lag_groups"), draws.resample, sql="""
     WITH r AS (
-      SELECT fold, target, geo_value, reference_date, lag, CAST(round(weight * 1e6) AS BIGINT) AS weight, row_number() OVER w AS place,
+      SELECT fold, lag_group, target, geo_value, reference_date, lag, CAST(round(weight * 1e6) AS BIGINT) AS weight, row_number() OVER w AS place,
              CAST(sum(CAST(round(weight * 1e6) AS BIGINT)) OVER w AS BIGINT) AS upto
-      FROM {route_weights} WINDOW w AS (PARTITION BY fold, target ORDER BY geo_value, reference_date, lag ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-    t AS (SELECT fold, target, CAST(max(upto) AS BIGINT) AS total FROM r GROUP BY fold, target),
+      FROM {route_weights} JOIN {lag_groups} ON lag BETWEEN lo - 1 AND hi + 1
+      WINDOW w AS (PARTITION BY fold, lag_group, target ORDER BY geo_value, reference_date, lag ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    t AS (SELECT fold, lag_group, target, CAST(max(upto) AS BIGINT) AS total FROM r GROUP BY fold, lag_group, target),
     u AS (
-      SELECT fold, target, upto - weight AS spot, CAST(NULL AS BIGINT) AS draw, geo_value, reference_date, lag FROM r WHERE weight > 0
+      SELECT fold, lag_group, target, upto - weight AS spot, CAST(NULL AS BIGINT) AS draw, geo_value, reference_date, lag FROM r WHERE weight > 0
       UNION ALL
-      SELECT r.fold, r.target, {hex48(concat('resample:', CAST(r.fold AS STRING), ':', r.target, ':', CAST(r.place AS STRING)))} % t.total, CAST(r.place AS BIGINT), NULL, NULL, NULL
-      FROM r JOIN t ON t.fold = r.fold AND t.target = r.target WHERE t.total > 0),
+      SELECT r.fold, r.lag_group, r.target, {hex48(concat('resample:', CAST(r.fold AS STRING), ':', r.lag_group, ':', r.target, ':', CAST(r.place AS STRING)))} % t.total, CAST(r.place AS BIGINT), NULL, NULL, NULL
+      FROM r JOIN t ON t.fold = r.fold AND t.lag_group = r.lag_group AND t.target = r.target WHERE t.total > 0),
     s AS (
-      SELECT fold, target, draw, {last(geo_value)} OVER w AS geo_value, {last(reference_date)} OVER w AS reference_date, {last(lag)} OVER w AS lag
-      FROM u WINDOW w AS (PARTITION BY fold, target ORDER BY spot, CASE WHEN draw IS NULL THEN 0 ELSE 1 END, draw ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-    SELECT fold, target, draw, geo_value, reference_date, lag FROM s WHERE draw IS NOT NULL
+      SELECT fold, lag_group, target, draw, {last(geo_value)} OVER w AS geo_value, {last(reference_date)} OVER w AS reference_date, {last(lag)} OVER w AS lag
+      FROM u WINDOW w AS (PARTITION BY fold, lag_group, target ORDER BY spot, CASE WHEN draw IS NULL THEN 0 ELSE 1 END, draw ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT fold, lag_group, target, draw, geo_value, reference_date, lag FROM s WHERE draw IS NOT NULL
 """)
 model("train_sets_similarity", """
-    SELECT s.fold, s.target, s.draw, s.geo_value, s.reference_date, s.lag, g.lag_group FROM {weighted_resample} s JOIN {lag_groups} g ON s.lag BETWEEN g.lo - 1 AND g.hi + 1
+    SELECT fold, target, draw, geo_value, reference_date, lag, lag_group FROM {weighted_resample}
 """)
 # A task is a (location, lag) of an origin: what is usual in the rest of an episode from there on (episodes.py), its course,
 # and how far it is from the target. Every episode is summarized once; an origin takes those completed before it.
