@@ -73,6 +73,25 @@ def test_order_statistics_differ_as_they_should(spark):
     assert run(spark, "quantile_higher", given=given).first()["q_higher"] == 10
 
 
+ASKED = "cadence_days int, cutoff date, follow_up int, first_lag int, wanted double"
+
+
+def test_the_search_for_a_lag_goes_as_far_as_the_archive_and_says_why_it_fails(spark):
+    rows = [("a", e, n, v) for e in range(0, 200, 10) for n, v in ((0, 50), (10, 95), (70, 100))] + [("b", 0, 40, 1.0), ("b", 0, 70, 1.0)]
+    given = {"archive_normalize": archive(spark, rows)}
+    search = lambda *asked: run(spark, "target_lag_asof", given=given | {"lag_search": spark.createDataFrame([asked], ASKED)}).collect()
+    got = {r["candidate"]: r for r in search(10, None, None, None, 0.9)}
+    assert sorted(got) == [10, 20, 30, 40, 50, 60, 70] and {r["selected"] for r in got.values()} == {10} and got[10]["rate"] == 1 and got[10]["status"] == "selected"
+    assert (got[30]["episodes"], got[40]["episodes"]) == (20, 21)  # one is first reported at lag 40
+    assert {r["episodes"] for r in search(10, None, None, 5, 0.9) if r["candidate"] >= 40} == {20}  # unless it must be reported by lag 5
+    assert {r["candidate"]: r["episodes"] for r in search(35, None, 30, None, 0.9)} == {35: 20, 70: 0}
+    assert {r["status"] for r in search(10, None, None, None, 1.1)} == {"no lag reaches the rate"}
+    assert [r["status"] for r in search(100, None, None, None, 0.9)] == ["no report is late enough for a candidate"]
+    assert [r["status"] for r in search(7, DAY - dt.timedelta(1), None, None, 0.9)] == ["no reports"]
+    early = search(10, DAY + dt.timedelta(12), None, None, 0.9)
+    assert {r["candidate"] for r in early} == {10} and early[0]["episodes"] == 1
+
+
 def test_macros_nest():
     assert dialect.write("{days({plus(a; 1)}; b)}", dialect.SPARK) == "datediff(date_add(a, CAST(1 AS INT)), b)"
 

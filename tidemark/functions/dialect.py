@@ -15,6 +15,8 @@ SPARK: dict[str, Callable[..., str]] = {
     "semi": lambda _: "LEFT SEMI JOIN",
     "last": lambda x: f"last_value({x}, true)",
     "steps": lambda last, step: f"explode(sequence(0, {last}, {step}))",
+    "series": lambda a, b: f"explode(sequence({a}, {b}))",
+    "cell": lambda x, n: f"CAST(({x}) div ({n}) AS INT)",
     "refuse": lambda why: f"CASE WHEN {why} IS NOT NULL THEN raise_error({why}) ELSE TRUE END",
 }
 DUCKDB: dict[str, Callable[..., str]] = {
@@ -27,6 +29,8 @@ DUCKDB: dict[str, Callable[..., str]] = {
     "semi": lambda _: "SEMI JOIN",
     "last": lambda x: f"last_value({x} IGNORE NULLS)",
     "steps": lambda last, step: f"CAST(unnest(range(0, {last} + 1, {step})) AS INTEGER)",
+    "series": lambda a, b: f"CAST(unnest(range({a}, {b} + 1)) AS INTEGER)",
+    "cell": lambda x, n: f"CAST(({x}) // ({n}) AS INTEGER)",
     "refuse": lambda why: f"CASE WHEN {why} IS NOT NULL THEN error({why}) ELSE TRUE END",
 }
 _MACRO = re.compile(r"\{(\w+)\(([^{}]*)\)\}")

@@ -41,7 +41,7 @@ MODELS: dict[str, Model] = {}
 #: held each of them anew wherever it is read would be planned and run many times over.
 STORED = frozenset(
     "triangle build_cases completed_training validity_a process_states process_history historical_scale process_shift long scored history "
-    "history_strata harm_strata history_strata_rows harm_strata_rows endpoint_offsets reliability_history episode_curves location_curves task_cells task_profiles task_prototypes episode_steps episode_summaries task_rows task_courses task_vectors edge_components sparse_scales walked task_distance nearest_threshold coherent_pools pool_rows small_pool_fallback donor_matches curve_pairs cluster_memberships process_profiles donors archive_normalize validity genuine_events process_daily matched reliability_raw revision_profile route_weights training_features quantile_fit".split()
+    "history_strata harm_strata history_strata_rows harm_strata_rows endpoint_offsets reliability_history episode_curves location_curves task_cells task_profiles task_prototypes episode_steps episode_summaries task_rows task_courses task_vectors edge_components sparse_scales walked task_distance nearest_threshold coherent_pools pool_rows small_pool_fallback donor_matches curve_pairs cluster_memberships harmed width_bands process_profiles donors archive_normalize validity genuine_events process_daily matched reliability_raw revision_profile route_weights training_features quantile_fit".split()
 )
 _kept: dict[tuple[str, str, str], DataFrame] = {}
 

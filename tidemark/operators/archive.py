@@ -214,18 +214,40 @@ model("missingness", """
       SELECT n, 'log_value_7dav' AS column_name, n - a AS missing FROM t UNION ALL SELECT n, 'log_value_target_7dav', n - b FROM t
       UNION ALL SELECT n, 'target_date', n - c FROM t UNION ALL SELECT n, 'log_delta_value_7dav_lag7', n - d FROM t) u
 """)
+# lag_search: what a user asks of the search; null is not asked for. Days between candidates, the last report that counts, the days of
+# later reports that an episode must have beyond a candidate, and the largest lag at which it must first be reported.
+model("lag_search", """
+    SELECT 7 AS cadence_days, CAST(NULL AS DATE) AS cutoff, CAST(NULL AS INT) AS follow_up, CAST(NULL AS INT) AS first_lag, 9e-1 AS wanted
+""", public=False)
+model("searched", """
+    WITH s AS (SELECT * FROM {lag_search}),
+    a AS (SELECT n.* FROM {archive_normalize} n CROSS JOIN s WHERE s.cutoff IS NULL OR n.report_date <= s.cutoff)
+    SELECT a.geo_value, a.reference_date, a.lag, a.value, lead(a.lag) OVER w AS next_lag, min(a.lag) OVER e AS first_lag, max(a.lag) OVER e AS last_lag, max_by(a.value, a.lag) OVER e AS final_value
+    FROM a WINDOW w AS (PARTITION BY geo_value, reference_date ORDER BY lag), e AS (PARTITION BY geo_value, reference_date)
+""", public=False)
+# candidates go as far as the archive's lags do; a release is what was known at each candidate from its lag to the next release's
 model("target_lag_asof", """
-    WITH c AS (SELECT i * 7 AS candidate FROM {numbers(1; 8)} n),
+    WITH s AS (SELECT * FROM {lag_search}),
+    m AS (SELECT max({plus(reference_date; lag)}) AS last_report, max(lag) AS reach, count(*) AS n FROM {searched}),
+    c AS (SELECT {steps(m.reach; s.cadence_days)} AS candidate FROM m CROSS JOIN s WHERE m.reach >= s.cadence_days),
+    old AS (
+      SELECT v.*, s.cadence_days, m.reach FROM {searched} v CROSS JOIN s CROSS JOIN m
+      WHERE (s.first_lag IS NULL OR v.first_lag <= s.first_lag)),
+    g AS (
+      SELECT geo_value, reference_date, value, final_value, last_lag,
+             {series({cell(lag + cadence_days - 1; cadence_days)}; {cell(coalesce(next_lag - 1, reach); cadence_days)})} AS times
+      FROM old WHERE {cell(lag + cadence_days - 1; cadence_days)} <= {cell(coalesce(next_lag - 1, reach); cadence_days)}),
     e AS (
-      SELECT c.candidate, abs(v.value - f.final_value) / greatest(abs(f.final_value), 1e-12) AS error
-      FROM {validity} v JOIN c ON v.lag <= c.candidate AND (v.next_lag IS NULL OR c.candidate < v.next_lag)
-      JOIN {final_values} f ON f.geo_value = v.geo_value AND f.reference_date = v.reference_date
-      CROSS JOIN (SELECT max(report_date) AS last_report FROM {archive_normalize}) m
-      WHERE {days(last_report; v.reference_date)} >= c.candidate),
+      SELECT g.times * s.cadence_days AS candidate, abs(g.value - g.final_value) / greatest(abs(g.final_value), 1e-12) AS error
+      FROM g CROSS JOIN s CROSS JOIN m
+      WHERE g.times > 0 AND {days(m.last_report; g.reference_date)} >= g.times * s.cadence_days AND (s.follow_up IS NULL OR g.last_lag >= g.times * s.cadence_days + s.follow_up)),
     r AS (
       SELECT candidate, CAST(count(*) AS BIGINT) AS episodes, avg(CASE WHEN error <= 1e-1 * (1 + 1e-6) + 1e-8 THEN 1e0 ELSE 0e0 END) AS rate, {pct(error; 5e-1)} AS median_error
-      FROM e GROUP BY candidate)
-    SELECT r.*, min(CASE WHEN rate >= 9e-1 THEN candidate END) OVER () AS selected,
-           CASE WHEN min(CASE WHEN rate >= 9e-1 THEN candidate END) OVER () IS NULL THEN 'no lag reaches the rate' ELSE 'selected' END AS status
-    FROM r
+      FROM e GROUP BY candidate),
+    f AS (SELECT min(CASE WHEN r.rate >= s.wanted THEN r.candidate END) AS selected, count(r.candidate) AS n FROM s LEFT JOIN r ON TRUE),
+    k AS (SELECT candidate FROM c WHERE candidate > 0)
+    SELECT k.candidate, coalesce(r.episodes, 0) AS episodes, r.rate, r.median_error, f.selected,
+           CASE WHEN m.n = 0 THEN 'no reports' WHEN m.reach < s.cadence_days THEN 'no report is late enough for a candidate' WHEN f.n = 0 THEN 'no episode is old enough'
+                WHEN f.selected IS NULL THEN 'no lag reaches the rate' ELSE 'selected' END AS status
+    FROM s CROSS JOIN m CROSS JOIN f LEFT JOIN k ON TRUE LEFT JOIN r ON r.candidate = k.candidate
 """)

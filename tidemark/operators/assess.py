@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..models import frame_model, model
 from ..storage import stored
 from . import order
-from .compare import binned, ranks
+from .compare import binned, binned_by_size, ranks
 from .forecast import QS, TAUS, keys, same
 
 _YES = "avg(CASE WHEN {} THEN 1e0 ELSE 0e0 END)"
@@ -77,21 +77,65 @@ model("fharm_discrimination", f"""
     SELECT q.scope, q.method, q.bin, CAST(count(*) AS BIGINT) AS n, avg(q.f_harm) AS mean_f_harm, avg(q.harm) AS harm_frequency, avg(q.wilson_width) AS mean_wilson_width, max(d.drift) AS drift
     FROM q LEFT JOIN d ON d.scope = q.scope AND d.method = q.method GROUP BY q.scope, q.method, q.bin
 """)
-model("mharm_severity", f"""
-    WITH s AS (SELECT * FROM {{scoped}} WHERE m_harm IS NOT NULL AND realized_regret > 0), q AS ({binned('m_harm', 'scope, method', 's', ('25e-2', '5e-1', '75e-2'))}),
-    b AS (SELECT scope, method, bin, avg(realized_regret) AS regret, count(*) AS n FROM q GROUP BY scope, method, bin),
-    m AS (SELECT *, lag(regret) OVER (PARTITION BY scope, method ORDER BY bin) AS previous FROM b),
-    r AS (SELECT scope, method, mharm_covered, {ranks('m_harm', 'scope, method')} AS x, {ranks('realized_regret', 'scope, method')} AS y FROM s),
-    c AS (SELECT scope, method, CASE WHEN count(DISTINCT x) > 1 AND count(DISTINCT y) > 1 THEN covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) END AS spearman, {yes('mharm_covered')} AS coverage FROM r GROUP BY scope, method)
-    SELECT m.scope, m.method, CAST(sum(m.n) AS BIGINT) AS n, max(c.coverage) AS coverage, max(c.spearman) AS spearman, min_by(m.regret, m.bin) AS lowest, max_by(m.regret, m.bin) AS highest, count(*) FILTER (WHERE regret < previous) = 0 AS monotone
-    FROM m JOIN c ON c.scope = m.scope AND c.method = m.method GROUP BY m.scope, m.method
-""")
-model("qerr_vs_width", f"""
-    WITH s AS (SELECT * FROM {{scoped}} WHERE q_error IS NOT NULL AND width IS NOT NULL), w AS (SELECT *, bin AS band FROM ({binned('width', 'scope, method', 's', ('3333333333e-10', '6666666667e-10'))}) x),
-    v AS (SELECT scope, method, band, fold, geo_value, reference_date, report_date, q_error, realized_ae FROM w),
-    q AS ({binned('q_error', 'scope, method, band', 'v', ('3333333333e-10', '6666666667e-10'))}),
-    b AS (SELECT scope, method, band, bin, avg(realized_ae) AS ae, count(*) AS n FROM q GROUP BY scope, method, band, bin)
-    SELECT scope, method, band, CAST(sum(n) AS BIGINT) AS n, min_by(ae, bin) AS lowest, max_by(ae, bin) AS highest FROM b GROUP BY scope, method, band HAVING sum(n) >= 20
+# of cases that were harmed: whether what was issued covers the harm, and whether more was issued where it was greater
+model("harmed", """
+    SELECT scope, method, fold, geo_value, reference_date, report_date, m_harm, realized_regret, mharm_covered FROM {scoped} WHERE m_harm IS NOT NULL AND realized_regret > 0
+""", public=False)
+model("harm_bins", f"""
+    WITH s AS (SELECT * FROM {{harmed}}), q AS ({binned_by_size('m_harm', 'scope, method', 's', 2, 5, 20)})
+    SELECT scope, method, bin, avg(realized_regret) AS regret, CAST(count(*) AS BIGINT) AS n FROM q GROUP BY scope, method, bin
+""", public=False)
+model("harm_trend", """
+    WITH m AS (SELECT *, lag(regret) OVER (PARTITION BY scope, method ORDER BY bin) AS previous FROM {harm_bins})
+    SELECT scope, method, CAST(sum(n) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS bins, min_by(regret, bin) AS lowest, max_by(regret, bin) AS highest, count(*) > 1 AND count(*) FILTER (WHERE regret < previous) = 0 AS monotone
+    FROM m GROUP BY scope, method HAVING sum(n) >= 10
+""", public=False)
+
+
+def _severity(harmed: DataFrame, trend: DataFrame) -> DataFrame:
+    group = ["scope", "method"]
+    rows = order.ranked(harmed.select(*group, "m_harm", "realized_regret", "mharm_covered"), group, {"m_harm": "a", "realized_regret": "b"})
+    found = rows.groupBy(*group).agg(F.avg(F.when(F.col("mharm_covered"), 1.0).otherwise(0.0)).alias("coverage"), order.correlation("a", "b").alias("spearman"))
+    return trend.join(found.hint("merge"), group)
+
+
+frame_model("mharm_severity", ("harmed", "harm_trend"), _severity, sql=f"""
+    WITH r AS (SELECT scope, method, mharm_covered, {ranks('m_harm', 'scope, method')} AS x, {ranks('realized_regret', 'scope, method')} AS y FROM {{harmed}}),
+    c AS (SELECT scope, method, {yes('mharm_covered')} AS coverage, CASE WHEN count(DISTINCT x) > 1 AND count(DISTINCT y) > 1 THEN covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) END AS spearman FROM r GROUP BY scope, method)
+    SELECT t.*, c.coverage, c.spearman FROM {{harm_trend}} t JOIN c ON c.scope = t.scope AND c.method = t.method
+""")
+# whether q_error tells errors apart where intervals are as wide: thirds of width, thirds of q_error within; 40 rows in all, 20 in a band
+model("width_bands", f"""
+    WITH s AS (SELECT * FROM {{scoped}} WHERE q_error IS NOT NULL AND width IS NOT NULL AND realized_ae IS NOT NULL),
+    n AS (SELECT scope FROM s GROUP BY scope HAVING count(*) >= 40),
+    k AS (SELECT s.scope, s.method, s.fold, s.geo_value, s.reference_date, s.report_date, s.q_error, s.realized_ae, s.width FROM s JOIN n ON n.scope = s.scope)
+    SELECT x.*, x.bin AS band FROM ({binned('width', 'scope, method', 'k', ('3333333333333333e-16', '6666666666666666e-16'))}) x
+""", public=False)
+model("width_thirds", f"""
+    WITH v AS (SELECT scope, method, band, q_error, realized_ae, width FROM {{width_bands}}),
+    q AS ({binned('q_error', 'scope, method, band', 'v', ('3333333333333333e-16', '6666666666666666e-16'))}),
+    b AS (SELECT scope, method, band, bin, avg(realized_ae) AS ae, count(*) AS n, sum(width) AS width FROM q GROUP BY scope, method, band, bin)
+    SELECT scope, method, band, CAST(sum(n) AS BIGINT) AS n, sum(width) / sum(n) AS mean_width, min_by(ae, bin) AS lowest, max_by(ae, bin) AS highest,
+           CASE WHEN min_by(ae, bin) > 0 THEN max_by(ae, bin) / min_by(ae, bin) END AS ratio, max_by(ae, bin) > min_by(ae, bin) AS stratifies
+    FROM b GROUP BY scope, method, band HAVING sum(n) >= 20 AND count(*) >= 2
+""", public=False)
+
+
+def _by_width(bands: DataFrame, thirds: DataFrame) -> DataFrame:
+    group = ["scope", "method"]
+    rows = stored(bands.select(*group, "band", "q_error", "realized_ae", "width"), "rows")
+    whole = order.ranked(rows.select(*group, "q_error", "width"), group, {"q_error": "a", "width": "b"}).groupBy(*group).agg(order.correlation("a", "b").alias("spearman_width"))
+    inner = order.ranked(rows.select(*group, "band", "q_error", "realized_ae"), [*group, "band"], {"q_error": "a", "realized_ae": "b"}).groupBy(*group, "band").agg(order.correlation("a", "b").alias("spearman_within"))
+    return thirds.join(whole.hint("merge"), group).join(inner.hint("merge"), [*group, "band"])
+
+
+_RHO = "CASE WHEN count(DISTINCT x) > 1 AND count(DISTINCT y) > 1 THEN covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) END"
+frame_model("qerr_vs_width", ("width_bands", "width_thirds"), _by_width, sql=f"""
+    WITH r AS (SELECT scope, method, {ranks('q_error', 'scope, method')} AS x, {ranks('width', 'scope, method')} AS y FROM {{width_bands}}),
+    w AS (SELECT scope, method, {_RHO} AS spearman_width FROM r GROUP BY scope, method),
+    i AS (SELECT scope, method, band, {ranks('q_error', 'scope, method, band')} AS x, {ranks('realized_ae', 'scope, method, band')} AS y FROM {{width_bands}}),
+    v AS (SELECT scope, method, band, {_RHO} AS spearman_within FROM i GROUP BY scope, method, band)
+    SELECT t.*, w.spearman_width, v.spearman_within FROM {{width_thirds}} t JOIN w ON w.scope = t.scope AND w.method = t.method JOIN v ON v.scope = t.scope AND v.method = t.method AND v.band = t.band
 """)
 _OPPOSED = (("q_error", "realized_ae", "qerr_ae"), ("q_error", "realized_regret", "qerr_regret"), ("q_error", "harm", "qerr_harm"), ("f_harm", "harm", "fharm_harm"))
 

@@ -28,10 +28,10 @@ model("cluster_bootstrap", """
              CAST(count(*) OVER (PARTITION BY method, baseline) AS BIGINT) AS clusters, sum(CAST(difference AS DECIMAL(28, 9))) AS s, count(*) AS n
       FROM {paired} GROUP BY method, baseline, reference_date),
     draws AS (
-      SELECT c.method, c.baseline, r.i AS rep, 1 + {hex48(concat('17:', CAST(r.i AS STRING), ':', CAST(c.place AS STRING)))} % c.clusters AS place
+      SELECT /*+ BROADCAST(r) */ c.method, c.baseline, r.i AS rep, 1 + {hex48(concat('17:', CAST(r.i AS STRING), ':', CAST(c.place AS STRING)))} % c.clusters AS place
       FROM c CROSS JOIN {numbers(1; 500)} r),
     b AS (
-      SELECT d.method, d.baseline, d.rep, CAST(sum(c.s) AS DOUBLE) / sum(c.n) AS mean
+      SELECT /*+ MERGE(c) */ d.method, d.baseline, d.rep, CAST(sum(c.s) AS DOUBLE) / sum(c.n) AS mean
       FROM draws d JOIN c ON c.method = d.method AND c.baseline = d.baseline AND c.place = d.place GROUP BY d.method, d.baseline, d.rep)
     SELECT method, baseline, CAST(count(*) AS BIGINT) AS reps, {pct(mean; 25e-3)} AS low, {pct(mean; 975e-3)} AS high,
            avg(CASE WHEN mean < 0 THEN 1e0 ELSE 0e0 END) AS better_probability
@@ -62,6 +62,18 @@ def binned(x: str, groups: str, source: str, cuts: tuple[str, ...] = ("2e-1", "4
     return f"""SELECT b.*, greatest({below}, 1) - 1 AS bin FROM {source} b JOIN (SELECT {groups}, {e} FROM {source} WHERE {x} IS NOT NULL GROUP BY {groups}) e ON {' AND '.join(f'b.{g} = e.{g}' for g in by)} WHERE {x} IS NOT NULL"""
 
 
+def binned_by_size(x: str, groups: str, source: str, least: int, most: int, rows: int) -> str:
+    """The same with as many bins as a group has times `rows` rows, but no fewer than least and no more than most."""
+    by = [g.strip() for g in groups.split(",")]
+    counts = range(least, most + 1)
+    edge = {(i, k): f"e{k}_{i}" for k in counts for i in range(k)}
+    e = ", ".join(f"{{pct({x}; {i / k!r}e0)}} AS {name}" for (i, k), name in edge.items())
+    below = lambda k: " + ".join(f"CASE WHEN {edge[i, k]} < {x}{f' AND {edge[i, k]} <> {edge[i - 1, k]}' if i else ''} THEN 1 ELSE 0 END" for i in range(k))
+    bins = " ".join(f"WHEN {k} THEN greatest({below(k)}, 1) - 1" for k in counts)
+    size = f"greatest({least}, least({most}, CAST(floor(count(*) / {rows}e0) AS INT)))"
+    return f"""SELECT b.*, CASE e.bins {bins} END AS bin FROM {source} b JOIN (SELECT {groups}, {size} AS bins, {e} FROM {source} WHERE {x} IS NOT NULL GROUP BY {groups}) e ON {' AND '.join(f'b.{g} = e.{g}' for g in by)} WHERE {x} IS NOT NULL"""
+
+
 model("quantile_bins", f"""
     WITH s AS (SELECT fold, geo_value, reference_date, report_date, lag, method, abs(true_remaining_revision) AS size FROM {{long}})
     SELECT q.fold, q.geo_value, q.reference_date, q.report_date, q.method, q.size, q.bin FROM ({binned('size', 'method', 's')}) q

@@ -46,7 +46,7 @@ model("knots", f"""
 """, public=False)
 model("episode_curves", f"""
     WITH k AS (SELECT *, lead(y) OVER w AS y1, lead(m) OVER w AS m1 FROM {{knots}} WINDOW w AS (PARTITION BY geo_value, reference_date ORDER BY lag)),
-    g AS (SELECT k.*, CAST(n.i AS INT) AS grid_lag, (n.i - k.lag) / CAST(coalesce(k.h, 1) AS DOUBLE) AS u FROM k JOIN {{numbers(0; {LAST})}} n ON n.i >= k.lag AND (n.i < k.lag + k.h OR k.h IS NULL AND n.i = k.lag)),
+    g AS (SELECT /*+ BROADCAST(n) */ k.*, CAST(n.i AS INT) AS grid_lag, (n.i - k.lag) / CAST(coalesce(k.h, 1) AS DOUBLE) AS u FROM k JOIN {{numbers(0; {LAST})}} n ON n.i >= k.lag AND (n.i < k.lag + k.h OR k.h IS NULL AND n.i = k.lag)),
     p AS (
       SELECT geo_value, reference_date, grid_lag, CASE WHEN h IS NULL OR u = 0 THEN y ELSE (1 + 2 * u) * (1 - u) * (1 - u) * y + u * (1 - u) * (1 - u) * h * m + u * u * (3 - 2 * u) * y1 + u * u * (u - 1) * h * m1 END AS y FROM g)
     SELECT p.geo_value, p.reference_date, p.grid_lag AS lag, ln(1 + t.target_value) - p.y AS remaining FROM p JOIN {{delayed_target}} t ON t.geo_value = p.geo_value AND t.reference_date = p.reference_date

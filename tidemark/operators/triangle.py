@@ -6,9 +6,12 @@ date (28 for the weekly archive, 21 for the daily one), features are differences
 
 from ..models import model
 
+# each release holds until the next, the last one as far as any lag of the archive
 model("fill_lag_grid", """
-    SELECT v.geo_value, v.reference_date, CAST(n.i AS INT) AS lag, {plus(v.reference_date; n.i)} AS report_date, v.value
-    FROM {validity} v JOIN {numbers(0; 24)} n ON v.lag <= n.i AND (v.next_lag IS NULL OR n.i < v.next_lag)
+    WITH g AS (
+      SELECT v.geo_value, v.reference_date, {series(v.lag; coalesce(v.next_lag - 1, m.last_lag))} AS lag, v.value
+      FROM {validity} v CROSS JOIN (SELECT max(lag) AS last_lag FROM {validity}) m)
+    SELECT geo_value, reference_date, lag, {plus(reference_date; lag)} AS report_date, value FROM g
 """)
 model("trailing_mean_7", """
     SELECT geo_value, reference_date, lag, report_date,

@@ -76,7 +76,7 @@ DOUBLES: dict[str, str] = {
     "profile_standardize": "z",
     "prospective_calibration": "wis_working q0_01 q0_025 q0_1 q0_25 q0_5 q0_75 q0_9 q0_975 q0_99",
     "qerr_discrimination": "mean_q_error mean_ae mean_regret harm_frequency spearman",
-    "qerr_vs_width": "lowest highest",
+    "qerr_vs_width": "mean_width lowest highest ratio spearman_width spearman_within",
     "quantile_bins": "size",
     "quantile_calibration": "tau empirical",
     "quantile_higher": "q_higher",
