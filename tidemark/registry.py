@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from .models import MODELS, in_sql, oracle, rounded, run
-from .operators import archive, assess, backtest, calibrate, clusters, compare, donors, forecast, methods, monitor, pooling, pools, quantiles, smooth, triangle  # noqa: F401
+from .operators import archive, assess, backtest, calibrate, clusters, compare, donors, external, forecast, methods, monitor, pooling, pools, quantiles, smooth, triangle  # noqa: F401
 from .plans.doubles import DOUBLES
 from .sources import archives, files  # noqa: F401
 
@@ -22,5 +22,5 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {m.name: _query(m.name) for m in MODELS.values() if m.public}
-QUERIES |= files.QUERIES | methods.QUERIES
+QUERIES |= files.QUERIES | methods.QUERIES | external.QUERIES
 SQL: dict[str, str] = {name: oracle(name, DOUBLES.get(name, "").split()) for name in QUERIES if name in MODELS and in_sql(name)}
