@@ -92,6 +92,14 @@ def test_the_search_for_a_lag_goes_as_far_as_the_archive_and_says_why_it_fails(s
     assert {r["candidate"] for r in early} == {10} and early[0]["episodes"] == 1
 
 
+def test_columns_of_any_triangle(spark):
+    df = spark.createDataFrame([("a", DAY, DAY, 0, 1.0, None, 1, "x"), ("a", DAY, DAY, 1, None, None, 0, "y")], "geo_value string, reference_date date, report_date date, lag int, log_delta_value_7dav_lag14 double, other double, Sat_ref int, note_issue string")
+    got = {r["column_name"]: (r["missing"], r["fraction"]) for r in run(spark, "missingness", given={"triangle": df}).collect()}
+    assert got["log_delta_value_7dav_lag14"] == (1, 0.5) and got["other"] == (2, 1.0) and got["note_issue"] == (0, 0.0) and len(got) == 8
+    assert {r["fraction"] for r in run(spark, "missingness", given={"triangle": df.where("false")}).collect()} == {None}
+    assert run(spark, "issued_context_columns", given={"triangle": df}).columns == ["geo_value", "reference_date", "report_date", "lag", "log_delta_value_7dav_lag14", "Sat_ref"]
+
+
 def test_macros_nest():
     assert dialect.write("{days({plus(a; 1)}; b)}", dialect.SPARK) == "datediff(date_add(a, CAST(1 AS INT)), b)"
 

@@ -206,13 +206,21 @@ model("triangle_summary", """
            CAST((SELECT count(*) FROM k WHERE n > 1) AS BIGINT) AS duplicate_keys
     FROM {triangle}
 """)
-model("missingness", """
-    WITH t AS (
-      SELECT count(*) AS n, count(log_value_7dav) AS a, count(log_value_target_7dav) AS b, count(target_date) AS c, count(log_delta_value_7dav_lag7) AS d
-      FROM {triangle})
-    SELECT column_name, CAST(missing AS BIGINT) AS missing, CAST(missing AS DOUBLE) / n AS fraction FROM (
-      SELECT n, 'log_value_7dav' AS column_name, n - a AS missing FROM t UNION ALL SELECT n, 'log_value_target_7dav', n - b FROM t
-      UNION ALL SELECT n, 'target_date', n - c FROM t UNION ALL SELECT n, 'log_delta_value_7dav_lag7', n - d FROM t) u
+
+
+def _missingness(triangle: DataFrame) -> DataFrame:
+    """Every column of a triangle, whatever it has: how many rows lack it. One pass."""
+    columns = triangle.columns
+    counts = triangle.agg(F.count(F.lit(1)).alias("_n"), *(F.count(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(columns)))
+    rows = [F.struct(F.lit(c).alias("column_name"), (F.col("_n") - F.col(f"_{i}")).alias("missing")) for i, c in enumerate(columns)]
+    out = counts.select("_n", F.explode(F.array(*rows)).alias("r"))
+    return out.select("r.column_name", "r.missing", (F.col("r.missing") / F.when(F.col("_n") > 0, F.col("_n"))).alias("fraction"))
+
+
+_COLUMNS = ("geo_value", "reference_date", "report_date", "lag", "target_date", "target_lag", "log_value_7dav", "log_value_target_7dav", "genuine_event", "log_delta_value_7dav_lag7", "mon_issue", "inv_log_lag")
+frame_model("missingness", ("triangle",), _missingness, sql=f"""
+    WITH t AS (SELECT count(*) AS n, {', '.join(f'count({c}) AS c_{c}' for c in _COLUMNS)} FROM {{triangle}})
+    SELECT column_name, CAST(missing AS BIGINT) AS missing, CAST(missing AS DOUBLE) / nullif(n, 0) AS fraction FROM ({' UNION ALL '.join(f"SELECT n, '{c}' AS column_name, n - c_{c} AS missing FROM t" for c in _COLUMNS)}) u
 """)
 # lag_search: what a user asks of the search; null is not asked for. Days between candidates, the last report that counts, the days of
 # later reports that an episode must have beyond a candidate, and the largest lag at which it must first be reported.

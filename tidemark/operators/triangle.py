@@ -4,7 +4,12 @@ The definitions here are this library's own: the target is the value as known TA
 date (28 for the weekly archive, 21 for the daily one), features are differences and logarithms of as-of values.
 """
 
-from ..models import model
+import re
+
+from pyspark.sql import DataFrame
+from pyspark.sql.types import NumericType
+
+from ..models import frame_model, model
 
 # each release holds until the next, the last one as far as any lag of the archive
 model("fill_lag_grid", """
@@ -63,6 +68,16 @@ model("triangle", """
     LEFT JOIN {revision_deltas} d ON d.geo_value = v.geo_value AND d.reference_date = v.reference_date AND d.lag = v.lag
     LEFT JOIN {calendar_features} c ON c.geo_value = v.geo_value AND c.reference_date = v.reference_date AND c.lag = v.lag
 """)
-model("issued_context_columns", """
+#: What names of columns that are known at issue look like.
+CONTEXT = (r"log_delta_value_7dav_lag\d+", r"inv_log_lag", r"\w+_ref", r"\w+_issue")
+
+
+def _context(triangle: DataFrame) -> DataFrame:
+    """The key, and the numeric columns that are context by their names, as many as there are."""
+    numbers = {f.name for f in triangle.schema if isinstance(f.dataType, NumericType)}
+    return triangle.select("geo_value", "reference_date", "report_date", "lag", *(c for c in triangle.columns if c in numbers and re.fullmatch("|".join(CONTEXT), c)))
+
+
+frame_model("issued_context_columns", ("triangle",), _context, sql="""
     SELECT geo_value, reference_date, report_date, lag, log_delta_value_7dav_lag7, inv_log_lag, mon_issue FROM {triangle}
 """)
