@@ -40,6 +40,7 @@ class PartEncoder:
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}  # what was known before the parts were too many; what is met again is kept
         self.signs = {s: self._alone(s) for s in ["", *SIGNS]}
 
     def _alone(self, part: str) -> bytes:
@@ -86,11 +87,15 @@ class PartEncoder:
         return found
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        if len(self.known) > CACHE_PARTS:
-            self.known = {"": b""}
-        known = self.known
+        if len(self.known) > CACHE_PARTS // 2:
+            self.known, self.older = {"": b""}, self.known
+        known, older = self.known, self.older
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = self._learn([p for p in set().union(*parts) if p not in known])
+        unmet = [p for p in set().union(*parts) if p not in known]
+        if older:
+            known.update((p, older[p]) for p in unmet if p in older)
+            unmet = [p for p in unmet if p not in known]
+        new = self._learn(unmet)
         long = {p: b for p, b in new.items() if len(p) > 40}
         known.update((p, b) for p, b in new.items() if len(p) <= 40)
         if not long:
