@@ -131,6 +131,39 @@ def test_query_against_duckdb(spark, name):
     assert mine == theirs
 
 
+_GROWING = ("alignment_rows", "opposed_objectives", "qerr_discrimination", "alert_confusion", "external_predictions", "weighted_resample", "dual_alert_contrasts", "nearest_threshold", "small_pool_fallback", "quantile_fit", "routing_audit_by_lag")
+
+
+@pytest.mark.parametrize("name", _GROWING)
+def test_only_written_models_read_the_tables(name):
+    """Whatever a query reads of the driver's tables comes from models that are written, so that each table is read once."""
+    from tidemark.models import STORED, TABLES
+
+    todo, seen = [name], set()
+    while todo:
+        m = MODELS[todo.pop()]
+        assert m.name in STORED or not TABLES & set(m.inputs()), m.name
+        todo += [i for i in m.inputs() if i in MODELS and i not in seen]
+        seen |= set(m.inputs())
+
+
+def test_lines_of_orders_are_read_by_one_written_step(spark, monkeypatch):
+    from tidemark import models
+
+    read = []
+
+    def noting(df, name):
+        read.append((name, any("lineitem" in f for f in df.inputFiles())))
+        return written(df, name)
+
+    written = models.stored
+    monkeypatch.setattr(models, "stored", noting)
+    monkeypatch.setattr(models, "_kept", {})
+    last = run(spark, "process_shift", SF)
+    assert [name for name, of_lines in read if of_lines] == ["archive_a"]
+    assert not any("lineitem" in f for f in last.inputFiles())
+
+
 def test_refusals(spark):
     from tidemark.functions.schema import derive_transform, map_columns, normalize_lag_types
 

@@ -38,8 +38,10 @@ class Model:
 MODELS: dict[str, Model] = {}
 
 #: Models that many others read. They are written once a session and folder of tables, and read back: a plan that
-#: held each of them anew wherever it is read would be planned and run many times over.
+#: held each of them anew wherever it is read would be planned and run many times over. The archives are among them, for
+#: all else derives from them: the tables are read and joined once, and what follows is as large as the archive.
 STORED = frozenset(
+    "archive_a archive_b archive_span retraining_calendar schedule "
     "triangle build_cases completed_training validity_a process_states process_history historical_scale process_shift long scored history "
     "history_strata harm_strata history_strata_rows harm_strata_rows endpoint_offsets reliability_history episode_curves location_curves task_cells task_profiles task_prototypes episode_steps episode_summaries task_rows task_courses task_vectors edge_components sparse_scales walked task_distance nearest_threshold coherent_pools pool_rows small_pool_fallback donor_matches curve_pairs cluster_memberships harmed width_bands process_profiles donors archive_normalize validity genuine_events process_daily matched reliability_raw revision_profile route_weights training_features quantile_fit".split()
 )
