@@ -483,3 +483,18 @@ def test_toxicity_of_odd_tables(spark, odd):
     got = toxicity.classify(odd, labels).collect()
     assert len(got) == 13 and all(0 <= r["score"] <= 1 for r in got)
     assert toxicity.classify(odd.where("doc_id > 100"), labels.where("toxic > 5")).collect() == []
+
+
+def test_a_text_lies_in_one_place_whatever_is_projected_beside_it():
+    rng = np.random.default_rng(5)
+    ids = [rng.integers(0, 1 << 16, n).astype("<u2").tobytes() for n in (0, 1, 7, 300, 20_000, *rng.integers(0, 900, 400))]
+    signs = packing.directions()
+    found = packing.project(ids, signs)
+    assert found.shape == (len(ids), packing.DIMS) and (found[0] == 0.5).all()
+    alone = np.concatenate([packing.project([x], signs) for x in ids])
+    assert (found == alone).all()
+    some = np.frombuffer(ids[3], "<u2")
+    v = np.log1p(np.bincount(some.astype(np.int64) * 0x9E3779B1 // 128 % packing.BUCKETS, minlength=packing.BUCKETS))
+    assert np.allclose(found[3], 1 / (1 + np.exp(-1.702 * (v @ signs / np.sqrt(v @ v)))), atol=1e-5)
+    assert packing.project([np.full(5000, 9, "<u2").tobytes()], signs).shape == (1, packing.DIMS)
+    assert packing.project([], signs).shape == (0, packing.DIMS)

@@ -22,8 +22,8 @@ from .tokens import part_encoder
 LENGTH, END = 2048, 1
 #: Buckets of the hashed vectors, dimensions they are projected to, bits of each in the Hilbert key.
 BUCKETS, DIMS, BITS = 1024, 4, 15
-#: Characters encoded at a time.
-CHUNK = 2_000_000
+#: Characters encoded at a time, documents projected at a time.
+CHUNK, TOGETHER = 2_000_000, 128
 
 
 def directions(seed: int = 7) -> np.ndarray:
@@ -32,14 +32,30 @@ def directions(seed: int = 7) -> np.ndarray:
     return np.where(h & np.uint64(1), 1.0, -1.0).reshape(BUCKETS, DIMS)
 
 
-def project(ids: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """Where a document lies in the unit cube: its vector's projection, by the normal distribution's curve."""
-    if len(ids) == 0:
-        return np.full(DIMS, 0.5)
-    where = (ids.astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(BUCKETS)
-    v = np.log1p(np.bincount(where.astype(np.int64), minlength=BUCKETS))
-    p = v @ signs / np.sqrt((v * v).sum())
-    return 1 / (1 + np.exp(-1.702 * p))
+#: The bucket of each id of 16 bits, and the logarithms of small counts.
+_BUCKET = ((np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _logarithms(counts: np.ndarray) -> np.ndarray:
+    """log1p in steps of 2^-20, so that sums of a row are exact and equal texts lie in one place, whatever stands beside them."""
+    return np.round(np.log1p(counts) * (1 << 20)) / (1 << 20)
+
+
+_LOG = _logarithms(np.arange(4096))
+
+
+def project(ids: list[bytes], signs: np.ndarray) -> np.ndarray:
+    """Where documents (16-bit ids of each) lie in the unit cube: their vectors' projections, by the normal distribution's curve."""
+    found = [np.zeros((0, DIMS))]
+    for at in range(0, len(ids), TOGETHER):
+        some = ids[at : at + TOGETHER]
+        rows = np.repeat(np.arange(len(some)) * BUCKETS, [len(x) // 2 for x in some])
+        counts = np.bincount(rows + _BUCKET[np.frombuffer(b"".join(some), "<u2")], minlength=len(some) * BUCKETS).reshape(len(some), BUCKETS)
+        v = _LOG[counts] if counts.max() < len(_LOG) else _logarithms(counts)
+        norms = np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+        p = v @ signs / np.where(norms > 0, norms, 1)
+        found.append(1 / (1 + np.exp(-1.702 * p)))
+    return np.concatenate(found)
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -84,7 +100,7 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
                     size += len(texts[to])
                     to += 1
                 ids = encoder.encode(texts[at:to])
-                places = np.array([project(np.frombuffer(x, "<u2"), signs) for x in ids])
+                places = project(ids, signs)
                 keys = hilbert(np.minimum((places * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids[at:to], pa.int64()), pa.array(keys), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "key", "n", "ids"])
                 at = to
