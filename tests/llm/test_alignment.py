@@ -96,3 +96,17 @@ def test_parts_are_encoded_as_in_their_texts():
     for side in (alignment.byte_level(vocabulary(A)), alignment.pieces(vocabulary(B))):
         whole = [x for x in side._ids(texts)]
         assert side.apart and side(texts, *alignment.split(texts)) == whole
+
+
+def test_parts_are_encoded_together_with_the_ids_of_each_alone():
+    words = ["a", "don't", "韓國", "x\ty", "\U0001F600!", "<s>", "é", "12,5", "zq" * 30] * 700
+    for side in (alignment.byte_level(vocabulary(A)), alignment.pieces(vocabulary(B))):
+        sizes, encode = [], side.encode
+        side.encode = lambda texts: sizes.append(len(texts)) or encode(texts)  # noqa: B023
+        try:
+            got = side._parts(words)
+        finally:
+            side.encode = encode
+        assert sizes == [1] * -(-len(words) // alignment.TOGETHER)
+        assert got == side._ids(words)
+    assert side._sound(["", "a", "\ta", "b　", "x▁y", "c\td"]) == ["a", "c\td"]

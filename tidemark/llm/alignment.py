@@ -25,6 +25,8 @@ from .sentencepiece_ids import BYTE, MARK, parse
 CHUNK, CACHE_PARTS, PAIRS = 600_000, 200_000, 1_000_000
 #: A pair is frequent if it is more than one link in so many: so many pairs at most, of 20 bytes each, are broadcast.
 FREQUENT = 50_000
+#: Parts that a tokenizer is given at a time.
+TOGETHER = 2000
 _ENDS = (b",", b"|", b";")
 
 
@@ -45,14 +47,30 @@ class Side:
     def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]], tokens: list[bytes], apart: bool, mark: str = "") -> None:
         self.encode, self.apart, self.mark = encode, apart, mark
         self.tokens = pa.array(tokens, pa.binary())
+        self.blank = np.array([t[:1] == b" " for t in tokens])
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what was known before the parts were too many; what is met again is kept
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", x).tobytes() for x in self.encode(texts)] if texts else []
 
-    def _sound(self, part: str) -> bool:
-        return bool(part) and not part[0].isspace() and not part[-1].isspace() and not (self.mark and self.mark in part)
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """The same of sound parts: many are encoded as one text and told apart by the tokens that begin with a blank, or each alone if these are not as many."""
+        out = []
+        for at in range(0, len(parts), TOGETHER):
+            some = parts[at : at + TOGETHER]
+            raw = array("I", self.encode([" ".join(some)])[0]).tobytes()
+            cuts = (np.flatnonzero(self.blank[np.frombuffer(raw, "<u4")]) * 4).tolist()
+            if len(cuts) == len(some) and cuts[0] == 0:
+                out += [raw[i:j] for i, j in zip(cuts, [*cuts[1:], len(raw)])]
+            else:
+                out += self._ids(some)
+        return out
+
+    def _sound(self, parts: list[str]) -> list[str]:
+        """Parts that can stand alone: not empty, without white space at their ends and without the mark."""
+        found = [p for p in parts if p and p.strip() == p]
+        return [p for p in found if self.mark not in p] if self.mark else found
 
     def __call__(self, texts: Sequence[str], parts: Sequence[list[str]], distinct: set[str]) -> list[bytes]:
         """32-bit ids of each text; an empty text has none. parts: the texts' parts between blanks, distinct: all of them."""
@@ -60,10 +78,11 @@ class Side:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         unmet = [p for p in distinct if p not in known] if self.apart else []
-        known.update((p, older[p]) for p in unmet if p in older)
-        new = [p for p in unmet if p not in known and self._sound(p)]
-        found = dict(zip(new, self._ids(new)))
-        known.update(found)
+        if older:
+            known.update((p, older[p]) for p in unmet if p in older)
+            unmet = [p for p in unmet if p not in known]
+        new = self._sound(unmet)
+        known.update(zip(new, self._parts(new)))
         out, whole = [], []
         for i, (t, ps) in enumerate(zip(texts, parts)):
             try:
@@ -71,7 +90,7 @@ class Side:
             except KeyError:  # a part that cannot stand alone
                 out.append(b"")
                 whole.append(i)
-        for p in found:
+        for p in new:
             if len(p) > 40:
                 del known[p]
         for i, x in zip(whole, self._ids([texts[i] for i in whole])):
