@@ -96,3 +96,21 @@ def test_the_pipeline_is_what_its_stages_do(spark, tmp_path):
     kept = {i for i in range(5, 30)} | {100 + i for i in range(5)} | {300, 301, 302} | {i for i, _ in clean}
     assert set(got) == kept
     assert got[300] > 1.3 * max(got[301], got[302])
+
+
+def test_pairs_of_a_text_that_repeats_itself_meet_as_one_row_for_each_document(spark, monkeypatch):
+    quotes = [" ".join(rng.choice(POOL, 30)) for _ in range(4)]
+    # first of their own kind in various documents, then many times over in two
+    rows = [(i, f"{words(60)} {q} {words(60)}") for i, q in enumerate(quotes)]
+    rows += [(i, " ".join(f"{quotes[int(k)]} {words(3)}" for k in rng.integers(0, 4, 60))) for i in (8, 9)]
+    met, attach = [], substring_dedup.attach
+
+    def seen(left, groups, key, *args, **named):
+        if key == "pair":
+            met.append(left.select("doc_id", "pair").toPandas())
+        return attach(left, groups, key, *args, **named)
+
+    monkeypatch.setattr(substring_dedup, "attach", seen)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert substring_dedup.passages(table).count()
+    assert len(met) == 1 and len(met[0]) and not met[0].duplicated().any()

@@ -243,15 +243,19 @@ CANDIDATES, PAIRS = -1, -2
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of doc_id, source_id, pos: chains of each pair of documents, and rows without a source for a document's candidates and pairs."""
+    """Rows in order of doc_id, source_id: chains of each pair of documents, and rows without a source for a document's candidates and pairs.
+
+    A row's places (pos) are one or, as an array, many; all are matched to its source_pos.
+    """
     rows: list[tuple] = []
-    pair, x, y = None, [], []
+    pair, xs, ys = None, [], []
     at: dict[int, int] = {}  # seeds of the document
 
     def close():
         if pair is None:
             return
         number = 0
+        x, y = map(list, zip(*sorted(zip(xs, ys))))
         for path in chains(x, y):
             if x[path[-1]] + K - x[path[0]] >= CHAIN_WORDS:
                 rows.append((*pair, number, [x[i] for i in path], [y[i] for i in path], None))
@@ -277,10 +281,13 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 close()
                 if pair is not None and pair[0] != d:
                     finish()
-                pair, x, y = (d, s), [], []
-            x.append(i)
-            y.append(j)
-            if seed is not None:  # pairs are not asked for again
+                pair, xs, ys = (d, s), [], []
+            if seed is None:  # pairs, which are not asked for again
+                xs.extend(i)
+                ys.extend([j] * len(i))
+            else:
+                xs.append(i)
+                ys.append(j)
                 at[i] = seed
         yield out()
     close()
@@ -303,7 +310,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(held, pa.binary())], ["doc_id", "block", "words"])
 
 
-STRETCHES = "doc_id long, start int, end int, source_id long, source_word int, agree double, seed long, pair long"
+STRETCHES = "doc_id long, start int, end int, source_id long, source_word int, agree double, seed long, pair long, places array<int>"
 PASSAGES = "doc_id long, start_word int, n_words int, source_id long, source_word int, agree double"
 
 
@@ -329,7 +336,10 @@ def merged(stretches: list[tuple[int, int, int, int, float]]) -> list[tuple[int,
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of doc_id, source_id, chain, side, block: aligned stretches, and seeds of candidates and pairs that no passage covers."""
+    """Rows in order of doc_id, source_id, chain, side, block: aligned stretches, and what no passage covers: seeds of candidates, and pairs with all their places in the document.
+
+    A text that repeats itself has few pairs in many places, so that pairs meet as one row for each document.
+    """
     rows: list[tuple] = []
     stretches: list[tuple] = []  # of the document
     wanted: list[tuple] = []  # its candidates and pairs
@@ -351,18 +361,25 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def finish():
         """The end of a document."""
         if key is not None:
-            rows.extend((key[0], *t, None, None) for t in stretches)
+            rows.extend((key[0], *t, None, None, None) for t in stretches)
             spans = [(p[0], p[0] + p[1]) for p in merged(stretches)]
+            pairs: dict[int, list[int]] = {}
+            asked: set[int] = set()
             for kind, start, end, seed in wanted:
                 i = bisect_right(spans, start, key=lambda span: span[0])
                 if not i or spans[i - 1][1] < end:
-                    rows.append((key[0], start, None, None, None, None, None, seed) if kind == PAIRS else (key[0], None, None, None, None, None, seed, None))
+                    if kind == PAIRS:
+                        pairs.setdefault(seed, []).append(start)
+                    else:
+                        asked.add(seed)
+            rows.extend((key[0], None, None, None, None, None, seed, None, None) for seed in sorted(asked))
+            rows.extend((key[0], None, None, None, None, None, None, pair, sorted(places)) for pair, places in pairs.items())
             stretches.clear()
             wanted.clear()
 
     def out():
-        cols = list(zip(*rows)) or [[]] * 8
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
+        cols = list(zip(*rows)) or [[]] * 9
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
         batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [c.split()[0] for c in STRETCHES.split(", ")])
         rows.clear()
         return batch
@@ -437,8 +454,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _aligned(texts: DataFrame, matches: DataFrame) -> DataFrame:
     """Stretches that the chains of matches (doc_id, source_id, pos, source_pos, seed) align, and what no passage of them covers."""
-    order = ["doc_id", "source_id", "pos", "source_pos"]
-    chained = written(matches.repartition("doc_id").sortWithinPartitions(*order).mapInArrow(_chain, CHAINS), "chains")
+    chained = written(matches.repartition("doc_id").sortWithinPartitions("doc_id", "source_id").mapInArrow(_chain, CHAINS), "chains")
 
     first, last = (lambda c: F.element_at(c, 1)), (lambda c: F.element_at(c, -1))
     reach = lambda c: F.sequence(
@@ -483,9 +499,9 @@ def passages(docs: DataFrame, within: bool = False) -> DataFrame:
     matches = repeated.where(f"doc_id <> source_id OR pos >= source_pos + {K}" if within else "doc_id <> source_id").select("doc_id", "source_id", "pos", "source_pos", "seed")
     aligned = _aligned(texts, matches)
 
-    # pairs of seeds that no passage covers, matched to the first of their kind
-    pairs = aligned.where("pair IS NOT NULL").select("pair", "doc_id", F.col("start").alias("pos"))
-    firsts = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    # pairs of seeds that no passage covers, a row for each document, matched to the first of their kind in another
+    pairs = aligned.where("pair IS NOT NULL").select("pair", "doc_id", F.col("places").alias("pos"))
+    firsts = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", F.col("pos")[0].alias("pos"))).alias("first"))
     firsts = written(firsts.where("n > 1").select("pair", "n", F.col("first.doc_id").alias("source_id"), F.col("first.pos").alias("source_pos")), "pair-firsts")
     matches = attach(pairs, firsts, "pair").where("doc_id <> source_id").select("doc_id", "source_id", "pos", "source_pos", F.lit(None).cast("long").alias("seed"))
     further = _aligned(texts, matches)
@@ -500,7 +516,7 @@ def passages(docs: DataFrame, within: bool = False) -> DataFrame:
     firsts = written(firsts.where("n > 1").select("window", "n", F.col("first.doc_id").alias("source_id"), F.col("first.start").alias("source_word")), "firsts")
     again = attach(runs, firsts, "window").where(f"doc_id <> source_id OR start >= source_word + {PASSAGE_WORDS}" if within else "doc_id <> source_id")
     again = again.select("doc_id", "start", (F.col("start") + PASSAGE_WORDS).alias("end"), "source_id", "source_word", F.lit(1.0).alias("agree"))
-    both = aligned.where("source_id IS NOT NULL").unionByName(further).drop("seed", "pair").unionByName(again)
+    both = aligned.where("source_id IS NOT NULL").unionByName(further).drop("seed", "pair", "places").unionByName(again)
     return both.repartition("doc_id").sortWithinPartitions("doc_id", "start", "end", "source_id", "source_word").mapInArrow(_merge, PASSAGES)
 
 
