@@ -498,3 +498,24 @@ def test_a_text_lies_in_one_place_whatever_is_projected_beside_it():
     assert np.allclose(found[3], 1 / (1 + np.exp(-1.702 * (v @ signs / np.sqrt(v @ v)))), atol=1e-5)
     assert packing.project([np.full(5000, 9, "<u2").tobytes()], signs).shape == (1, packing.DIMS)
     assert packing.project([], signs).shape == (0, packing.DIMS)
+
+
+def test_words_with_several_signs_behind_them_are_encoded_as_words_are(monkeypatch):
+    from tidemark.llm import tokens
+
+    encoder = tokens.PartEncoder(vocabulary("word_bpe_49k.json"))
+    texts = ["Ends%%% end$$ été&& Été!!! a_ b__ c' d'' e's f-. g<| h|>. Ⱥ.. İ.. ΣΑΣ.. É.. x%%%%", " ".join(f"w{c}rd%%" for c in "aeiou")]
+    asked = []
+
+    class Library:
+        def encode(self, text, **named):
+            return whole.encode(text, **named)
+
+        def encode_batch_fast(self, texts, **named):
+            asked.extend(texts)
+            return whole.encode_batch_fast(texts, **named)
+
+    whole, encoder.tokenizer = encoder.tokenizer, Library()
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert encoder.encode(texts) == want
+    assert not {"Ends%%%", "end$$", "été&&", "ward%%"} & set(asked)
