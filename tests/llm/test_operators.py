@@ -519,3 +519,15 @@ def test_words_with_several_signs_behind_them_are_encoded_as_words_are(monkeypat
     want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
     assert encoder.encode(texts) == want
     assert not {"Ends%%%", "end$$", "été&&", "ward%%"} & set(asked)
+
+
+def test_matches_of_one_place_are_not_chained(monkeypatch):
+    import pyarrow as pa
+
+    asked, chains = [], substring_dedup.chains
+    monkeypatch.setattr(substring_dedup, "chains", lambda x, y, *a: asked.append((x, y)) or chains(x, y, *a))
+    rows = [(2, 1, 5, 90, 11), (2, 1, 40, 90, 11), (3, 1, 7, 20, 12), (3, 2, 10, 30, 13), (3, 2, 18, 38, 14)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["doc_id", "source_id", "pos", "source_pos", "seed"])
+    got = [r for b in substring_dedup._chain(iter([batch])) for r in b.to_pylist() if r["source_id"] is not None]
+    assert [(r["doc_id"], r["source_id"], r["xs"], r["ys"]) for r in got] == [(3, 2, [10, 18], [30, 38])]
+    assert asked == [([10, 18], [30, 38])]

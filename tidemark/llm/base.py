@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import tempfile
 import uuid
 from functools import lru_cache
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 #: Entries that a task keeps of its word cache before it starts afresh.
 CACHE_WORDS = 400_000
+#: What most often stands before and behind the letters and digits of a word.
+SIGNS = string.punctuation
 
 
 @lru_cache(maxsize=1)
@@ -99,8 +102,10 @@ class _Known(dict):
     def __missing__(self, part: str) -> bytes:
         kept = part.lower()
         if not kept.isalnum():
-            kept = "".join(filter(str.isalnum, kept))
-        h = ((word_hash(kept) | 1)).to_bytes(8, "little") if kept else b""
+            kept = kept.strip(SIGNS)
+            if not kept.isalnum():
+                kept = "".join(filter(str.isalnum, kept))
+        h = (word_hash(kept) | 1).to_bytes(8, "little") if kept else b""
         if len(part) <= 40:
             if len(self) >= CACHE_WORDS:
                 self.clear()

@@ -58,8 +58,9 @@ def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             span *= 2
         if span < w:
             key = np.minimum(key[: len(key) - (w - span)], key[w - span :])
-        found.append(np.unique(key & np.uint64((1 << 24) - 1)).astype(np.int64) + lo)
-    at = np.unique(np.concatenate(found))
+        found.append((key & np.uint64((1 << 24) - 1)).astype(np.int64) + lo)
+    at = np.concatenate(found)  # never descends, for keys differ
+    at = at[np.flatnonzero(np.diff(at, prepend=-1))]
     return h[at], at
 
 
@@ -254,6 +255,8 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close():
         if pair is None:
             return
+        if ys[0] == ys[-1] and min(ys) == max(ys):  # matches of one place cannot follow each other
+            return
         number = 0
         x, y = map(list, zip(*sorted(zip(xs, ys))))
         for path in chains(x, y):
