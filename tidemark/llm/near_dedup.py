@@ -121,8 +121,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "h", "digest", "bucket", "n"]
     for b in batches:
         digests = []
-        for text in b["text"].to_pylist():
-            w = words(text or "")
+        for w in words.each(b["text"].to_pylist()):
             digests.append(xxhash.xxh3_128_digest(w.tobytes()) if len(w) else None)
             if len(w):
                 h = np.unique(shingles(w, WORDS)) >> np.uint64(64 - DF_BITS)
@@ -138,8 +137,7 @@ def _sign(idf: np.ndarray):
         words, sampler = Words(), Sampler()
         for b in batches:
             keys, ids, hashes = [], [], []
-            for doc_id, h, text in zip(b["doc_id"].to_pylist(), b["h"].to_pylist(), b["text"].to_pylist()):
-                w = words(text or "")
+            for doc_id, h, w in zip(b["doc_id"].to_pylist(), b["h"].to_pylist(), words.each(b["text"].to_pylist())):
                 if len(w):
                     ids.append(doc_id)
                     hashes.append(h)
@@ -192,7 +190,7 @@ def _own(idf: np.ndarray):
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                sets = [weighted(words(t or ""), idf) for t in part["text"].to_pylist()]
+                sets = [weighted(w, idf) for w in words.each(part["text"].to_pylist())]
                 ids = np.repeat(part["doc_id"].to_numpy(zero_copy_only=False), [len(h) for h, _ in sets])
                 cols = [np.concatenate([h for h, _ in sets]).view(np.int64), ids, np.concatenate([w for _, w in sets]).astype(np.float64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["shingle", "doc_id", "w"])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, attach, fresh, mix, shingles, written
+from .base import Words, attach, fresh, groups_of, lists, mix, shingles, written
 
 K, WINDOW = 6, 12
 #: Cost of a chain for each word between two seeds on either side; a seed is worth K.
@@ -45,23 +45,44 @@ STEP = 1 << 20
 
 def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and positions of a text's seeds; fewer words than K have none."""
-    if len(words) < K:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return seeds_of(words, np.array([len(words)]))[:2]
+
+
+def seeds_of(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the seeds of texts, their places in their text, and how many each text has; fewer words than K have none.
+
+    words: those of all texts in a row; ends: where each text's end.
+    """
+    starts = np.append(0, ends[:-1])
+    hashes, places, numbers = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], np.zeros(len(ends), np.int64)
+    if not len(ends) or len(words) < K:
+        return hashes[0], places[0], numbers
     h = shingles(words, K)
-    w, found = min(WINDOW, len(h)), []
-    for lo in range(0, len(h) - w + 1, STEP):
-        part = h[lo : lo + STEP + w - 1]
+    long = np.flatnonzero(ends - starts >= K + WINDOW - 1)
+    # windows start where a text has WINDOW shingles from there on
+    last = np.zeros(len(words) + 1, np.int64)
+    last[starts[long]] += 1
+    last[ends[long] - (K + WINDOW - 2)] -= 1
+    inside = np.cumsum(last)[: len(h) - WINDOW + 1].astype(bool)
+    found = []
+    for lo in range(0, len(h) - WINDOW + 1, STEP):
+        part = h[lo : lo + STEP + WINDOW - 1]
         key = (mix(part) >> np.uint64(24) << np.uint64(24)) | np.arange(len(part), dtype=np.uint64)
         span = 1
-        while span * 2 <= w:
+        while span * 2 <= WINDOW:
             key = np.minimum(key[:-span], key[span:])
             span *= 2
-        if span < w:
-            key = np.minimum(key[: len(key) - (w - span)], key[w - span :])
-        found.append((key & np.uint64((1 << 24) - 1)).astype(np.int64) + lo)
-    at = np.concatenate(found)  # never descends, for keys differ
+        if span < WINDOW:
+            key = np.minimum(key[: len(key) - (WINDOW - span)], key[WINDOW - span :])
+        found.append((key[inside[lo : lo + STEP]] & np.uint64((1 << 24) - 1)).astype(np.int64) + lo)
+    at = np.concatenate(found) if found else places[0]  # never descends, for keys differ
     at = at[np.flatnonzero(np.diff(at, prepend=-1))]
-    return h[at], at
+    # of a text with fewer shingles the smallest
+    few = np.flatnonzero((ends - starts >= K) & (ends - starts < K + WINDOW - 1)).tolist()
+    if few:
+        at = np.sort(np.append(at, [starts[i] + (mix(h[starts[i] : ends[i] - K + 1]) >> np.uint64(24)).argmin() for i in few]))
+    of = np.searchsorted(ends, at, "right")
+    return h[at], at - starts[of], np.bincount(of, minlength=len(ends))
 
 
 _BASE = 0x9E3779B97F4A7C15
@@ -130,11 +151,15 @@ def _gap(a: np.ndarray, b: np.ndarray) -> int:
             return same
     if not len(a) or not len(b):
         return 0
-    row = np.zeros(len(b) + 1, np.int64)
-    for w in a:
-        hit = np.append(0, row[:-1] + (b == w))
-        row = np.maximum.accumulate(np.maximum(row, hit))
-    return int(row[-1])
+    # a bit for each word of b, cleared where the common words so far grow
+    where: dict[int, int] = {}
+    for i, w in enumerate(b.tolist()):
+        where[w] = where.get(w, 0) | 1 << i
+    row = every = (1 << len(b)) - 1
+    for w in a.tolist():
+        hit = row & where.get(w, 0)
+        row = ((row + hit) | (row - hit)) & every
+    return len(b) - row.bit_count()
 
 
 def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -191,18 +216,19 @@ def align(x: list[int], y: list[int], a: np.ndarray, a_from: int, b: np.ndarray,
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for b in batches:
-        ids, hashes, places, firsts = [], [], [], []
-        for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
-            h, at = seeds(words(text or ""))
-            if len(h):
-                first = np.zeros(len(h), bool)
-                first[np.unique(h, return_index=True)[1]] = True
-                ids.append(np.full(len(h), doc_id))
-                hashes.append(h.view(np.int64))
-                places.append(at.astype(np.int32))
-                firsts.append(first)
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (hashes, ids, places, firsts)], ["seed", "doc_id", "pos", "first"])
+        doc_ids, texts, at = b["doc_id"].to_numpy(zero_copy_only=False), b["text"].to_pylist(), 0
+        found = []
+        for some in groups_of(texts):
+            h, places, numbers = seeds_of(*words.together(some))
+            of = np.repeat(np.arange(len(some)), numbers)
+            # the first of its kind in its text
+            order = np.lexsort((h, of))
+            first = np.zeros(len(h), bool)
+            first[order] = np.append(True, (h[order[1:]] != h[order[:-1]]) | (of[order[1:]] != of[order[:-1]]))[: len(h)]
+            found.append((h.view(np.int64), doc_ids[at : at + len(some)][of], places.astype(np.int32), first))
+            at += len(some)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["seed", "doc_id", "pos", "first"])
 
 
 CHAINS = "doc_id long, source_id long, chain int, xs array<int>, ys array<int>, seeds array<long>"
@@ -279,7 +305,7 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch
 
     for b in batches:
-        for d, s, i, j, seed in zip(*(b[c].to_pylist() for c in ("doc_id", "source_id", "pos", "source_pos", "seed"))):
+        for d, s, i, j, seed in zip(*(lists(b[c]) for c in ("doc_id", "source_id", "pos", "source_pos", "seed"))):
             if pair != (d, s):
                 close()
                 if pair is not None and pair[0] != d:
@@ -302,8 +328,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for b in batches:
         ids, numbers, held = [], [], []
-        for doc_id, text, wanted in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["blocks"].to_pylist()):
-            w = (words(text or "") >> np.uint64(16)).astype("<u4")
+        for doc_id, own, wanted in zip(b["doc_id"].to_pylist(), words.each(b["text"].to_pylist()), lists(b["blocks"])):
+            w = (own >> np.uint64(16)).astype("<u4")
             for k in wanted:
                 part = w[k * BLOCK : (k + 1) * BLOCK]
                 if len(part):
@@ -388,7 +414,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch
 
     for batch in batches:
-        columns = (batch[c].to_pylist() for c in ("doc_id", "source_id", "chain", "side", "block", "words", "xs", "ys", "seeds"))
+        columns = (batch[c].to_pylist() if c == "words" else lists(batch[c]) for c in ("doc_id", "source_id", "chain", "side", "block", "words", "xs", "ys", "seeds"))
         for d, s, c, side, block, words, xs, ys, seeds in zip(*columns):
             if key != (d, s, c):
                 close()
@@ -412,8 +438,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for b in batches:
         hashes, ids, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        for doc_id, text, places in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["places"].to_pylist()):
-            w = words(text or "")
+        for doc_id, w, places in zip(b["doc_id"].to_pylist(), words.each(b["text"].to_pylist()), lists(b["places"])):
             if len(w) >= PASSAGE_WORDS:
                 at = np.unique(np.subtract.outer(np.array(places), np.arange(WINDOW)))
                 at = at[(at >= 0) & (at <= len(w) - PASSAGE_WORDS)]
@@ -434,7 +459,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         exact.clear()
 
     for batch in batches:
-        for d, start, end, source, other, agree in zip(*(batch[c].to_pylist() for c in ("doc_id", "start", "end", "source_id", "source_word", "agree"))):
+        for d, start, end, source, other, agree in zip(*(lists(batch[c]) for c in ("doc_id", "start", "end", "source_id", "source_word", "agree"))):
             if d != doc:
                 finish()
                 doc = d
