@@ -45,3 +45,21 @@ def test_words_in_common_between_gaps():
                 new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
             row = new
         assert substring_dedup._gap(a, b) == row[-1]
+
+
+def test_a_worker_lets_go_of_an_encoder_when_another_operator_runs():
+    import gc
+    import weakref
+
+    from tidemark.llm import tokens, toxicity
+    from tidemark.llm.queries import vocabulary
+
+    path = vocabulary("word_bpe_49k.json")
+    for other in (base.Words, toxicity.Terms):
+        encoder = tokens.part_encoder(path)
+        assert tokens.part_encoder(path) is encoder
+        seen = weakref.ref(encoder)
+        del encoder
+        other()
+        gc.collect()
+        assert seen() is None

@@ -6,7 +6,7 @@ import re
 import string
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -95,6 +95,18 @@ def attach(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str =
     return first.unionByName(rest.join(groups.hint("merge"), key, how))
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """What this worker keeps under a name from task to task. What it kept under other names goes, so that the
+    stages of a session do not add up in a worker, which Spark uses again for all of them."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word) >> 1
 
@@ -177,6 +189,7 @@ class Words:
     """
 
     def __init__(self) -> None:
+        held("words", lambda: None)
         self.known = _Known()
 
     def __call__(self, text: str) -> np.ndarray:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import string
 import unicodedata
 from collections.abc import Iterable, Sequence
-from functools import lru_cache
 
 import numpy as np
 
+from .base import held
+
 #: Parts that a worker keeps, some 200 bytes each, before it starts afresh.
 CACHE_PARTS = 900_000
 #: Words that the tokenizer is given at a time.
@@ -19,10 +20,10 @@ SIGNS, END_SIGNS = string.punctuation, 3
 COMBINING = "\u0300"
 
 
-@lru_cache(maxsize=1)
 def part_encoder(path: str) -> PartEncoder:
-    """The worker's encoder: tasks that run in a worker one after another know what those before have met."""
-    return PartEncoder(path)
+    """The worker's encoder: tasks that run in a worker one after another know what those before have met, until
+    another operator's run there."""
+    return held(f"parts of {path}", lambda: PartEncoder(path))
 
 
 class PartEncoder:

@@ -19,7 +19,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import CACHE_WORDS, written
+from .base import CACHE_WORDS, held, written
 
 BUCKETS = 1 << 20
 #: Letters of the starts of words that are terms.
@@ -39,6 +39,7 @@ class Terms:
     """Buckets of the terms of a text; those of each part between white space are worked out once."""
 
     def __init__(self, wanted: dict[int, int] | None = None) -> None:
+        held("terms", lambda: None)
         self.wanted, self.known = wanted, {}
 
     def _of(self, part: str) -> tuple[int, ...]:
