@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import exact_dedup, near_dedup, substring_dedup, toxicity
+from tidemark.llm import base as base_module
+from tidemark.llm import components, exact_dedup, near_dedup, substring_dedup, toxicity
 
 rng = np.random.default_rng(23)
 POOL = [f"w{i}" for i in range(4000)]
@@ -114,3 +115,33 @@ def test_pairs_of_a_text_that_repeats_itself_meet_as_one_row_for_each_document(s
     table = spark.createDataFrame(rows, "doc_id long, text string")
     assert substring_dedup.passages(table).count()
     assert len(met) == 1 and len(met[0]) and not met[0].duplicated().any()
+
+
+def test_small_tables_are_few_files_whatever_the_number_of_partitions(spark, monkeypatch):
+    base = [words(120) for _ in range(12)]
+    rows = [(i, " ".join(w if (j + i) % 97 else "edit" for j, w in enumerate(base[i % 12].split())) + " " + words(i % 7 * 20)) for i in range(60)]
+    files, settings = {}, {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+    def recorded(df, name, keep=base_module.written):
+        out = keep(df, name)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    def found():
+        docs = table(spark, rows)
+        return sorted(tuple(r) for r in near_dedup.dedup(docs).collect()), sorted(tuple(r) for r in substring_dedup.passages(docs).collect())
+
+    wanted = found()
+    for module in (near_dedup, components, substring_dedup):
+        monkeypatch.setattr(module, "written", recorded)
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        assert found() == wanted
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    del files["links"]  # written where sorted texts meet
+    assert {"members", "buckets", "edges", "known", "anchors", "chains", "stretches", "runs"} <= set(files)
+    assert max(files.values()) <= 8, files

@@ -58,6 +58,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows of a narrow table that are worth a file of their own, and files that a small table has at most.
+ROWS_A_FILE, FEW_FILES = 20_000, 4
+
+
+def few(df: DataFrame, rows: int, per: int = ROWS_A_FILE) -> DataFrame:
+    """df, which has so many rows at most, in no more tasks than they are worth.
+
+    Every file that a task writes to a local folder costs two processes, where Hadoop has no native library: its JVM
+    starts chmod for the file and for its checksums. Large tables keep the partitions that they have.
+    """
+    return df.coalesce(max(FEW_FILES, -(-rows // per)))
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove written tables that nothing will read again: what was made of them must be written itself."""
     for df in tables:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import attach, discard, written
+from .base import attach, discard, few, written
 
 
 def _shuffled(code: Column) -> Column:
@@ -61,7 +61,7 @@ def _codes(edges: DataFrame, level: int, used: list[DataFrame]) -> DataFrame:
     return table
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """node, root of every node that has an edge (a long, b long); root is the smallest node of its component.
 
     Each round gives every node the smallest of itself and its neighbours and replaces the edges' ends by these,
@@ -70,9 +70,10 @@ def components(edges: DataFrame) -> DataFrame:
     they in the order of the ids, a path whose ids ascend would lose one node a round; in random order any path
     about halves. Minima are combined before the exchange, so a node with many neighbours costs a task no more
     than its own rows. Once at most FEW edges are left, one task joins their ends.
+    rows: how many edges there are at most, if that is known.
     """
     first = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    first = written(first, "edges")
+    first = written(first if rows is None else few(first, rows), "edges")
     if first.count() <= FEW:
         found = written(first.coalesce(1).mapInArrow(_together, "node long, root long"), "components")
         discard(first)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import Words, attach, discard, mix, shingles, written
+from .base import Words, attach, discard, few, mix, shingles, written
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -27,6 +27,8 @@ DF_BITS = 16
 PIVOTS = 16
 #: Rows of a bucket, or partners of a document, that a task gets.
 PER_TASK = 512
+#: Texts that are worth a task of their own.
+TEXTS = 2_000
 #: Groups of shingles by which bounds are kept.
 GROUPS = 32
 #: Weight that two sets must share, of the sum of their weights, to be SIMILARITY alike.
@@ -168,18 +170,20 @@ def _verify(idf: np.ndarray):
     return run
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """The pairs (a, b) whose documents are alike enough. pairs: a written table.
+def _linked(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, number: int) -> DataFrame:
+    """The pairs (a, b) whose documents are alike enough. pairs: a written table of `number` rows.
 
     The text of an `a` with many partners is sent out once for each PER_TASK of them. A written table.
     """
-    counts = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.ceil(F.col("n") / PER_TASK)), "counts")
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.ceil(F.col("n") / PER_TASK))
+    counts = written(few(counts, number), "counts")
     salted = attach(pairs, counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
     u = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")).join(counts.hint("merge"), "a")
     u = u.select("a", "a_text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     t = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
     joined = salted.join(t.hint("merge"), "b").join(u.hint("merge"), ["a", "salt"])
-    found = written(joined.select("a", "b", "a_text", "b_text").mapInArrow(_verify(idf), "a long, b long, similarity double"), "links")
+    found = joined.select("a", "b", "a_text", "b_text").mapInArrow(_verify(idf), "a long, b long, similarity double")
+    found = written(found, "links")  # not few tasks: each would hold the sorted texts of many partitions
     discard(counts)
     return found
 
@@ -198,36 +202,36 @@ def _own(idf: np.ndarray):
     return run
 
 
-def _bounds(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+def _bounds(texts: DataFrame, idf: np.ndarray, number: int) -> DataFrame:
     """doc_id, w, shared, s0, s1, ...: a document's weight, the part of it on shingles that others of texts have as
-    well, and that part by GROUPS groups of shingles. Two documents share at most the sum of the smaller ones.
+    well, and that part by GROUPS groups of shingles. Two documents share at most the sum of the smaller ones. number: of texts, at most.
     """
-    rows = written(texts.mapInArrow(_own(idf), "shingle long, doc_id long, w double"), "shingles")
+    rows = written(few(texts.mapInArrow(_own(idf), "shingle long, doc_id long, w double"), number, TEXTS), "shingles")
     by = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.min("w").alias("w"))
     alone = by.where("doc_id = last").select("shingle", "doc_id", F.lit(0.0).alias("w"), (-F.col("w")).alias("s"))
     both = rows.select("shingle", "doc_id", "w", F.col("w").alias("s")).unionByName(alone).withColumn("g", F.pmod("shingle", F.lit(GROUPS)))
     sums = [F.sum(F.when(F.col("g") == i, F.col("s")).otherwise(0.0)).alias(f"s{i}") for i in range(GROUPS)]
-    bounds = written(both.groupBy("doc_id").agg(F.sum("w").alias("w"), F.sum("s").alias("shared"), *sums), "bounds")
+    bounds = written(few(both.groupBy("doc_id").agg(F.sum("w").alias("w"), F.sum("s").alias("shared"), *sums), number, TEXTS), "bounds")
     discard(rows)
     return bounds
 
 
-def _pivots(opened: DataFrame, number: int) -> DataFrame:
-    """`number` documents of each bucket, to be compared with all others in it.
+def _pivots(opened: DataFrame, number: int, rows: int) -> DataFrame:
+    """`number` documents of each bucket, to be compared with all others in it. rows: of opened, at most.
 
     Those outside the bucket's largest component come first, for with all of them as pivots a bucket is settled;
     among them, and where no component is larger, those that share most of their weight: the least edited of a
     group of copies, which is like most of them.
     """
-    sizes = written(opened.groupBy("key", "root").agg(F.count(F.lit(1)).alias("own")), "sizes")
+    sizes = written(few(opened.groupBy("key", "root").agg(F.count(F.lit(1)).alias("own")), rows), "sizes")
     top = sizes.groupBy("key").agg(F.max_by("root", F.struct("own", "root")).alias("top"), F.max("own").alias("own"), F.sum("own").alias("n"))
-    top = written(top.select("key", "n", F.when(F.col("own") > 1, F.col("top")).alias("top")), "top")
+    top = written(few(top.select("key", "n", F.when(F.col("own") > 1, F.col("top")).alias("top")), rows), "top")
     ranked = attach(opened.drop("n"), top, "key").withColumn("late", F.coalesce(F.col("root") == F.col("top"), F.lit(False)))
     ranked = ranked.withColumn("apart", F.round(1 - F.col("shared") / F.col("w"), 9)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / PER_TASK)))
     order = ("late", "apart", "doc_id")
-    few = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("key", "salt").orderBy(*order))).where(F.col("rank") <= number)
-    few = few.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("rank") <= number)
-    pivots = written(few.select("key", "doc_id", "root", "n"), "pivots")
+    first = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("key", "salt").orderBy(*order))).where(F.col("rank") <= number)
+    first = first.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("rank") <= number)
+    pivots = written(few(first.select("key", "doc_id", "root", "n"), rows), "pivots")
     discard(sizes, top)
     return pivots
 
@@ -269,70 +273,75 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
 
     # of rows that repeat an id one text stands for all
     named = survey.where("digest IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("h", "digest")).alias("one"), F.count(F.lit(1)).alias("rows"))
-    members = written(named.select("doc_id", "rows", "one.h", "one.digest"), "members")
+    members = written(few(named.select("doc_id", "rows", "one.h", "one.digest"), total), "members")
     reps = members.groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("one"), F.count(F.lit(1)).alias("n"))
     discard(survey)
-    reps = written(reps.select("digest", F.col("one.doc_id").alias("rep"), F.col("one.h").alias("rep_h"), "n"), "reps")
+    reps = written(few(reps.select("digest", F.col("one.doc_id").alias("rep"), F.col("one.h").alias("rep_h"), "n"), total), "reps")
 
     signed = written(texts.mapInArrow(_sign(idf), "doc_id long, h long, keys array<long>"), "signed")
     own = signed.join(reps.select("rep", "rep_h").hint("merge"), (F.col("doc_id") == F.col("rep")) & (F.col("h") == F.col("rep_h")), "left_semi")
-    rows = written(own.select("doc_id", "h", F.explode("keys").alias("key")).distinct(), "bands")
+    rows = written(few(own.select("doc_id", "h", F.explode("keys").alias("key")).distinct(), BANDS * total), "bands")
     discard(signed)
-    shared = written(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    buckets = written(attach(rows, shared, "key").select("key", "doc_id", "h", "first"), "buckets")
+    shared = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(few(shared, BANDS * total // 2), "shared")
+    buckets = written(few(attach(rows, shared, "key").select("key", "doc_id", "h", "first"), BANDS * total), "buckets")
+    most = buckets.count()  # all later buckets are parts of these
     discard(rows, shared)
     wanted = buckets.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
     near = texts.join(wanted.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")
-    near = written(near.dropDuplicates(["doc_id", "h"]).select("doc_id", "text"), "near")
+    near = written(few(near.dropDuplicates(["doc_id", "h"]).select("doc_id", "text"), total, TEXTS), "near")
 
-    pairs = written(buckets.where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    found = _linked(pairs, near, idf)
+    pairs = buckets.where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pairs = written(few(pairs, most), "pairs")
+    found = _linked(pairs, near, idf, pairs.count())
     done = pairs
-    roots, all_buckets = components(found), buckets
-    buckets = _open(buckets.where("doc_id > first").select("key", "doc_id"), roots)  # the smallest has met all others
+    roots, all_buckets = components(found, found.count()), buckets
+    buckets = _open(buckets.where("doc_id > first").select("key", "doc_id"), roots, most)  # the smallest has met all others
     discard(all_buckets)
     if buckets is None:
         return members, reps, found, roots
     wanted = buckets.select(F.col("doc_id").alias("_id")).distinct()
-    bounds = _bounds(near.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi"), idf)
+    bounds = _bounds(near.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi"), idf, min(most, total))
     before = [buckets]  # tables that the next round's buckets are made of
     buckets, number = buckets.select("key", "doc_id").join(bounds.select("doc_id", "w", "shared").hint("merge"), "doc_id"), PIVOTS
     while True:
-        buckets = _open(buckets, roots, bounded=True)
+        buckets = _open(buckets, roots, most, bounded=True)
         discard(*before)
         if buckets is None:
             discard(near, bounds)
             return members, reps, found, roots
-        pivots = _pivots(buckets, number)
+        pivots = _pivots(buckets, number, most)
         before = [buckets, pivots]
-        pairs = written(_candidates(buckets, pivots, bounds).join(done.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            new, old = _linked(pairs, near, idf), [found, roots]
-            found = written(found.unionByName(new), "links")
+        pairs = _candidates(buckets, pivots, bounds).join(done.hint("merge"), ["a", "b"], "left_anti")
+        pairs = written(few(pairs, most * number), "pairs")
+        if n := pairs.count():
+            new, old = _linked(pairs, near, idf, n), [found, roots]
+            found = written(few(found.unionByName(new), found.count() + n), "links")
             done = done.unionByName(pairs)
-            roots = components(found)
+            roots = components(found, found.count())
             discard(new, *old)
         buckets = buckets.drop("root", "n").join(pivots.select("key", "doc_id").hint("merge"), ["key", "doc_id"], "left_anti")
         number *= PIVOTS
 
 
-def _open(buckets: DataFrame, roots: DataFrame, bounded: bool = False) -> DataFrame | None:
-    """The buckets (key, doc_id, ...) in which several components meet, with root and n; None if there are none.
+def _open(buckets: DataFrame, roots: DataFrame, rows: int, bounded: bool = False) -> DataFrame | None:
+    """The buckets (key, doc_id, ...; so many rows at most) in which several components meet, with root and n; None if there are none.
 
     Of bounded ones (w, shared), documents that cannot be alike any that are there are left out first.
     """
     placed = buckets.join(roots.hint("merge"), F.col("doc_id") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "doc_id"))
-    placed = written(placed, "placed")
+    placed = written(few(placed, rows), "placed")
     used = [placed]
     if bounded:
         sizes = placed.groupBy("key").agg(F.min("w").alias("least"), F.count(F.lit(1)).alias("n"))
         # partners of a document weigh at most what it shares, divided by SHARE, less its own weight
-        sizes = written(sizes, "sizes")
-        placed = written(attach(placed, sizes, "key").where(F.col("shared") / SHARE - F.col("w") >= F.col("least") - 1e-6).drop("least", "n"), "placed")
+        sizes = written(few(sizes, rows), "sizes")
+        placed = attach(placed, sizes, "key").where(F.col("shared") / SHARE - F.col("w") >= F.col("least") - 1e-6).drop("least", "n")
+        placed = written(few(placed, rows), "placed")
         used += [sizes, placed]
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
-    mixed = written(mixed, "mixed")
-    opened = None if mixed.isEmpty() else written(attach(placed, mixed, "key"), "open")
+    mixed = written(few(mixed, rows), "mixed")
+    opened = None if mixed.isEmpty() else written(few(attach(placed, mixed, "key"), rows), "open")
     discard(*used, mixed)
     return opened
 
@@ -349,12 +358,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     are ignored; an empty table gives no rows.
     """
     members, reps, found, roots = links(docs)
+    rows = members.count()  # reps and classes are no more
     ends = found.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("links"))
     placed = reps.join(roots.hint("merge"), F.col("rep") == F.col("node"), "left").join(ends.hint("merge"), F.col("rep") == F.col("v"), "left")
-    placed = written(placed.select("digest", "n", F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")), "placed")
-    sizes = written(placed.groupBy("class_id").agg(F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("texts")), "classes")
-    placed = written(attach(placed, sizes, "class_id", "texts").select("digest", "n", "class_id", "class_size", "links"), "placed")
-    known = written(attach(members.select("doc_id", "rows", "digest"), placed, "digest").drop("digest", "n"), "known")
+    placed = placed.select("digest", "n", F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    placed = written(few(placed, rows), "placed")
+    sizes = written(few(placed.groupBy("class_id").agg(F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("texts")), rows), "classes")
+    placed = written(few(attach(placed, sizes, "class_id", "texts").select("digest", "n", "class_id", "class_size", "links"), rows), "placed")
+    known = written(few(attach(members.select("doc_id", "rows", "digest"), placed, "digest").drop("digest", "n"), rows), "known")
     out = attach(docs.select(F.col("doc_id").cast("long").alias("doc_id")), known, "doc_id", "rows", "left")
     return out.select(
         "doc_id",

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, attach, fresh, groups_of, lists, mix, shingles, written
+from .base import Words, attach, few, fresh, groups_of, lists, mix, shingles, written
 
 K, WINDOW = 6, 12
 #: Cost of a chain for each word between two seeds on either side; a seed is worth K.
@@ -480,9 +480,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
-def _aligned(texts: DataFrame, matches: DataFrame) -> DataFrame:
-    """Stretches that the chains of matches (doc_id, source_id, pos, source_pos, seed) align, and what no passage of them covers."""
-    chained = written(matches.repartition("doc_id").sortWithinPartitions("doc_id", "source_id").mapInArrow(_chain, CHAINS), "chains")
+def _aligned(texts: DataFrame, matches: DataFrame, places: int) -> DataFrame:
+    """Stretches that the chains of matches (doc_id, source_id, pos, source_pos, seed) align, and what no passage of them covers.
+
+    places: how many places of repeated seeds the texts have, by which few tasks do for few of them.
+    """
+    chained = matches.repartition("doc_id").sortWithinPartitions("doc_id", "source_id").mapInArrow(_chain, CHAINS)
+    chained = written(few(chained, places), "chains")
 
     first, last = (lambda c: F.element_at(c, 1)), (lambda c: F.element_at(c, -1))
     reach = lambda c: F.sequence(
@@ -495,14 +499,14 @@ def _aligned(texts: DataFrame, matches: DataFrame) -> DataFrame:
     # of each document the blocks that are wanted, at most as many as it has
     by_doc = wanted.select(F.col("owner").alias("_id"), "block").distinct().groupBy("_id").agg(F.sort_array(F.collect_set("block")).alias("blocks"))
     words = texts.join(by_doc.hint("shuffle_hash"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "blocks")
-    words = written(words.mapInArrow(_blocks, "doc_id long, block int, words binary"), "blocks").dropDuplicates(["doc_id", "block"])
-    words = written(words.select(F.col("doc_id").alias("owner"), "block", "words"), "words")
+    words = written(few(words.mapInArrow(_blocks, "doc_id long, block int, words binary"), places), "blocks").dropDuplicates(["doc_id", "block"])
+    words = written(few(words.select(F.col("doc_id").alias("owner"), "block", "words"), places), "words")
     filled = wanted.join(words.hint("merge"), ["owner", "block"]).select("doc_id", "source_id", "chain", "side", "block", "words")
     none = F.lit(None).cast("array<int>")
     filled = filled.withColumns({"xs": none, "ys": none, "seeds": F.lit(None).cast("array<long>")})
     paths = chained.select("doc_id", "source_id", "chain", F.lit(0).alias("side"), F.lit(-1).alias("block"), F.lit(b"").alias("words"), "xs", "ys", "seeds")
     ready = filled.unionByName(paths).repartition("doc_id").sortWithinPartitions("doc_id", "source_id", "chain", "side", "block")
-    return written(ready.mapInArrow(_align, STRETCHES), "stretches")
+    return written(few(ready.mapInArrow(_align, STRETCHES), places), "stretches")
 
 
 def passages(docs: DataFrame, within: bool = False) -> DataFrame:
@@ -522,26 +526,30 @@ def passages(docs: DataFrame, within: bool = False) -> DataFrame:
         F.min("doc_id").alias("source_id"),
         F.min_by("pos", F.when(F.col("first"), F.col("doc_id"))).alias("source_pos"),
     )
-    anchors = written(anchors.where("n > 1"), "anchors")
-    repeated = written(attach(found.select("seed", "doc_id", "pos"), anchors, "seed").drop("n"), "repeated")
+    number = found.count()
+    anchors = written(few(anchors.where("n > 1"), number // 2), "anchors")
+    repeated = written(few(attach(found.select("seed", "doc_id", "pos"), anchors, "seed").drop("n"), number), "repeated")
+    number = repeated.count()
     matches = repeated.where(f"doc_id <> source_id OR pos >= source_pos + {K}" if within else "doc_id <> source_id").select("doc_id", "source_id", "pos", "source_pos", "seed")
-    aligned = _aligned(texts, matches)
+    aligned = _aligned(texts, matches, number)
 
     # pairs of seeds that no passage covers, a row for each document, matched to the first of their kind in another
     pairs = aligned.where("pair IS NOT NULL").select("pair", "doc_id", F.col("places").alias("pos"))
     firsts = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", F.col("pos")[0].alias("pos"))).alias("first"))
-    firsts = written(firsts.where("n > 1").select("pair", "n", F.col("first.doc_id").alias("source_id"), F.col("first.pos").alias("source_pos")), "pair-firsts")
+    firsts = firsts.where("n > 1").select("pair", "n", F.col("first.doc_id").alias("source_id"), F.col("first.pos").alias("source_pos"))
+    firsts = written(few(firsts, NEXT * number), "pair-firsts")
     matches = attach(pairs, firsts, "pair").where("doc_id <> source_id").select("doc_id", "source_id", "pos", "source_pos", F.lit(None).cast("long").alias("seed"))
-    further = _aligned(texts, matches)
+    further = _aligned(texts, matches, number)
 
     # runs that no passage covers, by their hashes
     asked = aligned.where("seed IS NOT NULL").select("seed").distinct().join(anchors.select("seed", "n").hint("merge"), "seed")
-    asked = written(asked, "asked")
+    asked = written(few(asked, number // 2), "asked")
     places = attach(repeated.select("seed", "doc_id", "pos"), asked, "seed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("places"))
     runs = texts.join(places.hint("shuffle_hash"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "places")
-    runs = written(runs.mapInArrow(_windows, "window long, doc_id long, start int"), "runs")
+    runs = written(few(runs.mapInArrow(_windows, "window long, doc_id long, start int"), number), "runs")
     firsts = runs.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
-    firsts = written(firsts.where("n > 1").select("window", "n", F.col("first.doc_id").alias("source_id"), F.col("first.start").alias("source_word")), "firsts")
+    firsts = firsts.where("n > 1").select("window", "n", F.col("first.doc_id").alias("source_id"), F.col("first.start").alias("source_word"))
+    firsts = written(few(firsts, runs.count() // 2), "firsts")
     again = attach(runs, firsts, "window").where(f"doc_id <> source_id OR start >= source_word + {PASSAGE_WORDS}" if within else "doc_id <> source_id")
     again = again.select("doc_id", "start", (F.col("start") + PASSAGE_WORDS).alias("end"), "source_id", "source_word", F.lit(1.0).alias("agree"))
     both = aligned.where("source_id IS NOT NULL").unionByName(further).drop("seed", "pair", "places").unionByName(again)
